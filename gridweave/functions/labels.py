@@ -51,3 +51,27 @@ def map_label() -> Column:
         F.concat(F.lit("rooms:"), up_to(F.col("room_count"), [(1, "single"), (3, "few"), (6, "several")], "many")),
         F.concat(F.lit("border:"), steps(F.col("border_solidity"), [(0.8, "enclosed"), (0.4, "partial")], "open", True)),
     )
+
+
+# Keywords of the prompt grammar; the first group with a hit wins.
+PROMPT_WORDS = {
+    "layout": ([("open", ["open", "spacious", "wide", "empty", "field"]),
+                ("dense", ["dense", "tight", "maze", "narrow", "packed"])], "mixed"),
+    "rooms": ([("single", ["single", "one room", "1 room", "arena"]),
+               ("many", ["many", "lots", "complex", "labyrinth"]),
+               ("few", ["few", "2", "3", "couple"])], "several"),
+    "border": ([("enclosed", ["enclosed", "walled", "dungeon", "indoor"]),
+                ("open", ["open border", "outdoor", "field"])], "partial"),
+}
+
+
+def prompt_label(prompt: Column, theme: Column, size: Column) -> Column:
+    text = F.lower(prompt)
+    parts = [F.concat(F.lit("theme:"), theme), F.concat(F.lit("size:"), size)]
+    for name, (groups, default) in PROMPT_WORDS.items():
+        word = None
+        for value, keys in groups:
+            hit = text.rlike("|".join(keys))
+            word = F.when(hit, value) if word is None else word.when(hit, value)
+        parts.append(F.concat(F.lit(f"{name}:"), word.otherwise(default)))
+    return F.concat_ws(", ", *parts)
