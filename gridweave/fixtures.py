@@ -175,7 +175,7 @@ def raw_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     reason = F.element_at(F.array(*[F.lit(r) for r in REASONS]), (k % 7) + 1)
     return e.select(
-        "event_id", "ts", (F.col("user_id") % 10).alias("tileset_id"),
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 10).alias("tileset_id"),
         ((F.col("event_id") % n_docs) * CHUNKS).alias("tile_id"), action.alias("action"),
         F.when(F.col("event_type") == "error", reason).alias("reason"),
         (F.least("value", F.lit(100.0)) / 100.0).alias("style_score"),

@@ -207,7 +207,7 @@ def latent_sql(by: str, out: str = "latent", extra: str = "", src: str = "px") -
     return f"""
 {fx.PALETTE_SQL},
 pal AS (SELECT *, {HUE} AS hue, ok_l <= 1.5 * (SELECT min(ok_l) FROM {OKLAB_SQL('palette', 'pos, sym')} WHERE sym <> '.') AS shadow FROM {OKLAB_SQL('palette', 'pos, sym')} WHERE sym <> '.'),
-pcol AS (SELECT {src}.*, ok_l AS lum, hue, shadow, CASE WHEN x = 0 OR lag(px.sym) OVER (PARTITION BY tile_id, y ORDER BY x) <> {src}.sym THEN 1 ELSE 0 END AS brk FROM {src} LEFT JOIN pal USING (sym) {extra}),
+pcol AS (SELECT {src}.*, ok_l AS lum, hue, shadow, CASE WHEN x = 0 OR lag({src}.sym) OVER (PARTITION BY tile_id, y ORDER BY x) <> {src}.sym THEN 1 ELSE 0 END AS brk FROM {src} LEFT JOIN pal USING (sym) {extra}),
 pt AS (SELECT {by}, tile_id, sum(brk) AS runs, count(DISTINCT sym) AS br FROM pcol GROUP BY {by}, tile_id),
 pt2 AS (SELECT {by}, count(*) AS tiles, sum(runs) AS runs, avg(br) AS br FROM pt GROUP BY {by}),
 ent AS (SELECT {by}, -sum(p * ln(p)) AS h FROM (SELECT {by}, sym, count(*) / (sum(count(*)) OVER (PARTITION BY {by}))::double AS p FROM pcol GROUP BY {by}, sym) GROUP BY {by}),
