@@ -192,3 +192,39 @@ fb AS (SELECT event_id, ts, tileset_id, tile_id, action, style_score,
   CASE WHEN reason IS NULL OR reason IN ({', '.join(repr(r) for r in REASONS[:6])}) THEN reason ELSE 'other(' || reason || ')' END AS reject_reason
   FROM fbraw WHERE action IN ('accept', 'reject', 'edit'))
 """
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as passages; concepts are a document's longest words."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1)))
+    ranked = F.transform(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"])
+    d = table(spark, sf_dir, "documents").withColumn("_top", F.slice(ranked, 1, 6))
+    return d.select(
+        "doc_id", F.col("source").alias("title"), F.col("text").alias("content"), F.col("lang").alias("summary"),
+        F.slice("_top", 1, 4).alias("concepts"), F.slice("_top", 5, 2).alias("keywords"),
+        F.array().cast("array<string>").alias("questions"),
+        F.regexp_extract(F.lower("text"), "([a-z]+ [a-z]+)", 1).alias("phrase"))
+
+
+def entities(passages_df: DataFrame) -> DataFrame:
+    """``(entity, target)``: the longest word to the next ones and the language; a phrase to the longest two."""
+    c = F.col("concepts")
+    one = passages_df.where(F.size(c) > 0).select(c[0].alias("entity"), F.explode(F.concat(F.slice(c, 2, 3), F.array("summary"))).alias("target"))
+    two = passages_df.where("phrase <> ''").select(F.col("phrase").alias("entity"), F.explode(F.slice(c, 1, 2)).alias("target"))
+    return one.unionByName(two)
+
+
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+KB_SQL = """
+dw AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY length(w) DESC, w) AS k FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents) QUALIFY k <= 6),
+pas AS (SELECT d.doc_id, d.source AS title, d.text AS content, d.lang AS summary, coalesce(list(w ORDER BY k) FILTER (k <= 4), []) AS concepts, coalesce(list(w ORDER BY k) FILTER (k > 4), []) AS keywords,
+  regexp_extract(lower(any_value(d.text)), '([a-z]+ [a-z]+)', 1) AS phrase FROM documents d LEFT JOIN dw USING (doc_id) GROUP BY ALL),
+ent AS (SELECT concepts[1] AS entity, unnest(concepts[2:4] || [summary]) AS target FROM pas WHERE len(concepts) > 0 UNION ALL SELECT phrase, unnest(concepts[1:2]) FROM pas WHERE phrase <> ''),
+rel AS (SELECT entity, target, count(*) AS n FROM ent GROUP BY ALL),
+con AS (SELECT unnest(concepts) AS concept, doc_id, title FROM pas),
+crel AS (SELECT entity AS key, target AS other FROM rel UNION SELECT target, entity FROM rel),
+qry AS (SELECT item_id AS query_id, text FROM benchmark)
+"""

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from gridweave.plans import corpus, images, mapping, reviews, tilesets  # noqa: F401
+from gridweave.plans import corpus, images, knowledge, mapping, reviews, tilesets  # noqa: F401
