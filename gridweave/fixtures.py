@@ -219,9 +219,9 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 KB_SQL = """
-dw AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY length(w) DESC, w) AS k FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents) QUALIFY k <= 6),
+topw AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY length(w) DESC, w) AS k FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents) QUALIFY k <= 6),
 pas AS (SELECT d.doc_id, d.source AS title, d.text AS content, d.lang AS summary, coalesce(list(w ORDER BY k) FILTER (k <= 4), []) AS concepts, coalesce(list(w ORDER BY k) FILTER (k > 4), []) AS keywords,
-  regexp_extract(lower(any_value(d.text)), '([a-z]+ [a-z]+)', 1) AS phrase FROM documents d LEFT JOIN dw USING (doc_id) GROUP BY ALL),
+  regexp_extract(lower(any_value(d.text)), '([a-z]+ [a-z]+)', 1) AS phrase FROM documents d LEFT JOIN topw USING (doc_id) GROUP BY ALL),
 ent AS (SELECT concepts[1] AS entity, unnest(concepts[2:4] || [summary]) AS target FROM pas WHERE len(concepts) > 0 UNION ALL SELECT phrase, unnest(concepts[1:2]) FROM pas WHERE phrase <> ''),
 rel AS (SELECT entity, target, count(*) AS n FROM ent GROUP BY ALL),
 con AS (SELECT unnest(concepts) AS concept, doc_id, title FROM pas),

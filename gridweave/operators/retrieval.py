@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.operators.ranking import top_k
+from gridweave.session import cut
 
 # Words left out of the index, and the scoring constants.
 STOP_WORDS = ("a an and are as at be but by for if in into is it no not of on or such that the "
@@ -63,6 +64,11 @@ def bm25_index(passages: DataFrame, text: str = "searchable") -> DataFrame:
 def bm25(queries: DataFrame, index: DataFrame, k: int, by: list[str] = ["query_id"]) -> DataFrame:
     """Top ``k`` passages per query; ``queries(*by, terms ARRAY)``.  Repeated terms count."""
     q = queries.select(*by, F.explode("terms").alias("term")).groupBy(*by, "term").agg(F.count("*").alias("qtf"))
+    return bm25_terms(q, index, k, by)
+
+
+def bm25_terms(q: DataFrame, index: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """The same over ``(*by, term, qtf)`` rows."""
     idf = F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / AVG_LEN)
     hit = q.join(index, "term").withColumn("_s", F.col("qtf") * idf * F.col("tf") * (K1 + 1) / norm)
@@ -118,7 +124,7 @@ def expand(queries: DataFrame, rel: DataFrame, concept: DataFrame, by: list[str]
     words = query_words(queries, by)
     known = concept.select("concept").distinct()
     near = words.join(_touch(words.select("word").distinct(), known, "concept"), "word").where("word <> concept").select(*by, F.col("concept").alias("term"))
-    first = reachable(queries, rel, by).unionByName(near).distinct()
+    first = cut(reachable(queries, rel, by).unionByName(near).distinct())
     second = first.join(concept_relations(rel).withColumnRenamed("key", "term"), "term").select(*by, F.col("other").alias("term"))
     second = second.join(known.withColumnRenamed("concept", "term"), "term", "left_semi")
     return first.unionByName(second).distinct().join(words.withColumnRenamed("word", "term"), [*by, "term"], "left_anti")
@@ -127,7 +133,7 @@ def expand(queries: DataFrame, rel: DataFrame, concept: DataFrame, by: list[str]
 def decompose(queries: DataFrame, rel: DataFrame, concept: DataFrame) -> DataFrame:
     """Sub-queries ``(query_id, cluster, text)``: the query's words plus up to four
     concepts of one source.  Needs three reachable concepts and two distinct clusters."""
-    r = reachable(queries, rel, ["query_id"])
+    r = cut(reachable(queries, rel, ["query_id"]))
     enough = r.groupBy("query_id").agg(F.count("*").alias("_n")).where("_n >= 3").select("query_id")
     per = r.join(enough, "query_id", "left_semi").join(concept.select(F.col("concept").alias("term"), "title").distinct(), "term")
     ranked = top_k(per.select("query_id", "title", "term").distinct(), ["query_id", "title"], [F.col("term")], 4)
@@ -155,20 +161,22 @@ def kb_boost(queries: DataFrame, scores: DataFrame, rel: DataFrame, concept: Dat
     return scores.select("query_id", "doc_id", "score").unionByName(boost).groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
 
 
-def kb_fused(queries: DataFrame, passages: DataFrame, rel: DataFrame, k: int, confident: float = CONFIDENT) -> DataFrame:
-    """Phases one to three: confidence probe, (sub-)queries with expansion, fused BM25."""
-    concept = concepts(passages)
-    index = bm25_index(searchable(passages))
+def kb_fused(queries: DataFrame, index: DataFrame, rel: DataFrame, concept: DataFrame, k: int,
+             confident: float = CONFIDENT) -> DataFrame:
+    """Phases one to three: confidence probe, (sub-)queries with expansion, fused BM25.
+
+    Pass ``index``, ``rel`` and ``concept`` as written or checkpointed tables:
+    they are read several times.
+    """
     plain = queries.withColumn("terms", terms_of(F.col("text")))
     sure = bm25(plain, index, 1).where(F.col("score") > confident).select("query_id")
     unsure = queries.join(sure, "query_id", "left_anti")
-    subs = queries.select("query_id", F.lit("").alias("cluster"), "text").unionByName(decompose(unsure, rel, concept))
+    subs = cut(queries.select("query_id", F.lit("").alias("cluster"), "text").unionByName(decompose(cut(unsure), rel, concept)))
     by = ["query_id", "cluster"]
     extra = expand(subs, rel, concept, by).select(*by, F.explode(terms_of(F.col("term"))).alias("term"))
     own = subs.select(*by, F.explode(terms_of(F.col("text"))).alias("term"))
-    terms = own.unionByName(extra).groupBy(*by, "term").agg(F.count("*").alias("_n"))
-    full = terms.select(*by, F.expr("array_repeat(term, cast(_n as int))").alias("terms"))
-    hits = bm25(full, index, max(3 * k, 15), by)
+    terms = own.unionByName(extra).groupBy(*by, "term").agg(F.count("*").alias("qtf"))
+    hits = cut(bm25_terms(terms, index, max(3 * k, 15), by))
     n = subs.groupBy("query_id").agg(F.count("*").alias("_subs"))
     return hits.join(n, "query_id").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("score") / F.col("_subs")), 6).alias("score"))
 
@@ -181,10 +189,11 @@ def sandwich(ranked: DataFrame, rank: str = "rank") -> DataFrame:
         r == 2, F.col("_n")).otherwise(r - 1)).drop("_n")
 
 
-def kb_search(queries: DataFrame, passages: DataFrame, rel: DataFrame, k: int = 5, confident: float = CONFIDENT) -> DataFrame:
+def kb_search(queries: DataFrame, passages: DataFrame, index: DataFrame, rel: DataFrame, concept: DataFrame,
+              k: int = 5, confident: float = CONFIDENT) -> DataFrame:
     """``(query_id, position, rank, doc_id, title, score)`` for each non-blank query."""
     q = queries.where(F.trim("text") != "")
-    fused = kb_fused(q, passages, rel, k, confident)
-    scores = kb_boost(q, fused, rel, concepts(passages)).where("score > 0")
-    best = top_k(scores, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
+    fused = cut(kb_fused(q, index, rel, concept, k, confident))
+    scores = kb_boost(q, fused, rel, concept).where("score > 0")
+    best = cut(top_k(scores, ["query_id"], [F.desc("score"), F.col("doc_id")], k))
     return sandwich(best).join(passages.select("doc_id", "title"), "doc_id")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from gridweave import fixtures as fx
 from gridweave.operators import retrieval as rt
-from gridweave.plans.corpus import BIG, R6
+from gridweave.plans.corpus import BIG
 from gridweave.plans.registry import query
+from gridweave.session import cut
 
 KB = "WITH " + fx.KB_SQL
 STOPS = "[" + ", ".join(f"'{w}'" for w in rt.STOP_WORDS) + "]"
@@ -27,35 +28,40 @@ def bm_sql(out: str, src: str, by: str, k: int) -> str:
 
 def kb(spark, d):
     p = fx.passages(spark, d)
-    return p, rt.relations(fx.entities(p)), rt.concepts(p)
+    return p, cut(rt.relations(fx.entities(p))), cut(rt.concepts(p))
+
+
+def index(spark, d):
+    """The persisted index that every search of a corpus shares."""
+    return cut(rt.bm25_index(rt.searchable(fx.passages(spark, d))))
 
 
 @query("kb_searchable", KB + SEARCH + " SELECT doc_id, md5(s) AS digest FROM sea")
 def kb_searchable(spark, d):
-    return rt.searchable(kb(spark, d)[0]).select("doc_id", F.md5("searchable").alias("digest"))
+    return rt.searchable(fx.passages(spark, d)).select("doc_id", F.md5("searchable").alias("digest"))
 
 
 @query("kb_concepts", KB + " SELECT concept, count(*) AS passages, count(DISTINCT title) AS titles FROM con GROUP BY 1")
 def kb_concepts(spark, d):
-    return kb(spark, d)[2].groupBy("concept").agg(F.count("*").alias("passages"), F.countDistinct("title").alias("titles"))
+    return rt.concepts(fx.passages(spark, d)).groupBy("concept").agg(F.count("*").alias("passages"), F.countDistinct("title").alias("titles"))
 
 
 @query("kb_relations", KB + " SELECT key, other FROM crel")
 def kb_relations(spark, d):
-    return rt.concept_relations(kb(spark, d)[1])
+    return rt.concept_relations(rt.relations(fx.entities(fx.passages(spark, d))))
 
 
 @query("bm25_index", KB + INDEX + " SELECT term, count(*) AS postings, sum(tf)::bigint AS occurrences, sum(dl)::bigint AS dl_sum, any_value(df) AS df FROM idx GROUP BY 1")
 def bm25_index(spark, d):
-    i = rt.bm25_index(rt.searchable(kb(spark, d)[0]))
+    i = rt.bm25_index(rt.searchable(fx.passages(spark, d)))
     return i.groupBy("term").agg(F.count("*").alias("postings"), F.sum("tf").alias("occurrences"), F.sum("dl").alias("dl_sum"), F.first("df").alias("df"))
 
 
-@query("bm25_search", KB + INDEX + f", qt AS (SELECT query_id, unnest({TERMS('text')}) AS term FROM qry)" + bm_sql("hits", "qt", "query_id", 5) + " SELECT query_id, doc_id, round(score, 5) AS score FROM hits")
+@query("bm25_search", KB + INDEX + f", qt AS (SELECT query_id, unnest({TERMS('text')}) AS term FROM qry)" + bm_sql("hits", "qt", "query_id", 5) + " SELECT query_id, doc_id, score FROM hits")
 def bm25_search(spark, d):
-    i = rt.bm25_index(rt.searchable(kb(spark, d)[0]))
+    i = rt.bm25_index(rt.searchable(fx.passages(spark, d)))
     q = fx.queries(spark, d).withColumn("terms", rt.terms_of(F.col("text")))
-    return rt.bm25(q, i, 5).select("query_id", "doc_id", F.round("score", 5).alias("score"))
+    return rt.bm25(q, i, 5).select("query_id", "doc_id", "score")
 
 
 def reach_sql(src: str, by: str, p: str) -> str:
@@ -106,24 +112,24 @@ bs AS (SELECT query_id, doc_id, sum(w * n) AS w FROM nm JOIN rel USING (entity)
 bo AS (SELECT query_id, doc_id, round(sum(score), 6) AS score FROM (SELECT query_id, doc_id, score FROM fu UNION ALL SELECT query_id, doc_id, w * best FROM bs JOIN bst USING (query_id)) GROUP BY ALL)"""
 
 
-@query("kb_probe", KB + INDEX + f", qt AS (SELECT query_id, unnest({TERMS('text')}) AS term FROM qry)" + bm_sql("probe", "qt", "query_id", 1) + f" SELECT query_id, round(score, 5) AS score, score > {rt.CONFIDENT} AS confident FROM probe")
+@query("kb_probe", KB + INDEX + f", qt AS (SELECT query_id, unnest({TERMS('text')}) AS term FROM qry)" + bm_sql("probe", "qt", "query_id", 1) + f" SELECT query_id, score, score > {rt.CONFIDENT} AS confident FROM probe")
 def kb_probe(spark, d):
-    i = rt.bm25_index(rt.searchable(kb(spark, d)[0]))
+    i = rt.bm25_index(rt.searchable(fx.passages(spark, d)))
     q = fx.queries(spark, d).withColumn("terms", rt.terms_of(F.col("text")))
-    return rt.bm25(q, i, 1).select("query_id", F.round("score", 5).alias("score"), (F.col("score") > rt.CONFIDENT).alias("confident"))
+    return rt.bm25(q, i, 1).select("query_id", "score", (F.col("score") > rt.CONFIDENT).alias("confident"))
 
 
-@query("kb_fuse", KB + fused_sql(5, CONFIDENT) + " SELECT query_id, doc_id, round(score, 4) AS score FROM fu")
+@query("kb_fuse", KB + fused_sql(5, CONFIDENT) + " SELECT query_id, doc_id, score FROM fu")
 def kb_fuse(spark, d):
-    p, rel, _ = kb(spark, d)
-    return rt.kb_fused(fx.queries(spark, d), p, rel, 5, CONFIDENT).select("query_id", "doc_id", F.round("score", 4).alias("score"))
+    _, rel, con = kb(spark, d)
+    return rt.kb_fused(fx.queries(spark, d), index(spark, d), rel, con, 5, CONFIDENT).select("query_id", "doc_id", "score")
 
 
-@query("kb_boost", boosted_sql(5, rt.CONFIDENT) + " SELECT query_id, doc_id, round(score, 4) AS score FROM bo")
+@query("kb_boost", boosted_sql(5, rt.CONFIDENT) + " SELECT query_id, doc_id, score FROM bo")
 def kb_boost(spark, d):
-    p, rel, con = kb(spark, d)
+    _, rel, con = kb(spark, d)
     q = fx.queries(spark, d)
-    return rt.kb_boost(q, rt.kb_fused(q, p, rel, 5), rel, con).select("query_id", "doc_id", F.round("score", 4).alias("score"))
+    return rt.kb_boost(q, rt.kb_fused(q, index(spark, d), rel, con, 5), rel, con).select("query_id", "doc_id", "score")
 
 
 def search_sql(k: int, confident: float) -> str:
@@ -131,14 +137,14 @@ def search_sql(k: int, confident: float) -> str:
 sw AS (SELECT *, CASE WHEN n < 3 OR rank = 1 THEN rank WHEN rank = 2 THEN n ELSE rank - 1 END AS position FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM tp))"""
 
 
-@query("kb_search", search_sql(5, CONFIDENT) + " SELECT query_id, position, rank, doc_id, title, round(score, 4) AS score FROM sw JOIN pas USING (doc_id)")
+@query("kb_search", search_sql(5, CONFIDENT) + " SELECT query_id, position, rank, doc_id, title, score FROM sw JOIN pas USING (doc_id)")
 def kb_search(spark, d):
-    p, rel, _ = kb(spark, d)
-    return rt.kb_search(fx.queries(spark, d), p, rel, 5, CONFIDENT).select("query_id", BIG("position"), BIG("rank"), "doc_id", "title", F.round("score", 4).alias("score"))
+    p, rel, con = kb(spark, d)
+    return rt.kb_search(fx.queries(spark, d), p, index(spark, d), rel, con, 5, CONFIDENT).select("query_id", BIG("position"), BIG("rank"), "doc_id", "title", "score")
 
 
 @query("sandwich_order", KB + INDEX + f", qt AS (SELECT query_id, unnest({TERMS('text')}) AS term FROM qry)" + bm_sql("hits", "qt", "query_id", 7) + ", rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM hits) SELECT query_id, doc_id, rank, CASE WHEN n < 3 OR rank = 1 THEN rank WHEN rank = 2 THEN n ELSE rank - 1 END AS position FROM rk")
 def sandwich_order(spark, d):
-    i = rt.bm25_index(rt.searchable(kb(spark, d)[0]))
+    i = rt.bm25_index(rt.searchable(fx.passages(spark, d)))
     q = fx.queries(spark, d).withColumn("terms", rt.terms_of(F.col("text")))
     return rt.sandwich(rt.bm25(q, i, 7)).select("query_id", "doc_id", BIG("rank"), BIG("position"))
