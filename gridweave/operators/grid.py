@@ -141,14 +141,13 @@ def flip(pixels: DataFrame, axis: str) -> DataFrame:
 
 def augment4(tiles: DataFrame, limit: int = 4) -> DataFrame:
     """Each tile with its quarter turns; ``rotation`` is '' / 90 / 180 / 270."""
-    rows = rows_of(F.col("grid"))
     turns = [
         F.struct(F.lit("" if k == 0 else str(90 * k)).alias("rotation"),
-                 grid_text(rotate_rows(rows, k)).alias("grid"))
+                 grid_text(rotate_rows(F.col("_rows"), k)).alias("grid"))
         for k in range(limit)
     ]
     rest = [c for c in tiles.columns if c != "grid"]
-    return tiles.select(*rest, F.explode(F.array(*turns)).alias("_t")).select(*rest, "_t.*")
+    return tiles.withColumn("_rows", rows_of(F.col("grid"))).select(*rest, F.explode(F.array(*turns)).alias("_t")).select(*rest, "_t.*")
 
 
 #: Suffix, clockwise turns, flipped first?
@@ -176,7 +175,9 @@ def expand_variants(tiles: DataFrame) -> DataFrame:
     share under ``equal`` and 0.1 otherwise.
     """
     has_grid = "grid" in tiles.columns
-    rows = rows_of(F.col("grid")) if has_grid else None
+    if has_grid:
+        tiles = tiles.withColumn("_rows", rows_of(F.col("grid")))
+    rows = F.col("_rows")
 
     def variant(suffix: str, k: int, flipped: bool, share: int) -> Column:
         n, e, s, w = _turn_edges(*(F.col(c) for c in "nesw"), k, flipped)
@@ -200,7 +201,7 @@ def expand_variants(tiles: DataFrame) -> DataFrame:
         F.col("name").alias("name"), *[F.col(c).alias(c) for c in "nesw"],
         F.col("weight").cast("double").alias("weight"), F.lit(False).alias("is_variant"),
         *([grid_text(rows).alias("grid")] if has_grid else [])))
-    taken = {"name", "n", "e", "s", "w", "weight", "grid", "auto_rotate", "auto_rotate_weight"}
+    taken = {"name", "n", "e", "s", "w", "weight", "grid", "_rows", "auto_rotate", "auto_rotate_weight"}
     rest = [c for c in tiles.columns if c not in taken]
     return tiles.select(*rest, F.explode(pools.otherwise(alone)).alias("_v")).select(*rest, "_v.*")
 

@@ -134,10 +134,10 @@ def kb_boost(spark, d):
 
 def search_sql(k: int, confident: float) -> str:
     return boosted_sql(k, confident) + f""", tp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bo WHERE score > 0 QUALIFY rank <= {k}),
-sw AS (SELECT *, CASE WHEN n < 3 OR rank = 1 THEN rank WHEN rank = 2 THEN n ELSE rank - 1 END AS position FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM tp))"""
+swd AS (SELECT *, CASE WHEN n < 3 OR rank = 1 THEN rank WHEN rank = 2 THEN n ELSE rank - 1 END AS position FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM tp))"""
 
 
-@query("kb_search", search_sql(5, CONFIDENT) + " SELECT query_id, position, rank, doc_id, title, score FROM sw JOIN pas USING (doc_id)")
+@query("kb_search", search_sql(5, CONFIDENT) + " SELECT query_id, position, rank, doc_id, title, score FROM swd JOIN pas USING (doc_id)")
 def kb_search(spark, d):
     p, rel, con = kb(spark, d)
     return rt.kb_search(fx.queries(spark, d), p, index(spark, d), rel, con, 5, CONFIDENT).select("query_id", BIG("position"), BIG("rank"), "doc_id", "title", "score")
