@@ -93,29 +93,34 @@ def vary(tiles: DataFrame, n: int, seed: int, palette: DataFrame, kinds: tuple[s
     t = t.join(F.broadcast(bright)).withColumns({  # one-row side
         "_dark": F.array_min(F.transform("_used", lambda s: F.struct(F.coalesce(F.try_element_at("_bright", s), F.lit(0)).alias("v"), s.alias("s"))))["s"],
         "_common": F.array_max(F.transform("_used", lambda s: F.struct(count_symbol(F.col("_flat"), s).alias("v"), s.alias("s"))))["s"]})
-    t = t.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    key = (F.col(id_col), F.col("i"))
-    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), ((F.col("i") - 1) % len(kinds) + 1).cast("int"))
     w, h = F.col("w"), F.col("h")
-    t = t.withColumns({"mutation": kind, **{f"_d{k}": draw_int(seed, *key, F.lit(k)) for k in range(4)}})
-    count = F.when(F.col("mutation") == "noise", F.floor(w * h / 12) + 1).when(F.col("mutation") == "erode", 3).otherwise(0)
-    t = t.withColumn("_draws", F.transform(F.sequence(F.lit(0), count.cast("int")), lambda j: F.struct(
-        draw_int(seed, *key, F.lit("x"), j).alias("x"), draw_int(seed, *key, F.lit("y"), j).alias("y"), draw_int(seed, *key, F.lit("s"), j).alias("s"))))
-    # The list is one longer than needed (sequence cannot be empty): drop its last entry, then put the newest first.
-    t = t.withColumn("_draws", F.reverse(F.slice("_draws", F.lit(1), F.size("_draws") - 1)))
-    side = lambda q: q["s"] % 4
-    spot = lambda q: F.when(F.col("mutation") == "noise", _inside(q["y"], h) * w + _inside(q["x"], w)).otherwise(
-        F.when(side(q) == 0, w + _inside(q["x"], w)).when(side(q) == 1, (h - 2) * w + _inside(q["x"], w)).when(
-            side(q) == 2, _inside(q["y"], h) * w + 1).otherwise(_inside(q["y"], h) * w + w - 2))
-    coins = F.when(F.col("mutation") == "crack", F.transform(F.sequence(F.lit(0), (2 * F.greatest(w, h)).cast("int")), lambda j: draw_int(seed, *key, F.lit("c"), j) % 10))
-    t = t.withColumns({
-        "_pos": F.transform("_draws", spot),
-        "_sym": F.transform("_draws", lambda q: F.when(F.col("mutation") == "noise", F.get("_used", (q["s"] % F.size("_used")).cast("int"))).otherwise(F.col("_common"))),
-        "_coin": coins})
+
+    def plan(i: Column) -> Column:
+        """Everything one variant draws, computed once per variant before the cells are walked."""
+        key = (F.col(id_col), i)
+        kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), ((i - 1) % len(kinds) + 1).cast("int"))
+        noise = kind == "noise"
+        count = F.when(noise, F.floor(w * h / 12) + 1).when(kind == "erode", 3).otherwise(0).cast("int")
+        # Newest draw first, so the first position found is the last one drawn.
+        order = F.filter(F.sequence(count, F.lit(0), F.lit(-1)), lambda j: j < count)
+        draw = lambda what, j: draw_int(seed, *key, F.lit(what), j)
+
+        def spot(j):
+            x, y, side = _inside(draw("x", j), w), _inside(draw("y", j), h), draw("s", j) % 4
+            return F.when(noise, y * w + x).when(side == 0, w + x).when(side == 1, (h - 2) * w + x).when(
+                side == 2, y * w + 1).otherwise(y * w + w - 2)
+
+        symbol = lambda j: F.when(noise, F.get("_used", (draw("s", j) % F.size("_used")).cast("int"))).otherwise(F.col("_common"))
+        coins = F.when(kind == "crack", F.transform(F.sequence(F.lit(0), (2 * F.greatest(w, h)).cast("int")), lambda j: draw("c", j) % 10))
+        return F.struct(i.alias("i"), kind.alias("mutation"), *[draw_int(seed, *key, F.lit(k)).alias(f"_d{k}") for k in range(4)],
+                        F.transform(order, spot).alias("_pos"), F.transform(order, symbol).alias("_sym"), coins.alias("_coin"))
+
+    t = t.withColumn("_plan", F.explode(F.transform(F.sequence(F.lit(1), F.lit(n)), plan)))
+    t = t.select(id_col, *(["name"] if "name" in tiles.columns else []), "w", "h", "_cells", "_used", "_dark", "_plan.*")
     out = None
     for k in kinds:
         out = F.when(F.col("mutation") == k, _mutate(k)) if out is None else out.when(F.col("mutation") == k, _mutate(k))
     flat = F.array_join(out, "")
-    rows = F.transform(F.sequence(F.lit(0), (h - 1).cast("int")), lambda y: F.substring(F.col("_out"), (y * w + 1).cast("int"), w.cast("int")))
+    grid = F.regexp_replace(flat, F.concat(F.lit("(.{"), w.cast("string"), F.lit("})(?!$)")), F.lit("$1\n"))
     base = F.col("name") if "name" in tiles.columns else F.concat(F.lit("t"), F.col(id_col).cast("string"))
-    return t.withColumn("_out", flat).select(id_col, F.concat(base, F.lit("_"), F.col("i").cast("string")).alias("name"), "i", "mutation", F.array_join(rows, "\n").alias("grid"))
+    return t.select(id_col, F.concat(base, F.lit("_"), F.col("i").cast("string")).alias("name"), "i", "mutation", grid.alias("grid"))

@@ -11,6 +11,9 @@ from gridweave.plans.registry import query
 from gridweave.session import cut
 
 KB = "WITH " + fx.KB_SQL
+# Three places, nudged off exact halves, so summation order cannot flip a digit.
+R3 = "round(score + 0.0000004, 3) AS score"
+r3 = lambda: F.round(F.col("score") + 0.0000004, 3).alias("score")
 STOPS = "[" + ", ".join(f"'{w}'" for w in rt.STOP_WORDS) + "]"
 SEARCH = """, sea AS (SELECT doc_id, '[From: ' || title || ' | Topic: ' || CASE WHEN len(concepts) = 0 THEN 'general' ELSE array_to_string(concepts[1:5], ', ') END || '] ' || summary || chr(10) || content || chr(10) || '' || chr(10)
  || array_to_string(concepts, ' ') || chr(10) || array_to_string(keywords, ' ') AS s FROM pas)"""
@@ -119,17 +122,17 @@ def kb_probe(spark, d):
     return rt.bm25(q, i, 1).select("query_id", "score", (F.col("score") > rt.CONFIDENT).alias("confident"))
 
 
-@query("kb_fuse", KB + fused_sql(5, CONFIDENT) + " SELECT query_id, doc_id, score FROM fu")
+@query("kb_fuse", KB + fused_sql(5, CONFIDENT) + f" SELECT query_id, doc_id, {R3} FROM fu")
 def kb_fuse(spark, d):
     _, rel, con = kb(spark, d)
-    return rt.kb_fused(fx.queries(spark, d), index(spark, d), rel, con, 5, CONFIDENT).select("query_id", "doc_id", "score")
+    return rt.kb_fused(fx.queries(spark, d), index(spark, d), rel, con, 5, CONFIDENT).select("query_id", "doc_id", r3())
 
 
-@query("kb_boost", boosted_sql(5, rt.CONFIDENT) + " SELECT query_id, doc_id, score FROM bo")
+@query("kb_boost", boosted_sql(5, rt.CONFIDENT) + f" SELECT query_id, doc_id, {R3} FROM bo")
 def kb_boost(spark, d):
     _, rel, con = kb(spark, d)
     q = fx.queries(spark, d)
-    return rt.kb_boost(q, rt.kb_fused(q, index(spark, d), rel, con, 5), rel, con).select("query_id", "doc_id", "score")
+    return rt.kb_boost(q, rt.kb_fused(q, index(spark, d), rel, con, 5), rel, con).select("query_id", "doc_id", r3())
 
 
 def search_sql(k: int, confident: float) -> str:
@@ -137,10 +140,10 @@ def search_sql(k: int, confident: float) -> str:
 swd AS (SELECT *, CASE WHEN n < 3 OR rank = 1 THEN rank WHEN rank = 2 THEN n ELSE rank - 1 END AS position FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM tp))"""
 
 
-@query("kb_search", search_sql(5, CONFIDENT) + " SELECT query_id, position, rank, doc_id, title, score FROM swd JOIN pas USING (doc_id)")
+@query("kb_search", search_sql(5, CONFIDENT) + f" SELECT query_id, position, rank, doc_id, title, {R3} FROM swd JOIN pas USING (doc_id)")
 def kb_search(spark, d):
     p, rel, con = kb(spark, d)
-    return rt.kb_search(fx.queries(spark, d), p, index(spark, d), rel, con, 5, CONFIDENT).select("query_id", BIG("position"), BIG("rank"), "doc_id", "title", "score")
+    return rt.kb_search(fx.queries(spark, d), p, index(spark, d), rel, con, 5, CONFIDENT).select("query_id", BIG("position"), BIG("rank"), "doc_id", "title", r3())
 
 
 @query("sandwich_order", KB + INDEX + f", qt AS (SELECT query_id, unnest({TERMS('text')}) AS term FROM qry)" + bm_sql("hits", "qt", "query_id", 7) + ", rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM hits) SELECT query_id, doc_id, rank, CASE WHEN n < 3 OR rank = 1 THEN rank WHEN rank = 2 THEN n ELSE rank - 1 END AS position FROM rk")
