@@ -190,8 +190,9 @@ def extract_grid(df: DataFrame, text: str, w: int, fence: str = "```") -> DataFr
     ones in that mark string gives the position and length of the block.
     """
     body = F.regexp_extract(F.col(text), rf"(?s){fence}[^\n]*\n(.*?){fence}", 1)
-    lines = F.transform(F.split(F.col(text), "\n"), F.trim)
-    d = df.withColumns({"_body": F.trim(body), "_lines": lines})
+    blank = F.lit(" \t\r\n")
+    lines = F.transform(F.split(F.col(text), "\n"), lambda t: F.btrim(t, blank))
+    d = df.withColumns({"_body": F.btrim(body, blank), "_lines": lines})
     marks = F.array_join(F.transform("_lines", lambda t: F.when(
         (F.length(t) == w) & ~t.rlike(r"\s"), "1").otherwise("0")), "")
     d = d.withColumn("_marks", marks).withColumn("_run", F.regexp_extract("_marks", "(1+)", 1))

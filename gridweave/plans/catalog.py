@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from gridweave.plans import audits, corpus, images, knowledge, mapping, reviews, tilesets, variation  # noqa: F401
+from gridweave.plans import assembly, audits, corpus, files, images, knowledge, mapping, reviews, tilesets, variation  # noqa: F401
