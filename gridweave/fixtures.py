@@ -27,6 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when the input has fewer splits than the session has cores.
+
+    Large inputs have many splits and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def symbol_text(text: Column) -> Column:
     """Letters fold to the ten symbols, everything else is void."""
     letters = F.regexp_replace(text, "[^A-Za-z]", ".")
@@ -41,7 +50,7 @@ SYMBOL_TEXT_SQL = (
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into 16x16 tiles, the last one padded with void."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", symbol_text(F.col("text")).alias("s"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id").select("doc_id", "source", "lang", symbol_text(F.col("text")).alias("s"))
     t = d.select("doc_id", "source", "lang", F.posexplode(
         F.regexp_extract_all("s", F.lit("(.{1,256})"), F.lit(1))).alias("k", "chunk"))
     rows = F.regexp_extract_all(F.rpad("chunk", SIZE * SIZE, "."), F.lit("(.{16})"), F.lit(1))
@@ -198,7 +207,7 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as passages; concepts are a document's longest words."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1)))
     ranked = F.transform(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"])
-    d = table(spark, sf_dir, "documents").withColumn("_top", F.slice(ranked, 1, 6))
+    d = spread(table(spark, sf_dir, "documents"), "doc_id").withColumn("_top", F.slice(ranked, 1, 6))
     return d.select(
         "doc_id", F.col("source").alias("title"), F.col("text").alias("content"), F.col("lang").alias("summary"),
         F.slice("_top", 1, 4).alias("concepts"), F.slice("_top", 5, 2).alias("keywords"),

@@ -44,7 +44,7 @@ cns AS (SELECT name, 'fg_brighter_than_bg' AS con, 'true' AS val FROM th WHERE k
 
 def tables(spark, d) -> dict:
     col = F.col
-    docs = fx.table(spark, d, "documents").select("doc_id", "source", fx.symbol_text(col("text")).alias("s"))
+    docs = fx.spread(fx.table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id").select("doc_id", "source", fx.symbol_text(col("text")).alias("s"))
     k = col("doc_id")
     docs = docs.withColumns({"rows": F.ceil(F.length("s") / 16).cast("int")})
     flat = F.rpad("s", F.length("s") + F.pmod(-F.length("s"), F.lit(16)), F.lit("."))
