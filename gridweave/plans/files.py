@@ -104,8 +104,8 @@ def read_tile_meta(spark, d):
                             F.when(k % 6 != 0, F.struct(F.lit("f.png").alias("fileName"), F.lit(8).alias("clip_width"), F.lit(3).alias("count"))).alias("tiles")).alias("r"),
                    F.expr("cast(substring(id, 3) as bigint) div 500").alias("_f"))
     # One array per file of five hundred records.
-    rec.groupBy("_f").agg(F.to_json(F.collect_list("r")).alias("value")).select("value").repartition("value").write.text(p)
-    return rd.read_tile_meta(spark, p).select("id", "title", BIG("req_w"), "clip_width", "count", "file_name")
+    rec.groupBy("_f").agg(F.to_json(F.collect_list("r")).alias("value")).write.partitionBy("_f").text(p)
+    return rd.read_tile_meta(spark, p + "/*/*.txt").select("id", "title", BIG("req_w"), "clip_width", "count", "file_name")
 
 
 @query("read_tilesets", "SELECT 'p' || p_partkey AS name, 'c' || (p_size % 6) AS n, CASE WHEN p_partkey % 2 = 0 THEN 'obstacle' END AS affordance, '16x' || p_size AS size, '##' || chr(10) || '..' AS grid FROM part")
