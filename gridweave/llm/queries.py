@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.fixtures import table
-from gridweave.llm import bpe, jaccard_join
+from gridweave.llm import bpe, decontaminate, jaccard_join, secret_scan, toxicity
 from gridweave.plans.registry import Query, shipped
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Score from which a text counts as toxic.
+TOXIC = 0.3
 
 
 def query(name: str, sql: str | None = None):
@@ -39,3 +41,75 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share nine tenths of their three-word shingles."""
     return jaccard_join.link_components(table(spark, sf_dir, "documents"), jaccard_join.Rule(3, 9, 10))
+
+
+def _secret_sql() -> str:
+    """Places from the lengths of the texts between matches, as in the operator but by window sums."""
+    parts, counts = [], []
+    for i, r in enumerate(secret_scan.RULES):
+        p = r.pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, {i} AS ord, '{r.kind}' AS kind, e - length(hit) AS s, e, length(val) >= {r.least} AS ok FROM (
+  SELECT doc_id, hit, val, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM (
+    SELECT doc_id, unnest(range(1, len(hits) + 1)) AS k, unnest(hits) AS hit, unnest(vals) AS val, unnest(gaps[1:len(hits)]) AS gap FROM (
+      SELECT doc_id, regexp_extract_all(t, '{p}') AS hits, regexp_extract_all(t, '{p}', {r.group}) AS vals, regexp_split_to_array(t, '{p}') AS gaps FROM d)))""")
+        if r.kind in secret_scan.BASE:
+            counts.append(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}")
+    one = "string_agg(kind || ':' || s::bigint || ':' || e::bigint, ',' ORDER BY s, ord)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), hit AS ({' UNION ALL '.join(parts)}),
+agg AS (SELECT doc_id, {', '.join(counts)}, {one} FILTER (ord < 3) AS base, {one} AS spans FROM hit WHERE ok GROUP BY doc_id)
+SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secret_scan.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN agg USING (doc_id)"""
+
+
+@query("op2_secret_scan", _secret_sql())
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text: counts and places."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "found")
+    base = F.filter("found", lambda s: s["kind"].isin(*secret_scan.BASE))
+
+    def count(kind: str):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(count, secret_scan.BASE),
+        F.sha2(secret_scan.listed(base).cast("binary"), 256).alias("base_sha256"), secret_scan.listed(F.col("found")).alias("spans"))
+
+
+#: The same windows, compared with every item of their length and without fingerprints.
+DECONTAMINATE_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+ds AS (SELECT doc_id, len(w) AS nw, unnest(range(0, len(w) - 4)) AS pos, w FROM dw WHERE len(w) >= 5),
+dsh AS (SELECT doc_id, nw, pos, array_to_string(w[pos + 1:pos + 5], ' ') AS sh FROM ds),
+ish AS (SELECT item_id, n, p, array_to_string(w[p + 1:p + 5], ' ') AS sh FROM (
+  SELECT item_id, len(w) AS n, w, unnest(range(0, len(w) - 4)) AS p FROM iw WHERE len(w) >= 5)),
+win AS (SELECT DISTINCT doc_id, n, greatest(0, least(pos - p, nw - n)) AS start FROM dsh JOIN ish USING (sh)),
+wsh AS (SELECT doc_id, n, start, sh, count(*) AS c FROM win JOIN dsh USING (doc_id)
+  WHERE pos >= start AND pos + 5 <= start + n GROUP BY ALL),
+isc AS (SELECT item_id, n, sh, count(*) AS c FROM ish GROUP BY ALL),
+wtot AS (SELECT doc_id, n, start, sum(c * (length(sh) - 4)) AS t FROM wsh GROUP BY ALL),
+itot AS (SELECT item_id, n, sum(c * (length(sh) - 4)) AS t FROM isc GROUP BY ALL),
+inter AS (SELECT doc_id, item_id, n, start, sum(least(wsh.c, isc.c) * (length(sh) - 4)) AS i FROM wsh JOIN isc USING (n, sh) GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, n, start, i, wtot.t + itot.t - i AS u FROM inter JOIN wtot USING (doc_id, n, start) JOIN itot USING (item_id, n))
+SELECT doc_id, item_id, start, n AS n_words, i / u AS similarity FROM sim WHERE i * 10 >= u * 8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY i / u DESC, start) = 1
+"""
+
+
+@query("op10_decontaminate", DECONTAMINATE_SQL)
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, with their place."""
+    return decontaminate.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("distance")
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """A model that never saw the labels of the held-out fold."""
+    return toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every text, from the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
