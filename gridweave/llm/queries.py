@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.fixtures import table
-from gridweave.llm import bpe, decontaminate, jaccard_join, secret_scan, toxicity
+from gridweave.llm import ann, bpe, decontaminate, jaccard_join, licenses, secret_scan, toxicity, zip_warc
 from gridweave.plans.registry import Query, shipped
+from gridweave.session import scratch_path
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +114,39 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+def _license_sql() -> str:
+    """Every unit against every template, without size bounds or an index."""
+    rows = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(licenses.TEMPLATES))
+    words = f"regexp_extract_all(lower(t), '{licenses.WORD}')"
+    bag = "SELECT {k}, len(w) - 1 AS n, w[i] || ' ' || w[i + 1] AS pair FROM (SELECT *, unnest(range(1, len(w))) AS i FROM {t} WHERE len(w) >= {m})"
+    return f"""WITH tpl(template, licence, t) AS (VALUES {rows}), tw AS (SELECT template, licence, {words} AS w FROM tpl),
+tb AS (SELECT template, licence, n AS size, pair, count(*) AS c FROM ({bag.format(k='template, licence', t='tw', m=2)}) GROUP BY ALL),
+unit AS (SELECT doc_id, 0 AS line, text AS t FROM documents UNION ALL
+  SELECT doc_id, unnest(range(1, len(ls) + 1)), unnest(ls) FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE contains(text, chr(10)))),
+uw AS (SELECT doc_id, line, {words} AS w FROM unit),
+ub AS (SELECT doc_id, line, n, pair, count(*) AS c FROM ({bag.format(k='doc_id, line', t='uw', m=3)}) GROUP BY ALL),
+sim AS (SELECT doc_id, line, licence, template, 2 * sum(least(ub.c, tb.c)) / (n + size) AS dice, 10 * sum(least(ub.c, tb.c)) >= 4 * (n + size) AS ok
+  FROM ub JOIN tb USING (pair) GROUP BY doc_id, line, n, licence, template, size),
+best AS (SELECT * FROM sim WHERE ok QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line, licence) = 1)
+SELECT doc_id, licence, line, coalesce(dice, 0.0) AS dice FROM documents LEFT JOIN best USING (doc_id)"""
+
+
+@query("op3_license_scan", _license_sql())
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best licence match of every document, as a whole or by line."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.templates(spark)).drop("text")
+
+
+@query("op4_zip_warc")
+def op4_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC in ZIP archives and read back."""
+    manifest = zip_warc.write(zip_warc.typed(table(spark, sf_dir, "pages")), scratch_path(spark, "warc"))
+    return zip_warc.read(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_ann")
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest of every twentieth vector."""
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
