@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.fixtures import table
-from gridweave.llm import ann, bpe, decontaminate, jaccard_join, licenses, secret_scan, toxicity, zip_warc
+from gridweave.llm import ann, bpe, decontaminate, jaccard_join, licenses, quotes, secret_scan, toxicity, unigram, zip_warc
 from gridweave.plans.registry import Query, shipped
 from gridweave.session import scratch_path
 
@@ -150,3 +150,37 @@ def op4_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty nearest of every twentieth vector."""
     return ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
+@query("op1_token_counts")
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text under the unigram vocabulary."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unigram.token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
+
+
+#: The same by windows over lines and a recursive walk up the replies.
+QUOTES_SQL = r"""
+WITH RECURSIVE ln AS (SELECT conv_id, turn, i, ls[i] AS l FROM (SELECT conv_id, turn, ls, unnest(range(1, len(ls) + 1)) AS i FROM (
+  SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations))),
+lv AS (SELECT conv_id, turn, i, length(regexp_replace(q, '[ \t]', '', 'g')) AS level, trim(translate(substr(l, length(q) + 1), chr(9) || chr(13) || chr(12) || chr(11), '    ')) AS body
+  FROM (SELECT *, regexp_extract(l, '^(?:[ \t]*>)+') AS q FROM ln)),
+runs AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY i) AS g FROM (
+  SELECT *, coalesce(lag(level) OVER w <> level OR lag(body) OVER w = '', true) AS fresh FROM lv WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)) WHERE body <> ''),
+pas AS (SELECT conv_id, turn, g, any_value(level) AS level, md5(trim(regexp_replace(lower(string_agg(body, ' ' ORDER BY i)), ' +', ' ', 'g'))) AS h FROM runs GROUP BY conv_id, turn, g),
+org AS (SELECT conv_id, h, min(turn) AS src FROM pas WHERE level = 0 GROUP BY ALL),
+quo AS (SELECT p.conv_id, p.turn, p.g, p.level, CASE WHEN src < p.turn THEN src END AS src FROM pas p LEFT JOIN org USING (conv_id, h) WHERE level > 0),
+lnk AS (SELECT conv_id, turn, count(*) AS n_quotes, count(src) AS n_linked, arg_min(src, level * 1000000 + g) FILTER (src IS NOT NULL) AS parent FROM quo GROUP BY ALL),
+up AS (SELECT conv_id, turn, turn AS root FROM conversations UNION ALL SELECT up.conv_id, up.turn, lnk.parent FROM up JOIN lnk ON lnk.conv_id = up.conv_id AND lnk.turn = up.root WHERE lnk.parent IS NOT NULL),
+top AS (SELECT conv_id, turn, min(root) AS thread FROM up GROUP BY ALL),
+own AS (SELECT conv_id, turn, regexp_replace(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0), '^\n+|\n+$', '', 'g') AS content FROM lv GROUP BY ALL)
+SELECT c.conv_id, c.turn, role, coalesce(content, '') AS content, parent AS parent_turn, thread, row_number() OVER (PARTITION BY c.conv_id ORDER BY thread, c.turn) AS place,
+  coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked
+FROM conversations c JOIN own USING (conv_id, turn) JOIN top USING (conv_id, turn) LEFT JOIN lnk USING (conv_id, turn)
+"""
+
+
+@query("op8_quotes", QUOTES_SQL)
+def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations without quotes, in reply order."""
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
