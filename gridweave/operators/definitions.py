@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gridweave.functions.color import hex_channels, hex_valid
+from gridweave.functions.grids import rows_of
 from gridweave.operators.grid import to_pixels
 from gridweave.session import cut
 
@@ -73,43 +74,61 @@ def apply_cycle(cells: DataFrame, cycle: DataFrame, ticks: list[int], legacy: bo
 
 
 # --- sprites -----------------------------------------------------------------
-def resolve_links(frames: DataFrame, rounds: int = 8) -> DataFrame:
-    """Follow ``linked`` chains to their source frame; unresolved or circular links drop out."""
-    key = ["spriteset", "sprite"]
-    open_ = frames.withColumn("_src", F.when(F.col("encoding") == "linked", F.col("link_to")).otherwise(F.col("index")))
-    info = frames.select(*key, F.col("index").alias("_src"), F.col("encoding").alias("_enc"), F.col("link_to").alias("_next"))
-    for _ in range(rounds):
-        j = open_.join(info, [*key, "_src"], "left")
-        if j.where("_enc = 'linked'").isEmpty():
-            break
-        open_ = cut(j.withColumn("_src", F.when(F.col("_enc") == "linked", F.col("_next")).otherwise(F.col("_src"))).select(*open_.columns))
-    done = open_.join(info, [*key, "_src"], "left").where("_enc IS NOT NULL AND _enc <> 'linked'")
-    return done.select(*frames.columns, "_src")
+def _changed(rows: Column, changes: Column) -> Column:
+    """Rows with sparse changes, the last of a cell winning; those outside the grid do nothing."""
+    def row(text: Column, y: Column) -> Column:
+        mine = F.filter(changes, lambda c: (c["y"] == y) & (c["x"] >= 0) & (c["x"] < F.length(text)))
+        sym = lambda c: F.when(F.length(c["sym"]) > 0, F.substring(c["sym"], 1, 1)).otherwise(".")
+        return F.aggregate(mine, text, lambda t, c: F.overlay(t, sym(c), (c["x"] + 1).cast("int"), F.lit(1)))
 
+    return F.when(changes.isNull(), rows).otherwise(F.transform(rows, row))
+
+
+def _mirrored(rows: Column, mirror: Column) -> Column:
+    flat = F.when(mirror.isin("v", "hv", "vh"), F.reverse(rows)).otherwise(rows)
+    return F.when(mirror.isin("h", "hv", "vh"), F.transform(flat, lambda r: F.reverse(r))).otherwise(flat)
+
+
+def _in_order(frames: DataFrame) -> DataFrame:
+    """One row per sprite: its few frames folded in listed order to ``done(index, rows, duration_ms)``, rows null where unresolved."""
+    whole = lambda c: F.col(c).cast("int").alias(c)
+    listed = F.array_sort(F.collect_list(F.struct(
+        "ord", F.coalesce("encoding", F.lit("grid")).alias("encoding"), whole("index"), whole("base"), whole("link_to"),
+        rows_of(F.col("grid")).alias("rows"), "changes", "mirror", whole("duration_ms"))))
+
+    def step(done: Column, f: Column) -> Column:
+        of = F.coalesce(F.when(f["encoding"] == "delta", f["base"]).otherwise(f["link_to"]), F.lit(1))
+        earlier = F.try_element_at(F.filter(done, lambda d: d["index"] == of), F.lit(-1))["rows"]
+        rows = F.when(f["encoding"] == "grid", f["rows"]).when(f["encoding"] == "linked", earlier).when(
+            f["encoding"] == "delta", _changed(earlier, f["changes"]))
+        return F.concat(done, F.array(F.struct(
+            f["index"].alias("index"), _mirrored(rows, f["mirror"]).alias("rows"), f["duration_ms"].alias("duration_ms"))))
+
+    start = F.array().cast("array<struct<index:int,rows:array<string>,duration_ms:int>>")
+    return frames.groupBy("spriteset", "sprite").agg(listed.alias("_f")).select(
+        "spriteset", "sprite", F.explode(F.aggregate("_f", start, step)).alias("f"))
 
-def resolve_frames(frames: DataFrame, fps: int = 8) -> DataFrame:
-    """``(spriteset, sprite, index, x, y, sym, duration_ms)`` for every frame.
 
-    Delta frames are their grid-encoded base plus sparse changes; changes outside
-    the grid do nothing because they match no cell.  Mirrors apply last.
+def resolve_grids(frames: DataFrame, fps: int = 8) -> DataFrame:
+    """``(spriteset, sprite, index, grid, duration_ms)`` for every frame.
+
+    Frames stand in the order of ``ord``.  A delta or linked frame builds on any
+    earlier frame as it was shown, mirror included; ``base`` and ``link_to`` are 1
+    by default.  Frames without such a frame are in :func:`frame_errors`.
     """
-    key = ["spriteset", "sprite"]
-    f = resolve_links(frames)
-    src = frames.select(*key, F.col("index").alias("_src"), F.col("encoding").alias("_e"), F.col("base").alias("_b"), F.col("changes").alias("_ch"))
-    f = f.select(*key, "index", "mirror", "duration_ms", "_src").join(src, [*key, "_src"])
-    f = f.withColumn("_grid_of", F.when(F.col("_e") == "delta", F.col("_b")).otherwise(F.col("_src")))
-    grids = to_pixels(frames.where("encoding = 'grid'"), ("spriteset", "sprite", "index")).withColumnRenamed("index", "_grid_of")
-    dims = frames.where("encoding = 'grid'").select(*key, F.col("index").alias("_grid_of"), F.size(F.split("grid", "\n")).alias("h"),
-                                                   F.length(F.split_part("grid", F.lit("\n"), F.lit(1))).alias("w"))
-    px = f.drop("_ch").join(grids, [*key, "_grid_of"]).join(dims, [*key, "_grid_of"])
-    ch = f.where("_e = 'delta'").select(*key, "index", F.posexplode("_ch").alias("_i", "_c"))
-    ch = ch.groupBy(*key, "index", F.col("_c.x").alias("x"), F.col("_c.y").alias("y")).agg(F.max_by("_c.sym", "_i").alias("_new"))
-    px = px.join(ch, [*key, "index", "x", "y"], "left")
-    mx, my = F.col("mirror").isin("h", "hv"), F.col("mirror").isin("v", "hv")
-    return px.select(
-        *key, "index", F.when(mx, F.col("w") - 1 - F.col("x")).otherwise(F.col("x")).alias("x"),
-        F.when(my, F.col("h") - 1 - F.col("y")).otherwise(F.col("y")).alias("y"),
-        F.coalesce("_new", "sym").alias("sym"), F.coalesce("duration_ms", F.lit(1000 // fps)).alias("duration_ms"))
+    return _in_order(frames).where("f.rows IS NOT NULL").select(
+        "spriteset", "sprite", "f.index", F.array_join("f.rows", "\n").alias("grid"),
+        F.coalesce("f.duration_ms", F.lit(1000 // fps)).alias("duration_ms"))
+
+
+def frame_errors(frames: DataFrame) -> DataFrame:
+    """``(spriteset, sprite, index)`` of frames without a grid, of unknown encoding, or built on no earlier resolved frame."""
+    return _in_order(frames).where("f.rows IS NULL").select("spriteset", "sprite", "f.index")
+
+
+def resolve_frames(frames: DataFrame, fps: int = 8) -> DataFrame:
+    """``(spriteset, sprite, index, duration_ms, x, y, sym)``: the cells of :func:`resolve_grids`."""
+    return to_pixels(resolve_grids(frames, fps), ("spriteset", "sprite", "index", "duration_ms"))
 
 
 # --- references and tilemaps ---------------------------------------------------

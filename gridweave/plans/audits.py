@@ -30,7 +30,9 @@ tl AS (SELECT source AS tileset_id, 'd' || doc_id AS name, CASE doc_id % 9 WHEN
 sz AS (SELECT *, TRY_CAST(regexp_extract(size, '^(\\d+)x(\\d+)$', 1) AS INT) AS w, TRY_CAST(regexp_extract(size, '^(\\d+)x(\\d+)$', 2) AS INT) AS h FROM tl),
 own AS (SELECT * FROM sz WHERE template IS NULL AND w > 0 AND h > 0 AND palette IN ('base', 'small')),
 fr AS (SELECT conv_id, turn, 'conv' AS spriteset, conv_id::varchar AS sprite, turn AS ord, turn + 1 + CASE WHEN conv_id % 5 = 0 AND turn >= 2 THEN 1 ELSE 0 END AS idx, CASE turn % 3 WHEN 0 THEN 'grid' WHEN 1 THEN 'delta' ELSE 'linked' END AS encoding,
-  CASE WHEN turn % 3 = 1 THEN CASE WHEN conv_id % 7 = 0 THEN turn + 1 ELSE turn END END AS base, text FROM conversations),
+  CASE WHEN turn % 3 = 1 AND conv_id % 11 <> 3 THEN CASE WHEN conv_id % 7 = 0 THEN turn + 1 ELSE turn END END AS base,
+  CASE WHEN turn % 3 = 2 AND conv_id % 11 <> 5 THEN idx - 1 END AS link_to,
+  CASE WHEN turn % 4 = 2 THEN 'h' WHEN conv_id % 3 = 1 THEN 'v' WHEN conv_id % 3 = 2 AND turn % 4 = 0 THEN 'vh' END AS mirror, text FROM conversations),
 cy AS (SELECT c_nationkey::varchar AS tileset_id, 'c' || c_custkey AS name, CASE WHEN c_custkey % 8 = 5 THEN 'ghost' ELSE 'base' END AS palette, CASE c_custkey % 4 WHEN 0 THEN 'forward' WHEN 1 THEN 'backward' WHEN 2 THEN 'ping-pong' ELSE 'sideways' END AS direction,
   c_custkey % 6 AS fps, c_custkey AS k, c_custkey % 5 AS n FROM customer),
 cs AS (SELECT cy.*, p, substr('{POOL}', ((k + p) % 12 + 1)::bigint, 1) AS sym FROM cy, range(0, 5) t(p) WHERE p < n),
@@ -87,8 +89,8 @@ def tables(spark, d) -> dict:
     idx = (t + 1 + F.when((v % 5 == 0) & (t >= 2), 1).otherwise(0)).cast("int")
     frame = conv.select(
         F.lit("conv").alias("spriteset"), s(v).alias("sprite"), t.alias("ord"), idx.alias("index"), F.when(t % 3 == 0, "grid").when(t % 3 == 1, "delta").otherwise("linked").alias("encoding"),
-        F.when(t % 3 == 0, cgrid).alias("grid"), F.when(t % 3 == 1, F.when(v % 7 == 0, t + 1).otherwise(t)).cast("int").alias("base"), F.when(t % 3 == 2, idx - 1).alias("link_to"),
-        F.when(v % 2 == 0, 120).alias("duration_ms"), F.when(t % 4 == 2, "h").when(v % 3 == 1, "v").alias("mirror"),
+        F.when(t % 3 == 0, cgrid).alias("grid"), F.when((t % 3 == 1) & (v % 11 != 3), F.when(v % 7 == 0, t + 1).otherwise(t)).cast("int").alias("base"), F.when((t % 3 == 2) & (v % 11 != 5), idx - 1).alias("link_to"),
+        F.when(v % 2 == 0, 120).alias("duration_ms"), F.when(t % 4 == 2, "h").when(v % 3 == 1, "v").when((v % 3 == 2) & (t % 4 == 0), "vh").alias("mirror"),
         F.when(t % 3 == 1, F.array(F.struct((v % 16).cast("int").alias("x"), F.lit(0).alias("y"), F.lit("#").alias("sym")), F.struct(F.lit(99).alias("x"), F.lit(0).alias("y"), F.lit("+").alias("sym")))).alias("changes"))
     te = fx.tile_edges(spark, d)
     nth = F.expr("cast(substring(name, 2) as bigint)")
@@ -207,15 +209,30 @@ def cycle_remap(spark, d):
     return out.select("cycle", BIG("pos"), "tick", "shown")
 
 
-@query("sprite_frames", "WITH " + B + f""", gr AS (SELECT sprite, idx, rpad(s, ((length(s) + 15) // 16 * 16)::int, '.') AS flat FROM (SELECT *, {fx.SYMBOL_TEXT_SQL.format('text')} AS s FROM fr WHERE encoding = 'grid')),
-src AS (SELECT f.*, CASE WHEN f.encoding = 'linked' THEN f.idx - 1 ELSE f.idx END AS si FROM fr f),
-r AS (SELECT s.conv_id, s.turn, s.sprite, s.idx, o.encoding AS enc, o.conv_id AS oc, CASE WHEN o.encoding = 'delta' THEN o.base ELSE o.idx END AS gi FROM src s JOIN fr o ON o.sprite = s.sprite AND o.idx = s.si),
-p AS (SELECT r.*, i % 16 AS x, i // 16 AS y, length(flat) // 16 AS h, CASE WHEN enc = 'delta' AND i = oc % 16 THEN '#' ELSE substr(flat, (i + 1)::bigint, 1) END AS sym FROM (SELECT r.*, flat, unnest(range(0, length(flat))) AS i FROM r JOIN gr ON gr.sprite = r.sprite AND gr.idx = r.gi) r)
-SELECT sprite, idx AS index, CASE WHEN conv_id % 2 = 0 THEN 120 ELSE 125 END AS duration_ms, md5(string_agg(sym, '' ORDER BY CASE WHEN turn % 4 <> 2 AND conv_id % 3 = 1 THEN h - 1 - y ELSE y END, CASE WHEN turn % 4 = 2 THEN 15 - x ELSE x END)) AS digest FROM p GROUP BY ALL""")
+# Frame by frame in listed order; each step sees all earlier frames of its sprite as shown.
+FRAMES = f"""
+seqf AS (SELECT *, rpad(t, ((length(t) + 15) // 16 * 16)::int, '.') AS flat, row_number() OVER (PARTITION BY sprite ORDER BY ord) AS k FROM (SELECT *, {fx.SYMBOL_TEXT_SQL.format('text')} AS t FROM fr)),
+rec(sprite, conv_id, k, done) AS (
+ SELECT sprite, conv_id, 0::bigint, []::STRUCT(i INTEGER, f VARCHAR)[] FROM (SELECT DISTINCT sprite, conv_id FROM fr)
+ UNION ALL
+ SELECT sprite, conv_id, k, list_append(done, {{'i': idx::int, 'f': CASE mirror WHEN 'v' THEN up WHEN 'h' THEN reverse(up) WHEN 'vh' THEN reverse(body) ELSE body END}})
+ FROM (SELECT *, array_to_string(list_reverse(regexp_extract_all(body, '.{{16}}')), '') AS up
+  FROM (SELECT *, CASE WHEN encoding = 'grid' THEN flat WHEN encoding = 'linked' OR src = '' THEN src ELSE left(src, conv_id % 16) || '#' || substr(src, conv_id % 16 + 2) END AS body
+   FROM (SELECT s.sprite, s.conv_id, s.k, s.idx, s.encoding, s.flat, s.mirror, r.done,
+          list_filter(r.done, lambda z: z.i = coalesce(CASE s.encoding WHEN 'delta' THEN s.base ELSE s.link_to END, 1))[-1].f AS src
+         FROM rec r JOIN seqf s ON s.sprite = r.sprite AND s.k = r.k + 1))))"""
+
+
+@query("sprite_frames", "WITH RECURSIVE " + B + "," + FRAMES + """
+SELECT sprite, done[-1].i AS index, CASE WHEN conv_id % 2 = 0 THEN 120 ELSE 125 END AS duration_ms, md5(done[-1].f) AS digest FROM rec WHERE k > 0 AND done[-1].f IS NOT NULL""")
 def sprite_frames(spark, d):
-    f = df_.resolve_frames(tables(spark, d)["frame"])
-    grid = g.to_grid(f, ("sprite", "index", "duration_ms"))
-    return grid.select("sprite", BIG("index"), "duration_ms", F.md5(F.replace("grid", F.lit("\n"), F.lit(""))).alias("digest"))
+    f = df_.resolve_grids(tables(spark, d)["frame"])
+    return f.select("sprite", BIG("index"), "duration_ms", F.md5(F.replace("grid", F.lit("\n"), F.lit(""))).alias("digest"))
+
+
+@query("frame_errors", "WITH RECURSIVE " + B + "," + FRAMES + " SELECT sprite, done[-1].i AS index FROM rec WHERE k > 0 AND done[-1].f IS NULL")
+def frame_errors(spark, d):
+    return df_.frame_errors(tables(spark, d)["frame"]).select("sprite", BIG("index"))
 
 
 REF = "base || CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN '!h' WHEN 2 THEN '!vd' ELSE '!hvd' END || CASE o_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN ':shadow' WHEN 2 THEN ':hi' WHEN 3 THEN ':glow' ELSE ':s' END"

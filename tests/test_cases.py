@@ -225,6 +225,20 @@ def test_contains_join_matches_brute_force(spark):
     assert got == {(a, b) for a in hay for b in needle if len(b) >= 3 and b in a}
 
 
+def test_frames_build_on_earlier_frames_as_shown(spark):
+    rows = [("a", 1, "grid", "#.\n..", None, None, "h", None), ("a", 2, "linked", None, None, None, None, None),
+            ("a", 3, "delta", None, 2, None, "vh", [(0, 0, "+"), (9, 0, "+")]), ("a", 4, "delta", None, 9, None, None, [])]
+    rows += [("a", i, "linked", None, None, i - 1, None, None) for i in range(5, 6)]
+    rows += [("b", 1, "grid", "ab", None, None, None, None)] + [("b", i, "linked", None, None, i - 1, None, None) for i in range(2, 15)]
+    f = spark.createDataFrame([("s", sp, i, i, *rest) for sp, i, *rest in rows], "spriteset string, sprite string, ord int, index int, encoding string, "
+                              "grid string, base int, link_to int, mirror string, changes array<struct<x:int,y:int,sym:string>>").withColumn("duration_ms", F.lit(None).cast("int"))
+    got = {(r.sprite, r["index"]): (r.grid, r.duration_ms) for r in definitions.resolve_grids(f).collect()}
+    assert {i: g for (sp, i), (g, _) in got.items() if sp == "a"} == {1: ".#\n..", 2: ".#\n..", 3: "..\n#+"}
+    assert [got["b", i] for i in range(1, 15)] == [("ab", 125)] * 14
+    assert {(r.sprite, r["index"]) for r in definitions.frame_errors(f).collect()} == {("a", 4), ("a", 5)}
+    assert definitions.resolve_frames(f).where("sprite = 'a'").count() == 12
+
+
 def test_cycle_shift_modes(spark):
     def seq(direction, legacy=False):
         df = spark.range(7).select("id", definitions.cycle_shift(F.lit(3), F.lit(direction), F.col("id"), legacy).alias("s"))
