@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 
 #: Bytes of text hashed in one go; a longer text is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = (_U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))
