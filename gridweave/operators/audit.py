@@ -1,6 +1,7 @@
 """Rule audits: each rule is its own plan; ``validate`` is their union.
 
-``ts`` is a dict of domain tables.  Every rule returns
+``ts`` is a dict of domain tables.  A tileset is one name space: palettes, themes
+and cycles are looked up in the entity's own tileset.  Every rule returns
 ``violation(tileset_id, entity_type, name, rule, detail, severity)``.
 """
 
@@ -16,6 +17,7 @@ from gridweave.operators.definitions import parse_palette, resolve_themes, theme
 from gridweave.operators.grid import rle_runs
 
 Tables = dict[str, DataFrame]
+PALETTE = ["tileset_id", "palette"]
 SIZE = r"^(\d+)x(\d+)$"
 
 
@@ -32,7 +34,7 @@ def sized(tiles: DataFrame) -> DataFrame:
 def own_tiles(ts: Tables) -> DataFrame:
     """Tiles that carry their own pixels (template tiles are skipped) with a usable size and palette."""
     t = sized(ts["tile"]).where("template IS NULL AND w > 0 AND h > 0")
-    return t.join(ts["palette"].select("palette").distinct(), "palette", "left_semi")
+    return t.join(ts["palette"].select(*PALETTE).distinct(), PALETTE, "left_semi")
 
 
 def v_palette_parse(ts: Tables) -> DataFrame:
@@ -41,9 +43,9 @@ def v_palette_parse(ts: Tables) -> DataFrame:
 
 
 def v_palette_ref(ts: Tables) -> DataFrame:
-    known = ts["palette"].select("palette").distinct()
-    t = ts["tile"].where("template IS NULL").join(known, "palette", "left_anti")
-    s = ts["stamp"].join(known, "palette", "left_anti")
+    known = ts["palette"].select(*PALETTE).distinct()
+    t = ts["tile"].where("template IS NULL").join(known, PALETTE, "left_anti")
+    s = ts["stamp"].join(known, PALETTE, "left_anti")
     return violation(t, "tile", "palette_ref", F.col("palette")).unionByName(violation(s, "stamp", "palette_ref", F.col("palette")))
 
 
@@ -72,11 +74,13 @@ def v_grid_shape(ts: Tables) -> DataFrame:
 
 
 def v_symbols(ts: Tables) -> DataFrame:
-    """Symbols outside the palette: one row per tile and symbol, distinct before the join."""
-    t = own_tiles(ts)
-    g = t.where("grid IS NOT NULL").select("tileset_id", "name", "palette", F.explode(F.array_distinct(cells_of(F.array_join(rows_of(F.col("grid")), "")))).alias("sym"))
-    r = rle_runs(t.where("grid IS NULL AND rle IS NOT NULL"), ("tileset_id", "name", "palette")).where("ok").select("tileset_id", "name", "palette", "sym").distinct()
-    bad = g.unionByName(r).join(ts["palette"].select("palette", "sym"), ["palette", "sym"], "left_anti")
+    """Symbols outside the palette: a tile's few symbols meet the palette's as arrays, grids stay behind."""
+    key = ["tileset_id", "name", "palette"]
+    t = sized(ts["tile"]).where("template IS NULL AND w > 0 AND h > 0")
+    g = t.where("grid IS NOT NULL").select(*key, F.array_distinct(cells_of(F.array_join(rows_of(F.col("grid")), ""))).alias("_syms"))
+    r = rle_runs(t.where("grid IS NULL AND rle IS NOT NULL"), tuple(key)).where("ok").groupBy(*key).agg(F.collect_set("sym").alias("_syms"))
+    known = ts["palette"].groupBy(*PALETTE).agg(F.collect_set("sym").alias("_known"))
+    bad = g.unionByName(r).join(known, PALETTE).select("tileset_id", "name", F.explode(F.array_except("_syms", "_known")).alias("sym"))
     return violation(bad, "tile", "symbols", F.col("sym"))
 
 
@@ -146,13 +150,13 @@ def v_delta_base(ts: Tables) -> DataFrame:
 def v_cycle(ts: Tables) -> DataFrame:
     """Warnings; a cycle without its palette reports only that."""
     c = ts["cycle"]
-    known = ts["palette"].select("palette").distinct()
-    gone = c.join(known, "palette", "left_anti").withColumn("_why", F.lit("palette"))
-    have = c.join(known, "palette", "left_semi")
+    known = ts["palette"].select(*PALETTE).distinct()
+    gone = c.join(known, PALETTE, "left_anti").withColumn("_why", F.lit("palette"))
+    have = c.join(known, PALETTE, "left_semi")
     flat = F.array_compact(F.array(F.when(F.size("symbols") < 2, "too few symbols"), F.when(
         ~F.col("direction").isin("forward", "backward", "ping-pong"), "direction"), F.when(F.col("fps") == 0, "fps")))
     plain = have.withColumn("_why", F.explode(flat))
-    syms = have.withColumn("sym", F.explode("symbols")).join(ts["palette"].select("palette", "sym").where(F.length("sym") == 1), ["palette", "sym"], "left_anti")
+    syms = have.withColumn("sym", F.explode("symbols")).join(ts["palette"].select(*PALETTE, "sym").where(F.length("sym") == 1), [*PALETTE, "sym"], "left_anti")
     syms = syms.withColumn("_why", F.concat(F.lit("symbol "), "sym"))
     cols = ["tileset_id", "name", "_why"]
     return violation(gone.select(*cols).unionByName(plain.select(*cols)).unionByName(syms.select(*cols)), "cycle", "cycle", F.col("_why"), "warning")
@@ -163,45 +167,46 @@ def v_theme(ts: Tables, resolved: DataFrame | None = None) -> DataFrame:
     r = resolve_themes(ts["theme"]) if resolved is None else resolved
     chain = r.where("status <> 'ok'").withColumn("_why", F.col("status"))
     ok = r.where("status = 'ok'")
-    known = ts["palette"].select("palette").distinct()
-    gone = ok.join(known, "palette", "left_anti").withColumn("_why", F.concat(F.lit("palette "), "palette"))
-    role = ok.join(known, "palette", "left_semi").select("name", "palette", F.explode("roles").alias("role", "sym"))
+    known = ts["palette"].select(*PALETTE).distinct()
+    gone = ok.join(known, PALETTE, "left_anti").withColumn("_why", F.concat(F.lit("palette "), "palette"))
+    role = ok.join(known, PALETTE, "left_semi").select(*PALETTE, "name", F.explode("roles").alias("role", "sym"))
     long = role.where(F.length("sym") != 1).withColumn("_why", F.concat(F.lit("role "), "role", F.lit(" is not one symbol")))
-    miss = role.where(F.length("sym") == 1).join(ts["palette"].select("palette", "sym"), ["palette", "sym"], "left_anti").withColumn(
+    miss = role.where(F.length("sym") == 1).join(ts["palette"].select(*PALETTE, "sym"), [*PALETTE, "sym"], "left_anti").withColumn(
         "_why", F.concat(F.lit("role "), "role", F.lit(" not in palette")))
     rows = None
     for part in (chain, gone, long, miss):
-        p = part.select(F.lit("").alias("tileset_id"), "name", "_why")
+        p = part.select("tileset_id", "name", "_why")
         rows = p if rows is None else rows.unionByName(p)
     return violation(rows, "theme", "theme", F.col("_why"))
 
 
 def theme_metrics(ts: Tables, resolved: DataFrame) -> DataFrame:
     """Luminance and hue of each role colour, one row per theme."""
-    role = resolved.where("status = 'ok'").select("name", "palette", F.explode("roles").alias("role", "sym"))
-    col = role.join(ts["palette"].select("palette", "sym", "r", "g", "b"), ["palette", "sym"])
+    role = resolved.where("status = 'ok'").select(*PALETTE, "name", F.explode("roles").alias("role", "sym"))
+    col = role.join(ts["palette"].select(*PALETTE, "sym", "r", "g", "b"), [*PALETTE, "sym"])
     rgb = [F.col(c) for c in "rgb"]
     m = col.withColumns({"lum": luminance709(*rgb), "hue": hsv_hue(*rgb)})
     pick = lambda r, c: F.max(F.when(F.col("role") == r, F.col(c))).alias(f"{r}_{c}")
-    return m.groupBy("name").agg(*[pick(r, c) for r in ("fg", "bg", "shadow", "accent") for c in ("lum", "hue")])
+    return m.groupBy("tileset_id", "name").agg(*[pick(r, c) for r in ("fg", "bg", "shadow", "accent") for c in ("lum", "hue")])
 
 
 def v_theme_constraints(ts: Tables, resolved: DataFrame | None = None) -> DataFrame:
     r = resolve_themes(ts["theme"]) if resolved is None else resolved
-    c = ts["theme"].select("name", F.explode("constraints").alias("constraint", "value"))
-    j = c.join(r.where("status = 'ok'").select("name"), "name", "left_semi").join(theme_metrics(ts, r), "name", "left")
+    key = ["tileset_id", "name"]
+    c = ts["theme"].select(*key, F.explode("constraints").alias("constraint", "value"))
+    j = c.join(r.where("status = 'ok'").select(*key), key, "left_semi").join(theme_metrics(ts, r), key, "left")
     n = F.expr("try_cast(value AS INT)")
     bad = F.when(F.col("constraint") == "fg_brighter_than_bg", F.col("fg_lum") <= F.col("bg_lum")).when(
         F.col("constraint") == "shadow_darker_than_bg", F.col("shadow_lum") >= F.col("bg_lum")).when(
         F.col("constraint") == "accent_hue_distinct_from_bg", hue_distance(F.col("accent_hue"), F.col("bg_hue")) < 40).when(
         F.col("constraint") == "palette_granularity", (n < 1) | (n > 8))
-    return violation(j.where(F.coalesce(bad, F.lit(False))).withColumn("tileset_id", F.lit("")), "theme", "theme_constraints", F.col("constraint"), "warning")
+    return violation(j.where(F.coalesce(bad, F.lit(False))), "theme", "theme_constraints", F.col("constraint"), "warning")
 
 
 def v_stats(ts: Tables) -> DataFrame:
     """Entity counts per tileset."""
     out = None
-    for kind, key in (("palette", "palette"), ("stamp", "name"), ("tile", "name"), ("cycle", "name"), ("tile_run", "name"), ("frame", "sprite")):
+    for kind, key in (("palette", "palette"), ("stamp", "name"), ("tile", "name"), ("theme", "name"), ("cycle", "name"), ("tile_run", "name"), ("frame", "sprite")):
         t = ts["palette_raw"] if kind == "palette" else ts[kind]
         set_id = F.col("spriteset") if kind == "frame" else F.col("tileset_id").cast("string")
         c = t.groupBy(set_id.alias("tileset_id")).agg(F.countDistinct(key).alias("n")).withColumn("entity_type", F.lit("sprite" if kind == "frame" else kind))

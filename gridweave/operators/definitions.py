@@ -163,38 +163,39 @@ def map_cells(layers: DataFrame) -> DataFrame:
 
 # --- themes ----------------------------------------------------------------------
 def theme_chain(themes: DataFrame) -> DataFrame:
-    """``(name, ancestor, depth, status)``: each theme with itself and its ancestors.
+    """``(tileset_id, name, ancestor, depth, status)``: each theme with itself and its ancestors in its tileset.
 
     Depth-one joins until every chain ends, meets a missing parent or closes a
     loop (``status`` ok / missing / cycle); the frontier shrinks every round.
     """
-    edge = cut(themes.select(F.col("name").alias("ancestor"), F.col("extends").alias("_up")))
-    front = edge.select(F.col("ancestor").alias("name"), "ancestor", F.lit(0).alias("depth"), F.array("ancestor").alias("_path"), "_up")
-    known = edge.select(F.col("ancestor").alias("_up"), F.lit(True).alias("_hit"))
+    edge = cut(themes.select("tileset_id", F.col("name").alias("ancestor"), F.col("extends").alias("_up")))
+    front = edge.select("tileset_id", F.col("ancestor").alias("name"), "ancestor", F.lit(0).alias("depth"), F.array("ancestor").alias("_path"), "_up")
+    known = edge.select("tileset_id", F.col("ancestor").alias("_up"), F.lit(True).alias("_hit"))
     out = None
     while True:
-        j = front.join(known, "_up", "left").withColumn("status", F.when(F.col("_up").isNull(), "ok").when(
+        j = front.join(known, ["tileset_id", "_up"], "left").withColumn("status", F.when(F.col("_up").isNull(), "ok").when(
             F.array_contains("_path", F.col("_up")), "cycle").when(F.col("_hit").isNull(), "missing"))
         j = cut(j)
-        part = j.select("name", "ancestor", "depth", "status")
+        part = j.select("tileset_id", "name", "ancestor", "depth", "status")
         out = part if out is None else out.unionByName(part)
         more = j.where("status IS NULL")
         if more.isEmpty():
             return out
-        front = more.select("name", F.col("_up").alias("ancestor"), (F.col("depth") + 1).alias("depth"), "_path").join(
-            edge, "ancestor").select("name", "ancestor", "depth", F.concat("_path", F.array("ancestor")).alias("_path"), "_up")
+        front = more.select("tileset_id", "name", F.col("_up").alias("ancestor"), (F.col("depth") + 1).alias("depth"), "_path").join(
+            edge, ["tileset_id", "ancestor"]).select("tileset_id", "name", "ancestor", "depth", F.concat("_path", F.array("ancestor")).alias("_path"), "_up")
 
 
 def resolve_themes(themes: DataFrame, chain: DataFrame | None = None) -> DataFrame:
     """Overlay root to leaf: palette of the leaf, other values from the nearest theme that sets them."""
     chain = cut(theme_chain(themes)) if chain is None else chain
-    state = chain.groupBy("name").agg(F.max("status").alias("status"))
-    t = chain.join(themes.withColumnRenamed("name", "ancestor"), "ancestor")
+    key = ["tileset_id", "name"]
+    state = chain.groupBy(*key).agg(F.max("status").alias("status"))
+    t = chain.join(themes.withColumnRenamed("name", "ancestor"), ["tileset_id", "ancestor"])
     near = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("depth"))).alias(c)
-    flat = t.groupBy("name").agg(
+    flat = t.groupBy(*key).agg(
         F.min_by("palette", "depth").alias("palette"), *[near(c) for c in ("scale", "canvas", "max_palette_size", "light_source")])
-    role = t.select("name", "depth", F.explode("roles").alias("role", "sym")).where("sym <> ''")
-    role = role.groupBy("name", "role").agg(F.min_by("sym", "depth").alias("sym")).groupBy("name").agg(
+    role = t.select(*key, "depth", F.explode("roles").alias("role", "sym")).where("sym <> ''")
+    role = role.groupBy(*key, "role").agg(F.min_by("sym", "depth").alias("sym")).groupBy(*key).agg(
         F.map_from_entries(F.collect_list(F.struct("role", "sym"))).alias("roles"))
-    return flat.join(role, "name", "left").join(state, "name").withColumns({
+    return flat.join(role, key, "left").join(state, key).withColumns({
         "scale": F.coalesce("scale", F.lit(1)), "canvas": F.coalesce("canvas", F.lit(16))})

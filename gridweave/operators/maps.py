@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from gridweave.operators.adjacency import A_CORNER, B_CORNER, DELTA, OPPOSITE, adjacency_degree, corners_fit
 from gridweave.operators.components import connected_components
 from gridweave.operators.grid import suffix_parts
+from gridweave.session import cut
 
 BLOCK = 64  # rooms are first labelled inside blocks of this side
 
@@ -116,10 +117,9 @@ def label_rooms(passable: DataFrame, by: str = "map_id", block: int = BLOCK) ->
     cells = z.select(
         by, at(F.col("_z._idx") % block, "_bx").alias("x"), at(F.floor(F.col("_z._idx") / block), "_by").alias("y"),
         (at(F.floor(F.col("_z._lab") / block), "_by") * (1 << 31) + at(F.col("_z._lab") % block, "_bx")).alias("room"))
-    if passable.where((F.col("x") >= block) | (F.col("y") >= block)).isEmpty():
-        return cells
-    last = lambda c: F.col(c) % block == block - 1
-    first = lambda c: F.col(c) % block == 0
+    cells = cut(cells)  # read for the seams and for the result
+    last = lambda c: F.pmod(c, F.lit(block)) == block - 1
+    first = lambda c: F.pmod(c, F.lit(block)) == 0
     seams = None
     for axis, (dx, dy) in (("x", (1, 0)), ("y", (0, 1))):
         a = cells.where(last(axis)).select(by, (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.col("room").alias("src"))
@@ -239,18 +239,19 @@ POSITIONS = {
 def expand_pins(requests: DataFrame, predicates: DataFrame, tiles: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
     """Predicate text -> pins ``(map_id, x, y, tile)``.
 
-    ``requests(map_id, w, h)``, ``predicates(map_id, ord, rule)``,
-    ``tiles(name, idx, affordance)``, ``explicit(map_id, x, y, tile)``.  A type is
-    an exact tile name, else the first tile of that affordance.  Later predicate
+    ``requests(map_id, tileset_id, w, h)``, ``predicates(map_id, ord, rule)``,
+    ``tiles(tileset_id, name, idx, affordance)``, ``explicit(map_id, x, y, tile)``.
+    A type is an exact tile name of the map's tileset, else the first tile of that
+    affordance in it.  Later predicate
     pins overwrite earlier ones; explicit pins only fill free cells in bounds.
     """
     p = predicates.join(requests, "map_id").withColumn("_p", F.split("rule", ":"))
     kind = F.get("_p", F.lit(0))
     p = p.withColumns({"kind": kind, "type": F.when(kind == "border", F.get("_p", F.lit(1))).when(kind == "region", F.get("_p", F.lit(2)))})
     p = p.where(F.col("type").isNotNull())
-    names = tiles.select(F.col("name").alias("type"), F.col("name").alias("_exact")).distinct()
-    firsts = tiles.where("affordance IS NOT NULL").groupBy(F.col("affordance").alias("type")).agg(F.min_by("name", "idx").alias("_first"))
-    p = p.join(names, "type", "left").join(firsts, "type", "left").withColumn("tile", F.coalesce("_exact", "_first")).where("tile IS NOT NULL")
+    names = tiles.select("tileset_id", F.col("name").alias("type"), F.col("name").alias("_exact")).distinct()
+    firsts = tiles.where("affordance IS NOT NULL").groupBy("tileset_id", F.col("affordance").alias("type")).agg(F.min_by("name", "idx").alias("_first"))
+    p = p.join(names, ["tileset_id", "type"], "left").join(firsts, ["tileset_id", "type"], "left").withColumn("tile", F.coalesce("_exact", "_first")).where("tile IS NOT NULL")
 
     b = p.where("kind = 'border'")
     across = b.select("map_id", "ord", "tile", F.lit(0).alias("seq"), F.explode(F.expr("sequence(0, w - 1)")).alias("x"),

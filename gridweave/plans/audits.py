@@ -16,8 +16,11 @@ from gridweave.plans.registry import query
 POOL = ".#+=~gorhwXY"
 # --- bindings -------------------------------------------------------------------
 B = f"""
-pal(palette, sym, r, g, b) AS (SELECT 'base', sym, r, g, b FROM (VALUES {", ".join(f"('{s}', {r}, {g_}, {b})" for s, r, g_, b, _ in fx.PALETTE)}) v(sym, r, g, b)
-  UNION ALL SELECT 'small', sym, r, g, b FROM (VALUES {", ".join(f"('{s}', {r}, {g_}, {b})" for s, r, g_, b, _ in fx.PALETTE[:5])}) v(sym, r, g, b)),
+sets(tileset_id, n) AS (SELECT source, substr(source, 4)::int FROM documents UNION SELECT 'parts' || (p_partkey // 100), p_partkey // 100 FROM part
+  UNION SELECT c_nationkey::varchar, c_nationkey FROM customer UNION SELECT 'themes' || (c_custkey // 40), c_custkey // 40 FROM customer),
+pal AS (SELECT tileset_id, palette, sym, (r + n) % 256 AS r, g, b FROM sets, (VALUES {", ".join(f"({i}, '{s}', {r}, {g_}, {b})" for i, (s, r, g_, b, _) in enumerate(fx.PALETTE))}) v(pos, sym, r, g, b), (VALUES ('base'), ('small')) w(palette)
+  WHERE CASE palette WHEN 'base' THEN pos < 9 OR n % 3 <> 0 ELSE pos < 5 AND n % 2 = 0 END),
+kp AS (SELECT DISTINCT tileset_id, palette FROM pal),
 ds AS (SELECT doc_id, source, {fx.SYMBOL_TEXT_SQL.format('text')} AS s FROM documents),
 dh AS (SELECT doc_id, source, s, (length(s) + 15) // 16 AS rows FROM ds),
 tl AS (SELECT source AS tileset_id, 'd' || doc_id AS name, CASE doc_id % 9 WHEN 8 THEN 'ghost' WHEN 7 THEN 'small' ELSE 'base' END AS palette,
@@ -28,19 +31,20 @@ tl AS (SELECT source AS tileset_id, 'd' || doc_id AS name, CASE doc_id % 9 WHEN
  UNION ALL SELECT 'parts' || (p_partkey // 100), 'p' || p_partkey, 'base', CASE WHEN p_partkey % 5 = 2 THEN '16x3' ELSE '16x2' END, NULL, NULL, NULL, NULL,
   (p_size % 20 + 1) || '# ' || (15 - p_size % 15) || CASE WHEN p_partkey % 6 = 1 THEN 'Q' ELSE '+' END || chr(10) || CASE WHEN p_partkey % 7 = 3 THEN '#9 16.' ELSE '16.' END FROM part),
 sz AS (SELECT *, TRY_CAST(regexp_extract(size, '^(\\d+)x(\\d+)$', 1) AS INT) AS w, TRY_CAST(regexp_extract(size, '^(\\d+)x(\\d+)$', 2) AS INT) AS h FROM tl),
-own AS (SELECT * FROM sz WHERE template IS NULL AND w > 0 AND h > 0 AND palette IN ('base', 'small')),
+own AS (SELECT * FROM sz WHERE template IS NULL AND w > 0 AND h > 0 AND (tileset_id, palette) IN (SELECT tileset_id, palette FROM kp)),
 fr AS (SELECT conv_id, turn, 'conv' AS spriteset, conv_id::varchar AS sprite, turn AS ord, turn + 1 + CASE WHEN conv_id % 5 = 0 AND turn >= 2 THEN 1 ELSE 0 END AS idx, CASE turn % 3 WHEN 0 THEN 'grid' WHEN 1 THEN 'delta' ELSE 'linked' END AS encoding,
   CASE WHEN turn % 3 = 1 AND conv_id % 11 <> 3 THEN CASE WHEN conv_id % 7 = 0 THEN turn + 1 ELSE turn END END AS base,
   CASE WHEN turn % 3 = 2 AND conv_id % 11 <> 5 THEN idx - 1 END AS link_to,
   CASE WHEN turn % 4 = 2 THEN 'h' WHEN conv_id % 3 = 1 THEN 'v' WHEN conv_id % 3 = 2 AND turn % 4 = 0 THEN 'vh' END AS mirror, text FROM conversations),
-cy AS (SELECT c_nationkey::varchar AS tileset_id, 'c' || c_custkey AS name, CASE WHEN c_custkey % 8 = 5 THEN 'ghost' ELSE 'base' END AS palette, CASE c_custkey % 4 WHEN 0 THEN 'forward' WHEN 1 THEN 'backward' WHEN 2 THEN 'ping-pong' ELSE 'sideways' END AS direction,
+cy AS (SELECT c_nationkey::varchar AS tileset_id, 'c' || c_custkey AS name, CASE c_custkey % 8 WHEN 5 THEN 'ghost' WHEN 6 THEN 'small' ELSE 'base' END AS palette, CASE c_custkey % 4 WHEN 0 THEN 'forward' WHEN 1 THEN 'backward' WHEN 2 THEN 'ping-pong' ELSE 'sideways' END AS direction,
   c_custkey % 6 AS fps, c_custkey AS k, c_custkey % 5 AS n FROM customer),
 cs AS (SELECT cy.*, p, substr('{POOL}', ((k + p) % 12 + 1)::bigint, 1) AS sym FROM cy, range(0, 5) t(p) WHERE p < n),
-th AS (SELECT 'th' || c_custkey AS name, CASE c_custkey % 7 WHEN 6 THEN 'ghost' WHEN 5 THEN 'small' ELSE 'base' END AS palette, CASE WHEN c_custkey % 20 = 10 THEN 'th' || (c_custkey + 2) WHEN c_custkey % 20 = 15 THEN 'nowhere' WHEN c_custkey % 5 = 0 THEN NULL ELSE 'th' || (c_custkey - 1) END AS extends,
+th AS (SELECT 'themes' || (c_custkey // 40) AS tileset_id, 'th' || c_custkey % 40 AS name, CASE c_custkey % 7 WHEN 6 THEN 'ghost' WHEN 5 THEN 'small' ELSE 'base' END AS palette, CASE WHEN c_custkey % 20 = 10 THEN 'th' || (c_custkey % 40 + 2) WHEN c_custkey % 20 = 15 THEN 'nowhere' WHEN c_custkey % 5 = 0 THEN NULL ELSE 'th' || (c_custkey % 40 - 1) END AS extends,
   CASE WHEN c_custkey % 3 = 0 THEN (c_nationkey % 4 + 1)::int END AS scale, CASE WHEN c_custkey % 4 = 1 THEN 8 END AS canvas, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS max_palette_size, CASE WHEN c_custkey % 6 = 0 THEN c_mktsegment END AS light_source, c_custkey AS k FROM customer),
-ro AS (SELECT name, k, 'bg' AS role, substr('{POOL}', (k % 12 + 1)::bigint, 1) AS sym FROM th UNION ALL SELECT name, k, 'fg', substr('{POOL}', (k * 7 % 12 + 1)::bigint, 1) FROM th WHERE k % 2 = 0
- UNION ALL SELECT name, k, 'shadow', CASE WHEN k % 30 = 3 THEN 'ab' ELSE '#' END FROM th WHERE k % 3 = 0 UNION ALL SELECT name, k, 'accent', 'g' FROM th WHERE k % 4 = 2),
-cns AS (SELECT name, 'fg_brighter_than_bg' AS con, 'true' AS val FROM th WHERE k % 2 = 1 UNION ALL SELECT name, 'shadow_darker_than_bg', 'true' FROM th UNION ALL SELECT name, 'accent_hue_distinct_from_bg', 'true' FROM th WHERE k % 3 = 1 UNION ALL SELECT name, 'palette_granularity', (k % 12)::varchar FROM th WHERE k % 5 = 2)
+ro AS (SELECT tileset_id, name, k, 'bg' AS role, substr('{POOL}', (k % 12 + 1)::bigint, 1) AS sym FROM th UNION ALL SELECT tileset_id, name, k, 'fg', substr('{POOL}', (k * 7 % 12 + 1)::bigint, 1) FROM th WHERE k % 2 = 0
+ UNION ALL SELECT tileset_id, name, k, 'shadow', CASE WHEN k % 30 = 3 THEN 'ab' ELSE '#' END FROM th WHERE k % 3 = 0 UNION ALL SELECT tileset_id, name, k, 'accent', 'g' FROM th WHERE k % 4 = 2),
+cns AS (SELECT tileset_id, name, 'fg_brighter_than_bg' AS con, 'true' AS val FROM th WHERE k % 2 = 1 UNION ALL SELECT tileset_id, name, 'shadow_darker_than_bg', 'true' FROM th
+ UNION ALL SELECT tileset_id, name, 'accent_hue_distinct_from_bg', 'true' FROM th WHERE k % 3 = 1 UNION ALL SELECT tileset_id, name, 'palette_granularity', (k % 12)::varchar FROM th WHERE k % 5 = 2)
 """
 
 
@@ -66,21 +70,28 @@ def tables(spark, d) -> dict:
         F.concat(F.lit("parts"), s(F.expr("p_partkey div 100"))).alias("tileset_id"), F.concat(F.lit("p"), s(pk)).alias("name"), F.lit("base").alias("palette"),
         F.when(pk % 5 == 2, "16x3").otherwise("16x2").alias("size"), none.alias("symmetry"), none.alias("auto_rotate"), none.alias("template"), none.alias("grid"),
         F.concat(s(ps % 20 + 1), F.lit("# "), s(15 - ps % 15), F.when(pk % 6 == 1, "Q").otherwise("+"), F.lit("\n"), F.when(pk % 7 == 3, "#9 16.").otherwise("16.")).alias("rle"), none.alias("layout"))
-    base = fx.palette(spark)
-    pal = base.unionByName(base.where("pos < 5").withColumn("palette", F.lit("small")))
     cust, c = fx.table(spark, d, "customer"), col("c_custkey")
+    number = lambda e: e.cast("bigint").alias("n")
+    pset, tset, nation = F.expr("p_partkey div 100"), F.expr("c_custkey div 40"), col("c_nationkey")
+    sets = docs.select(col("source").alias("tileset_id"), number(F.substring("source", 4, 9))).union(part.select(F.concat(F.lit("parts"), s(pset)), number(pset))).union(
+        cust.select(s(nation), number(nation))).union(cust.select(F.concat(F.lit("themes"), s(tset)), number(tset))).distinct()
+    # Each tileset has its own colours; some lack the last one, and only every other has the small palette.
+    colours = F.array(*[F.struct(F.lit(p).alias("palette"), F.lit(i).alias("pos"), F.lit(e[0]).alias("sym"), *[F.lit(v).alias(f) for f, v in zip("rgba", e[1:])])
+                        for p, most in (("base", 10), ("small", 5)) for i, e in enumerate(fx.PALETTE[:most])])
+    pal = sets.select("tileset_id", "n", F.inline(colours)).where(
+        "CASE palette WHEN 'base' THEN pos < 9 OR n % 3 <> 0 ELSE n % 2 = 0 END").withColumn("r", ((col("r") + col("n")) % 256).cast("int")).drop("n")
     raw = cust.select(s(col("c_nationkey")).alias("tileset_id"), F.concat(F.lit("n"), s(col("c_nationkey"))).alias("palette"),
                       F.when(c % 15 == 4, "ab").otherwise(F.substring(F.lit(POOL), (c % 12 + 1).cast("int"), F.lit(1))).alias("sym"),
                       F.concat(F.lit("#"), F.when(c % 10 == 3, "zz").otherwise(F.substring(F.md5("c_name"), 1, 6)), F.when(c % 4 == 1, "80").otherwise("")).alias("hex"))
-    cyc = cust.select(s(col("c_nationkey")).alias("tileset_id"), F.concat(F.lit("c"), s(c)).alias("name"), F.when(c % 8 == 5, "ghost").otherwise("base").alias("palette"),
+    cyc = cust.select(s(col("c_nationkey")).alias("tileset_id"), F.concat(F.lit("c"), s(c)).alias("name"), F.when(c % 8 == 5, "ghost").when(c % 8 == 6, "small").otherwise("base").alias("palette"),
                       F.element_at(F.array(*[F.lit(x) for x in ("forward", "backward", "ping-pong", "sideways")]), (c % 4 + 1).cast("int")).alias("direction"), (c % 6).alias("fps"),
                       F.transform(F.slice(F.array(*[F.lit(i) for i in range(5)]), F.lit(1), (c % 5).cast("int")), lambda p: F.substring(F.lit(POOL), ((c + p) % 12 + 1).cast("int"), F.lit(1))).alias("symbols"))
-    up = F.when(c % 20 == 10, F.concat(F.lit("th"), s(c + 2))).when(c % 20 == 15, "nowhere").when(c % 5 == 0, none).otherwise(F.concat(F.lit("th"), s(c - 1)))
+    up = F.when(c % 20 == 10, F.concat(F.lit("th"), s(c % 40 + 2))).when(c % 20 == 15, "nowhere").when(c % 5 == 0, none).otherwise(F.concat(F.lit("th"), s(c % 40 - 1)))
     at = lambda e: F.substring(F.lit(POOL), (e % 12 + 1).cast("int"), F.lit(1))
     entry = lambda name, v, cond=None: (F.struct(F.lit(name).alias("key"), v.alias("value")) if cond is None else F.when(cond, F.struct(F.lit(name).alias("key"), v.alias("value"))))
     roles = F.array_compact(F.array(entry("bg", at(c)), entry("fg", at(c * 7), c % 2 == 0), entry("shadow", F.when(c % 30 == 3, "ab").otherwise("#"), c % 3 == 0), entry("accent", F.lit("g"), c % 4 == 2)))
     cons = F.array_compact(F.array(entry("fg_brighter_than_bg", F.lit("true"), c % 2 == 1), entry("shadow_darker_than_bg", F.lit("true")), entry("accent_hue_distinct_from_bg", F.lit("true"), c % 3 == 1), entry("palette_granularity", s(c % 12), c % 5 == 2)))
-    theme = cust.select(F.concat(F.lit("th"), s(c)).alias("name"), F.when(c % 7 == 6, "ghost").when(c % 7 == 5, "small").otherwise("base").alias("palette"), up.alias("extends"),
+    theme = cust.select(F.concat(F.lit("themes"), s(tset)).alias("tileset_id"), F.concat(F.lit("th"), s(c % 40)).alias("name"), F.when(c % 7 == 6, "ghost").when(c % 7 == 5, "small").otherwise("base").alias("palette"), up.alias("extends"),
                         F.when(c % 3 == 0, (col("c_nationkey") % 4 + 1).cast("int")).alias("scale"), F.when(c % 4 == 1, 8).alias("canvas"), F.when(c % 2 == 0, col("c_nationkey")).alias("max_palette_size"),
                         F.when(c % 6 == 0, col("c_mktsegment")).alias("light_source"), F.map_from_entries(roles).alias("roles"), F.map_from_entries(cons).alias("constraints"))
     conv, v, t = fx.table(spark, d, "conversations"), col("conv_id"), col("turn")
@@ -95,26 +106,32 @@ def tables(spark, d) -> dict:
     te = fx.tile_edges(spark, d)
     nth = F.expr("cast(substring(name, 2) as bigint)")
     run = te.select("tileset_id", F.concat(F.lit("r"), F.expr("substring(name, 2)")).alias("name"), col("name").alias("left"), F.concat(F.lit("t"), s(nth + 1)).alias("middle"), F.concat(F.lit("t"), s(nth + 2)).alias("right"))
-    stamp = part.select(s(F.expr("p_partkey div 100")).alias("tileset_id"), F.concat(F.lit("s"), s(pk)).alias("name"), F.when(pk % 50 == 7, "ghost").otherwise("base").alias("palette"))
+    stamp = part.select(F.concat(F.lit("parts"), s(pset)).alias("tileset_id"), F.concat(F.lit("s"), s(pk)).alias("name"), F.when(pk % 50 == 7, "ghost").when(pk % 50 == 8, "small").otherwise("base").alias("palette"))
     active = fx.table(spark, d, "documents").select(col("source").alias("tileset_id")).distinct().withColumn("max_palette_size", F.expr("6 + cast(substring(tileset_id, 4) as int) % 6"))
     return {"tile": dt.unionByName(pt), "palette": pal, "palette_raw": raw, "cycle": cyc, "theme": theme, "frame": frame, "tile_edges": te, "tile_run": run, "stamp": stamp, "active_theme": active}
 
 
+RULE_SQL: dict[str, str] = {}
+
+
 def rule(name: str, sql: str, recursive: bool = False):
     fn = getattr(au, name)
 
-    @query(name, ("WITH RECURSIVE " if recursive else "WITH ") + B + sql)
+    RULE_SQL[name] = ("WITH RECURSIVE " if recursive else "WITH ") + B + sql
+
+    @query(name, RULE_SQL[name])
     def run(spark, d):
         return fn(tables(spark, d)).select(F.col("tileset_id").cast("string").alias("tileset_id"), "name", "detail")
 
 
 rule("v_palette_parse", """SELECT c_nationkey::varchar AS tileset_id, 'n' || c_nationkey AS name, sym || ': ' || CASE WHEN length(sym) <> 1 THEN 'key must be one character' ELSE 'bad colour' END AS detail
  FROM (SELECT *, CASE WHEN c_custkey % 15 = 4 THEN 'ab' ELSE substr('""" + POOL + """', c_custkey % 12 + 1, 1) END AS sym FROM customer) WHERE length(sym) <> 1 OR c_custkey % 10 = 3""")
-rule("v_palette_ref", "SELECT tileset_id, name, palette AS detail FROM tl WHERE template IS NULL AND palette = 'ghost' UNION ALL SELECT (p_partkey // 100)::varchar, 's' || p_partkey, 'ghost' FROM part WHERE p_partkey % 50 = 7")
+rule("v_palette_ref", """SELECT tileset_id, name, palette AS detail FROM (SELECT tileset_id, name, palette FROM tl WHERE template IS NULL
+ UNION ALL SELECT 'parts' || (p_partkey // 100), 's' || p_partkey, CASE p_partkey % 50 WHEN 7 THEN 'ghost' WHEN 8 THEN 'small' ELSE 'base' END FROM part) WHERE (tileset_id, palette) NOT IN (SELECT tileset_id, palette FROM kp)""")
 rule("v_size", "SELECT tileset_id, name, CASE WHEN size IS NULL THEN 'missing' WHEN size = 'bad' THEN 'malformed' ELSE 'zero' END AS detail FROM tl WHERE template IS NULL AND (size IS NULL OR size = 'bad' OR size LIKE '0x%' OR size LIKE '%x0')")
 rule("v_pixels", "SELECT tileset_id, name, 'no grid, rle or layout' AS detail FROM tl WHERE template IS NULL AND flat IS NULL AND rle IS NULL")
 rule("v_grid_shape", "SELECT tileset_id, name, array_to_string(list_filter([CASE WHEN h <> length(flat) // 16 THEN 'height' END, CASE WHEN symmetry = 'horizontal' THEN 'width' END], lambda z: z IS NOT NULL), ',') AS detail FROM own WHERE flat IS NOT NULL AND (h <> length(flat) // 16 OR symmetry = 'horizontal')")
-rule("v_symbols", "SELECT DISTINCT tileset_id, name, sym AS detail FROM (SELECT tileset_id, name, palette, unnest(string_split(flat, '')) AS sym FROM own WHERE flat IS NOT NULL UNION ALL SELECT tileset_id, name, palette, 'Q' FROM own WHERE rle LIKE '%Q%') WHERE (palette, sym) NOT IN (SELECT palette, sym FROM pal)")
+rule("v_symbols", "SELECT DISTINCT tileset_id, name, sym AS detail FROM (SELECT tileset_id, name, palette, unnest(string_split(flat, '')) AS sym FROM own WHERE flat IS NOT NULL UNION ALL SELECT tileset_id, name, palette, unnest(['Q', '#', '+', '.']) FROM own WHERE rle IS NOT NULL) z JOIN kp USING (tileset_id, palette) WHERE (sym <> 'Q' OR (substr(name, 2)::int % 6 = 1)) AND (tileset_id, palette, sym) NOT IN (SELECT tileset_id, palette, sym FROM pal)")
 rule("v_rle", """SELECT tileset_id, name, array_to_string(list_filter([CASE WHEN p_partkey % 7 = 3 THEN 'token' END, CASE WHEN p_size % 20 + 1 + 15 - p_size % 15 <> 16 THEN 'width' END, CASE WHEN p_partkey % 5 = 2 THEN 'height' END], lambda z: z IS NOT NULL), ',') AS detail
  FROM own JOIN part ON name = 'p' || p_partkey WHERE p_partkey % 7 = 3 OR p_size % 20 + 1 + 15 - p_size % 15 <> 16 OR p_partkey % 5 = 2""")
 rule("v_palette_size", "SELECT tileset_id, name, n || '>' || m AS detail FROM (SELECT tileset_id, name, len(list_distinct(string_split(flat, ''))) AS n, 6 + substr(tileset_id, 4)::int % 6 AS m FROM own WHERE flat IS NOT NULL) WHERE n > m")
@@ -125,45 +142,61 @@ TE = fx.tile_edges_sql()
 rule("v_tile_run", "SELECT tileset_id, name, detail FROM (SELECT l.tileset_id::varchar AS tileset_id, 'r' || substr(l.name, 2) AS name, unnest(list_filter([CASE WHEN l.e <> m.w THEN 'left' END, CASE WHEN m.e <> m.w THEN 'middle' END, CASE WHEN m.e <> r.w THEN 'right' END], lambda z: z IS NOT NULL)) AS detail FROM te l JOIN te m ON m.tileset_id = l.tileset_id AND substr(m.name, 2)::int = substr(l.name, 2)::int + 1 JOIN te r ON r.tileset_id = l.tileset_id AND substr(r.name, 2)::int = substr(l.name, 2)::int + 2)".replace("SELECT tileset_id, name, detail FROM (", ", " + TE.strip() + " SELECT tileset_id, name, detail FROM (", 1))
 rule("v_frames", "SELECT DISTINCT spriteset AS tileset_id, sprite AS name, 'indices are not 1..n' AS detail FROM (SELECT *, row_number() OVER (PARTITION BY sprite ORDER BY ord) AS i FROM fr) WHERE i <> idx")
 rule("v_delta_base", "SELECT tileset_id, name, idx || ': ' || why AS detail FROM (SELECT f.spriteset AS tileset_id, f.sprite AS name, f.idx, unnest(list_filter([CASE WHEN f.base >= f.idx THEN 'not before frame' END, CASE WHEN b.encoding <> 'grid' THEN 'not a grid' END], lambda z: z IS NOT NULL)) AS why FROM fr f LEFT JOIN fr b ON b.sprite = f.sprite AND b.idx = f.base WHERE f.encoding = 'delta' AND f.base IS NOT NULL)")
-rule("v_cycle", """SELECT tileset_id, name, 'palette' AS detail FROM cy WHERE palette = 'ghost' UNION ALL SELECT tileset_id, name, 'too few symbols' FROM cy WHERE palette = 'base' AND n < 2 UNION ALL SELECT tileset_id, name, 'direction' FROM cy WHERE palette = 'base' AND direction = 'sideways'
- UNION ALL SELECT tileset_id, name, 'fps' FROM cy WHERE palette = 'base' AND fps = 0 UNION ALL SELECT tileset_id, name, 'symbol ' || sym FROM cs WHERE palette = 'base' AND sym IN ('X', 'Y')""")
-CHAIN = """, tc(name, anc, depth, path, up) AS (SELECT name, name, 0, [name], extends FROM th UNION ALL SELECT tc.name, th.name, depth + 1, list_append(path, th.name), th.extends FROM tc JOIN th ON th.name = tc.up WHERE NOT list_contains(path, tc.up)),
-cst AS (SELECT name, max(CASE WHEN up IS NULL THEN 'ok' WHEN list_contains(path, up) THEN 'cycle' WHEN up = 'nowhere' THEN 'missing' END) AS status FROM tc GROUP BY 1),
-rs AS (SELECT tc.name, arg_min(palette, depth) AS palette, coalesce(arg_min(scale, depth) FILTER (scale IS NOT NULL), 1) AS scale, coalesce(arg_min(canvas, depth) FILTER (canvas IS NOT NULL), 16) AS canvas, arg_min(max_palette_size, depth) FILTER (max_palette_size IS NOT NULL) AS max_palette_size, arg_min(light_source, depth) FILTER (light_source IS NOT NULL) AS light_source FROM tc JOIN th ON th.name = tc.anc GROUP BY 1),
-rr AS (SELECT tc.name, role, arg_min(sym, depth) AS sym FROM tc JOIN ro ON ro.name = tc.anc GROUP BY ALL) """
-rule("v_theme", CHAIN + """SELECT '' AS tileset_id, name, status AS detail FROM cst WHERE status <> 'ok' UNION ALL SELECT '', name, 'palette ghost' FROM rs JOIN cst USING (name) WHERE status = 'ok' AND palette = 'ghost'
- UNION ALL SELECT '', name, 'role ' || role || CASE WHEN length(sym) <> 1 THEN ' is not one symbol' ELSE ' not in palette' END FROM rr JOIN rs USING (name) JOIN cst USING (name) WHERE status = 'ok' AND palette <> 'ghost' AND (length(sym) <> 1 OR (palette, sym) NOT IN (SELECT palette, sym FROM pal))""", True)
+rule("v_cycle", """SELECT tileset_id, name, 'palette' AS detail FROM cy WHERE (tileset_id, palette) NOT IN (SELECT tileset_id, palette FROM kp) UNION ALL SELECT tileset_id, name, 'too few symbols' FROM cy JOIN kp USING (tileset_id, palette) WHERE n < 2
+ UNION ALL SELECT tileset_id, name, 'direction' FROM cy JOIN kp USING (tileset_id, palette) WHERE direction = 'sideways' UNION ALL SELECT tileset_id, name, 'fps' FROM cy JOIN kp USING (tileset_id, palette) WHERE fps = 0
+ UNION ALL SELECT tileset_id, name, 'symbol ' || sym FROM cs JOIN kp USING (tileset_id, palette) WHERE (tileset_id, palette, sym) NOT IN (SELECT tileset_id, palette, sym FROM pal)""")
+CHAIN = """, tc(tileset_id, name, anc, depth, path, up) AS (SELECT tileset_id, name, name, 0, [name], extends FROM th
+ UNION ALL SELECT tc.tileset_id, tc.name, th.name, depth + 1, list_append(path, th.name), th.extends FROM tc JOIN th ON th.tileset_id = tc.tileset_id AND th.name = tc.up WHERE NOT list_contains(path, tc.up)),
+cst AS (SELECT tileset_id, name, max(CASE WHEN up IS NULL THEN 'ok' WHEN list_contains(path, up) THEN 'cycle' WHEN (tileset_id, up) NOT IN (SELECT tileset_id, name FROM th) THEN 'missing' END) AS status FROM tc GROUP BY 1, 2),
+rs AS (SELECT tc.tileset_id, tc.name, arg_min(palette, depth) AS palette, coalesce(arg_min(scale, depth) FILTER (scale IS NOT NULL), 1) AS scale, coalesce(arg_min(canvas, depth) FILTER (canvas IS NOT NULL), 16) AS canvas, arg_min(max_palette_size, depth) FILTER (max_palette_size IS NOT NULL) AS max_palette_size, arg_min(light_source, depth) FILTER (light_source IS NOT NULL) AS light_source FROM tc JOIN th ON th.tileset_id = tc.tileset_id AND th.name = tc.anc GROUP BY 1, 2),
+rr AS (SELECT tc.tileset_id, tc.name, role, arg_min(sym, depth) AS sym FROM tc JOIN ro ON ro.tileset_id = tc.tileset_id AND ro.name = tc.anc GROUP BY 1, 2, 3) """
+rule("v_theme", CHAIN + """SELECT tileset_id, name, status AS detail FROM cst WHERE status <> 'ok'
+ UNION ALL SELECT tileset_id, name, 'palette ' || palette FROM rs JOIN cst USING (tileset_id, name) WHERE status = 'ok' AND (tileset_id, palette) NOT IN (SELECT tileset_id, palette FROM kp)
+ UNION ALL SELECT tileset_id, name, 'role ' || role || CASE WHEN length(sym) <> 1 THEN ' is not one symbol' ELSE ' not in palette' END FROM rr JOIN rs USING (tileset_id, name) JOIN cst USING (tileset_id, name) JOIN kp USING (tileset_id, palette)
+ WHERE status = 'ok' AND (length(sym) <> 1 OR (tileset_id, palette, sym) NOT IN (SELECT tileset_id, palette, sym FROM pal))""", True)
 LINS = "CASE WHEN {0} / 255.0::double <= 0.04045 THEN {0} / 255.0::double / 12.92 ELSE pow(({0} / 255.0::double + 0.055) / 1.055, 2.4) END"
-METRIC = CHAIN + f""", mt AS (SELECT rr.name, role, 0.2126 * {LINS.format('r')} + 0.7152 * {LINS.format('g')} + 0.0722 * {LINS.format('b')} AS lum, CASE WHEN greatest(r, g, b) = least(r, g, b) THEN 0 WHEN greatest(r, g, b) = r THEN ((60 * (g - b) / (greatest(r, g, b) - least(r, g, b))::double) + 360) % 360
-  WHEN greatest(r, g, b) = g THEN 60 * ((b - r) / (greatest(r, g, b) - least(r, g, b))::double + 2) ELSE 60 * ((r - g) / (greatest(r, g, b) - least(r, g, b))::double + 4) END AS hue FROM rr JOIN rs USING (name) JOIN cst USING (name) JOIN pal ON pal.palette = rs.palette AND pal.sym = rr.sym WHERE status = 'ok'),
-tm AS (SELECT name, max(lum) FILTER (role = 'fg') AS fl, max(lum) FILTER (role = 'bg') AS bl, max(lum) FILTER (role = 'shadow') AS sl, max(hue) FILTER (role = 'bg') AS bh, max(hue) FILTER (role = 'accent') AS ah FROM mt GROUP BY 1) """
-rule("v_theme_constraints", METRIC + """SELECT '' AS tileset_id, name, con AS detail FROM cns JOIN cst USING (name) LEFT JOIN tm USING (name) WHERE status = 'ok' AND ((con = 'fg_brighter_than_bg' AND fl <= bl) OR (con = 'shadow_darker_than_bg' AND sl >= bl)
+METRIC = CHAIN + f""", mt AS (SELECT rr.tileset_id, rr.name, role, 0.2126 * {LINS.format('r')} + 0.7152 * {LINS.format('g')} + 0.0722 * {LINS.format('b')} AS lum, CASE WHEN greatest(r, g, b) = least(r, g, b) THEN 0 WHEN greatest(r, g, b) = r THEN ((60 * (g - b) / (greatest(r, g, b) - least(r, g, b))::double) + 360) % 360
+  WHEN greatest(r, g, b) = g THEN 60 * ((b - r) / (greatest(r, g, b) - least(r, g, b))::double + 2) ELSE 60 * ((r - g) / (greatest(r, g, b) - least(r, g, b))::double + 4) END AS hue
+ FROM rr JOIN rs ON rs.tileset_id = rr.tileset_id AND rs.name = rr.name JOIN cst ON cst.tileset_id = rr.tileset_id AND cst.name = rr.name JOIN pal ON pal.tileset_id = rr.tileset_id AND pal.palette = rs.palette AND pal.sym = rr.sym WHERE status = 'ok'),
+tm AS (SELECT tileset_id, name, max(lum) FILTER (role = 'fg') AS fl, max(lum) FILTER (role = 'bg') AS bl, max(lum) FILTER (role = 'shadow') AS sl, max(hue) FILTER (role = 'bg') AS bh, max(hue) FILTER (role = 'accent') AS ah FROM mt GROUP BY 1, 2) """
+rule("v_theme_constraints", METRIC + """SELECT tileset_id, name, con AS detail FROM cns JOIN cst USING (tileset_id, name) LEFT JOIN tm USING (tileset_id, name) WHERE status = 'ok' AND ((con = 'fg_brighter_than_bg' AND fl <= bl) OR (con = 'shadow_darker_than_bg' AND sl >= bl)
  OR (con = 'accent_hue_distinct_from_bg' AND least(abs(ah - bh), 360 - abs(ah - bh)) < 40) OR (con = 'palette_granularity' AND (TRY_CAST(val AS INT) < 1 OR TRY_CAST(val AS INT) > 8)))""", True)
 
 
-@query("theme_metrics", "WITH RECURSIVE " + B + METRIC + "SELECT name, round(fl, 6) AS fg_lum, round(bl, 6) AS bg_lum, round(sl, 6) AS shadow_lum, round(bh, 6) AS bg_hue, round(ah, 6) AS accent_hue FROM tm")
+@query("theme_metrics", "WITH RECURSIVE " + B + METRIC + "SELECT tileset_id, name, round(fl, 6) AS fg_lum, round(bl, 6) AS bg_lum, round(sl, 6) AS shadow_lum, round(bh, 6) AS bg_hue, round(ah, 6) AS accent_hue FROM tm")
 def theme_metrics(spark, d):
     ts = tables(spark, d)
-    return au.theme_metrics(ts, df_.resolve_themes(ts["theme"])).select("name", R6("fg_lum"), R6("bg_lum"), R6("shadow_lum"), R6("bg_hue"), R6("accent_hue"))
+    return au.theme_metrics(ts, df_.resolve_themes(ts["theme"])).select("tileset_id", "name", R6("fg_lum"), R6("bg_lum"), R6("shadow_lum"), R6("bg_hue"), R6("accent_hue"))
 
 
-@query("v_stats", "WITH " + B + """SELECT c_nationkey::varchar AS tileset_id, 'palette' AS entity_type, count(DISTINCT c_nationkey) AS n FROM customer GROUP BY 1 UNION ALL SELECT (p_partkey // 100)::varchar, 'stamp', count(*) FROM part GROUP BY 1 UNION ALL SELECT tileset_id, 'tile', count(*) FROM tl GROUP BY 1
+@query("v_stats", "WITH " + B + """SELECT c_nationkey::varchar AS tileset_id, 'palette' AS entity_type, count(DISTINCT c_nationkey) AS n FROM customer GROUP BY 1 UNION ALL SELECT 'parts' || (p_partkey // 100), 'stamp', count(*) FROM part GROUP BY 1 UNION ALL SELECT tileset_id, 'theme', count(*) FROM th GROUP BY 1 UNION ALL SELECT tileset_id, 'tile', count(*) FROM tl GROUP BY 1
  UNION ALL SELECT tileset_id, 'cycle', count(*) FROM cy GROUP BY 1 UNION ALL SELECT (p_partkey // 100)::varchar, 'tile_run', count(*) FROM part GROUP BY 1 UNION ALL SELECT 'conv', 'sprite', count(DISTINCT sprite) FROM fr""")
 def v_stats(spark, d):
     return au.v_stats(tables(spark, d)).select("tileset_id", "entity_type", "n")
 
 
-@query("validate")
+def _validate_sql() -> str:
+    """All rules' own SQL, counted."""
+    kinds = {"v_palette_parse": "palette", "v_tile_run": "tile_run", "v_frames": "sprite", "v_delta_base": "sprite", "v_cycle": "cycle", "v_theme": "theme", "v_theme_constraints": "theme"}
+    parts = []
+    for name, sql in RULE_SQL.items():
+        kind = "CASE WHEN left(name, 1) = 's' THEN 'stamp' ELSE 'tile' END" if name == "v_palette_ref" else f"'{kinds.get(name, 'tile')}'"
+        level = "warning" if name in ("v_cycle", "v_theme_constraints") else "error"
+        parts.append(f"SELECT tileset_id::varchar AS tileset_id, {kind} AS entity_type, '{name[2:]}' AS rule, '{level}' AS severity FROM ({sql})")
+    return "SELECT tileset_id, entity_type, rule, severity, count(*) AS n FROM (" + " UNION ALL ".join(parts) + ") GROUP BY ALL"
+
+
+@query("validate", _validate_sql())
 def validate(spark, d):
     return au.validate(tables(spark, d)).groupBy("tileset_id", "entity_type", "rule", "severity").agg(F.count("*").alias("n"))
 
 
 # --- definitions ---------------------------------------------------------------------
-@query("theme_resolve", "WITH RECURSIVE " + B + CHAIN + "SELECT name, palette, scale, canvas, max_palette_size, light_source, status, coalesce((SELECT string_agg(role || '=' || sym, ',' ORDER BY role) FROM rr WHERE rr.name = rs.name), '') AS roles FROM rs JOIN cst USING (name)")
+@query("theme_resolve", "WITH RECURSIVE " + B + CHAIN + "SELECT tileset_id, name, palette, scale, canvas, max_palette_size, light_source, status, coalesce((SELECT string_agg(role || '=' || sym, ',' ORDER BY role) FROM rr WHERE rr.tileset_id = rs.tileset_id AND rr.name = rs.name), '') AS roles FROM rs JOIN cst USING (tileset_id, name)")
 def theme_resolve(spark, d):
     r = df_.resolve_themes(tables(spark, d)["theme"])
     text = F.array_join(F.array_sort(F.transform(F.map_entries("roles"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
-    return r.select("name", "palette", "scale", "canvas", "max_palette_size", "light_source", "status", F.coalesce(text, F.lit("")).alias("roles"))
+    return r.select("tileset_id", "name", "palette", "scale", "canvas", "max_palette_size", "light_source", "status", F.coalesce(text, F.lit("")).alias("roles"))
 
 
 @query("palette_resolve", f"""WITH p AS (SELECT c_custkey, CASE WHEN c_custkey % 10 = 3 THEN NULL ELSE left(md5(c_name), 6) END AS x, c_custkey % 4 = 1 AS al FROM customer)

@@ -148,24 +148,26 @@ def pin_inputs(spark, d):
     req = o.groupBy(F.expr("o_orderkey div 96").alias("map_id")).agg(
         F.min(F.expr(f"(o_orderkey div 96) % {sets}")).alias("tileset_id"), (F.max(F.col("o_orderkey") % 12) + 1).cast("int").alias("w"), (F.max(F.expr("(o_orderkey % 96) div 12")) + 1).cast("int").alias("h"))
     pos = F.element_at(F.array(*[F.lit(p) for p in ("north", "SE", "center", "left", "somewhere")]), (F.col("map_id") % 5 + 1).cast("int"))
-    kind = F.element_at(F.array(*[F.lit(p) for p in ("t1", "hazard", "nothing")]), (F.col("map_id") % 3 + 1).cast("int"))
+    own = F.when(F.col("map_id") % 2 == 0, F.concat(F.lit("t"), (F.col("tileset_id") * 100 + 1).cast("string"))).otherwise("t1")
+    kind = F.when(F.col("map_id") % 3 == 0, own).when(F.col("map_id") % 3 == 1, "hazard").otherwise("nothing")
     preds = req.select("map_id", F.posexplode(F.array(
         F.lit("border:obstacle"), F.concat(F.lit("region:a:"), kind, F.lit(":4x2:"), pos),
         F.concat(F.lit("region:b:walkable:"), F.when(F.col("map_id") % 2 == 0, "2x2:e").otherwise("5")),
         F.lit("path:0,5:9,5"))).alias("ord", "rule"))
-    tiles = fx.tile_edges(spark, d).select("name", F.expr("cast(substring(name, 2) as bigint)").alias("idx"), "affordance")
+    tiles = fx.tile_edges(spark, d).select("tileset_id", "name", F.expr("cast(substring(name, 2) as bigint)").alias("idx"), "affordance")
     explicit = o.where("o_custkey % 6 = 0").select(F.expr("o_orderkey div 96").alias("map_id"), (F.col("o_custkey") % 14).cast("int").alias("x"),
                                                    F.expr("(o_orderkey % 96) div 12").cast("int").alias("y"), F.lit("t3").alias("tile")).distinct()
     return req, preds, tiles, explicit
 
 
 PINS = f"""WITH {fx.tile_edges_sql()}, rq AS (SELECT o_orderkey // 96 AS map_id, min((o_orderkey // 96) % ((SELECT count(*) FROM part) // 100)) AS tileset_id, (max(o_orderkey % 12) + 1)::int AS w, (max((o_orderkey % 96) // 12) + 1)::int AS h FROM orders GROUP BY ALL),
-ft AS (SELECT affordance, arg_min(name, substr(name, 2)::bigint) AS name FROM te WHERE affordance IS NOT NULL GROUP BY 1),
+ft AS (SELECT tileset_id, affordance, arg_min(name, substr(name, 2)::bigint) AS name FROM te WHERE affordance IS NOT NULL GROUP BY 1, 2),
 bp AS (SELECT map_id, 1 AS ord, 0 AS seq, x, y, 'obstacle' AS ty FROM rq, range(0, 12) a(x), range(0, 8) b(y) WHERE x < w AND y < h AND (x = 0 OR y = 0 OR x = w - 1 OR y = h - 1)),
-rg AS (SELECT map_id, w, h, 2 AS ord, ['t1', 'hazard', 'nothing'][map_id % 3 + 1] AS ty, 4 AS rw, 2 AS rh, [0.5, 0.8, 0.5, 0.2, 0.5][map_id % 5 + 1] AS fx, [0.2, 0.8, 0.5, 0.5, 0.5][map_id % 5 + 1] AS fy FROM rq
+rg AS (SELECT map_id, w, h, 2 AS ord, [CASE WHEN map_id % 2 = 0 THEN 't' || (tileset_id * 100 + 1) ELSE 't1' END, 'hazard', 'nothing'][map_id % 3 + 1] AS ty, 4 AS rw, 2 AS rh, [0.5, 0.8, 0.5, 0.2, 0.5][map_id % 5 + 1] AS fx, [0.2, 0.8, 0.5, 0.5, 0.5][map_id % 5 + 1] AS fy FROM rq
   UNION ALL SELECT map_id, w, h, 3, 'walkable', CASE WHEN map_id % 2 = 0 THEN 2 ELSE 3 END, CASE WHEN map_id % 2 = 0 THEN 2 ELSE 3 END, CASE WHEN map_id % 2 = 0 THEN 0.8 ELSE 0.5 END, 0.5 FROM rq),
 rp AS (SELECT map_id, ord, dy * 3 + dx AS seq, least(greatest(floor(fx * w)::int + dx - rw // 2, 0), w - 1) AS x, least(greatest(floor(fy * h)::int + dy - rh // 2, 0), h - 1) AS y, ty FROM rg, range(0, 3) a(dx), range(0, 3) b(dy) WHERE dx < rw AND dy < rh),
-al AS (SELECT u.*, CASE WHEN ty = 't1' THEN 't1' ELSE ft.name END AS tile FROM (SELECT * FROM bp UNION ALL SELECT * FROM rp) u LEFT JOIN ft ON ft.affordance = ty),
+al AS (SELECT u.*, coalesce(te.name, ft.name) AS tile FROM (SELECT * FROM bp UNION ALL SELECT * FROM rp) u JOIN rq USING (map_id)
+ LEFT JOIN te ON te.tileset_id = rq.tileset_id AND te.name = ty LEFT JOIN ft ON ft.tileset_id = rq.tileset_id AND ft.affordance = ty),
 pp AS (SELECT map_id, x, y, arg_max(tile, ord * 100 + seq) AS tile FROM al WHERE tile IS NOT NULL GROUP BY ALL),
 ex AS (SELECT DISTINCT o_orderkey // 96 AS map_id, o_custkey % 14 AS x, (o_orderkey % 96) // 12 AS y FROM orders WHERE o_custkey % 6 = 0),
 pins AS (SELECT map_id, x::bigint AS x, y::bigint AS y, tile FROM pp UNION ALL SELECT map_id, x, y, 't3' FROM ex JOIN rq USING (map_id) WHERE x < w AND y < h AND (map_id, x, y) NOT IN (SELECT map_id, x, y FROM pp))"""

@@ -98,17 +98,23 @@ def read_tilesets(spark: SparkSession, glob: str) -> dict[str, DataFrame]:
 
 
 def read_kb(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Knowledge corpus -> (passages, entity relations); chapter passages and orphans together."""
-    docs = spark.read.schema(KB).option("multiLine", True).json(path).select(F.explode("documents").alias("d")).select("d.*")
-    inner = docs.select("title", F.explode(F.flatten(F.flatten(F.transform("chapters", lambda c: F.transform(
-        F.coalesce(c["sections"], F.array().cast(f"array<struct<passages:array<{PASSAGE}>>>")), lambda s: s["passages"]))))).alias("p"))
-    orphans = docs.select("title", F.explode("orphan_passages").alias("p"))
+    """Knowledge corpus -> (passages, entity relations); chapter passages and orphans together.
+
+    Any level may be missing.  ``doc_id`` is a digest of the passage's place
+    (file, document, chapter, section, index), so equal passages stay apart.
+    """
+    docs = spark.read.schema(KB).option("multiLine", True).json(path).select(
+        F.input_file_name().alias("_file"), F.posexplode("documents").alias("_d", "d")).select("_file", "_d", "d.*")
+    at = ["_file", "_d", "title"]
+    sections = docs.select(*at, F.posexplode("chapters").alias("_c", "_v")).select(*at, "_c", F.posexplode("_v.sections").alias("_s", "_v"))
+    inner = sections.select(*at, "_c", "_s", F.posexplode("_v.passages").alias("_i", "p"))
+    orphans = docs.select(*at, F.lit(-1).alias("_c"), F.lit(-1).alias("_s"), F.posexplode("orphan_passages").alias("_i", "p"))
     empty = F.array().cast("array<string>")
-    p = inner.unionByName(orphans).select("title", F.col("p.content").alias("content"), F.coalesce("p.summary", F.lit("")).alias("summary"), F.coalesce("p.concepts", empty).alias("concepts"),
+    p = inner.unionByName(orphans).select(F.xxhash64("_file", "_d", "_c", "_s", "_i").alias("doc_id"), "title", F.col("p.content").alias("content"), F.coalesce("p.summary", F.lit("")).alias("summary"), F.coalesce("p.concepts", empty).alias("concepts"),
                                           F.coalesce("p.keywords", empty).alias("keywords"), F.coalesce("p.hypothetical_questions", empty).alias("questions"))
     rel = docs.select(F.explode("knowledge_graph.entities").alias("entity", "_e")).select("entity", F.explode("_e.relations").alias("_r")).select(
         "entity", F.col("_r.predicate").alias("predicate"), F.col("_r.target").alias("target"))
-    return p.withColumn("doc_id", F.xxhash64("title", "content")), rel
+    return p, rel
 
 
 def read_feedback(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
