@@ -18,7 +18,7 @@ from gridweave.plans.registry import query
 from gridweave.session import cut
 
 # --- replies ------------------------------------------------------------------------
-VALID = """vn AS (SELECT w FROM (SELECT unnest(regexp_split_to_array(text, '[ \\n\\t]+')) AS w FROM conversations) WHERE w <> '' GROUP BY w ORDER BY count(*) DESC, w LIMIT 50),
+VALID = """vn AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_split_to_array(text, '[ \\n\\t]+')) AS w FROM conversations WHERE role = 'user') WHERE w <> ''),
 vt AS (SELECT w || s AS token FROM vn, (VALUES (''), ('_90'), ('_180'), ('_270')) v(s)),
 ln AS (SELECT conv_id * 1000 + turn AS reply_id, list_filter(list_transform(string_split(trim(text, E' \\n'), chr(10)), lambda t: trim(t)), lambda t: t <> '') AS ls FROM conversations WHERE role = 'assistant'),
 cl AS (SELECT reply_id, x, y, (regexp_split_to_array(ls[y + 1], '[ \\t]+'))[x + 1] AS token FROM ln, range(0, 8) a(y), range(0, 12) b(x)),
@@ -27,9 +27,8 @@ ce AS (SELECT reply_id, x, y, CASE WHEN token IN (SELECT token FROM vt) THEN tok
 
 def reply_cells(spark, d):
     c = fx.table(spark, d, "conversations")
-    words = c.select(F.explode(F.split("text", r"[ \n\t]+")).alias("tile")).where("tile <> ''")
-    # The fifty commonest words stand in for the tile names: a top-k, which is the binding's definition.
-    valid = words.groupBy("tile").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tile").limit(50)
+    # All words of the user's turns stand in for the tile names.
+    valid = c.where("role = 'user'").select(F.explode(F.split("text", r"[ \n\t]+")).alias("tile")).where("tile <> ''").distinct()
     replies = c.where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("reply_id"), "text")
     return ds.parse_replies(replies, valid, 12, 8)
 

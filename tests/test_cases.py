@@ -301,3 +301,42 @@ def test_validate_reports_everything(spark):
     v = audit.validate(audits.tables(spark, "/root/testdata/sf0.001"))
     rules = {r["rule"] for r in v.select("rule").distinct().collect()}
     assert {"palette_ref", "size", "pixels", "rle", "template", "theme", "cycle"} <= rules
+
+
+def test_rooms_meet_across_zero(spark):
+    df = spark.createDataFrame([(1, x, 0) for x in (-1, 0, 1)] + [(1, 0, y) for y in (-9, -8, -7)], "map_id int, x int, y int")
+    for lab in (maps.label_rooms(df), maps.label_rooms(df, block=8), maps.label_rooms_join(df)):
+        assert sorted(r["n"] for r in lab.groupBy("room").agg(F.count("*").alias("n")).collect()) == [3, 3]
+
+
+def test_names_stay_in_their_tileset(spark):
+    rows = [("A", "dark", "pa", None, 2), ("B", "dark", "pb", None, 3), ("B", "leaf", "pb", "dark", None), ("A", "leaf2", "pa", "leaf", None)]
+    theme = spark.createDataFrame(
+        [(*r, None, None, None, {"bg": "#"}) for r in rows],
+        "tileset_id string, name string, palette string, extends string, scale int, canvas int, max_palette_size int, light_source string, roles map<string,string>")
+    got = {(r["tileset_id"], r["name"]): (r["palette"], r["scale"], r["status"]) for r in definitions.resolve_themes(theme).collect()}
+    assert got == {("A", "dark"): ("pa", 2, "ok"), ("B", "dark"): ("pb", 3, "ok"), ("B", "leaf"): ("pb", 3, "ok"), ("A", "leaf2"): ("pa", 1, "missing")}
+
+    palette = spark.createDataFrame([("B", "base", "#"), ("C", "base", "#"), ("C", "base", "+")], "tileset_id string, palette string, sym string")
+    tile = spark.createDataFrame([(s, "t", "base", "2x1", "#+") for s in "ABC"], "tileset_id string, name string, palette string, size string, grid string")
+    tile = tile.withColumns({c: F.lit(None).cast("string") for c in ("template", "rle", "layout", "symmetry")})
+    ts = {"palette": palette, "tile": tile, "stamp": tile}
+    assert {(r["tileset_id"], r["entity_type"]) for r in audit.v_palette_ref(ts).collect()} == {("A", "tile"), ("A", "stamp")}
+    assert [(r["tileset_id"], r["detail"]) for r in audit.v_symbols(ts).collect()] == [("B", "+")]
+
+    req = spark.createDataFrame([(1, "A", 3, 3), (2, "B", 3, 3)], "map_id int, tileset_id string, w int, h int")
+    preds = req.select("map_id", F.lit(0).alias("ord"), F.lit("region:r:wall:1x1").alias("rule"))
+    tiles = spark.createDataFrame([("A", "a", 2, "wall"), ("B", "b", 1, "wall"), ("C", "wall", 0, None)], "tileset_id string, name string, idx int, affordance string")
+    assert {(r["map_id"], r["tile"]) for r in maps.expand_pins(req, preds, tiles).collect()} == {(1, "a"), (2, "b")}
+
+
+def test_knowledge_reader_places(spark, tmp_path):
+    import json
+
+    from gridweave.sources import readers
+
+    same = {"content": "same words"}
+    doc = {"title": "T", "chapters": [{"sections": [{"passages": [same, same]}, {}]}, {}], "orphan_passages": [same]}
+    (tmp_path / "kb.json").write_text(json.dumps({"documents": [doc, {"title": "empty"}]}))
+    rows = readers.read_kb(spark, str(tmp_path / "kb.json"))[0].collect()
+    assert [r["content"] for r in rows] == ["same words"] * 3 and len({r["doc_id"] for r in rows}) == 3
