@@ -135,7 +135,7 @@ SELECT doc_id, licence, line, coalesce(dice, 0.0) AS dice FROM documents LEFT JO
 
 @query("op3_license_scan", _license_sql())
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best licence match of every document, as a whole or by line."""
+    """Every licence of every document, as a whole, by line or in a run of words."""
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.templates(spark)).drop("text")
 
 

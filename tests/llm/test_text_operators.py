@@ -69,6 +69,33 @@ def test_license_edges(spark):
     assert licenses.scan(docs.where("false"), licenses.templates(spark)).count() == 0
 
 
+def test_licenses_inside_texts(spark):
+    """Wrapped grants, notices beside other text, several licences, against every window of words."""
+    import textwrap
+    full = [t for _, t in licenses.TEMPLATES]
+    prose = "some plain words of the work that stand before it and are subject to the terms of nobody "
+    wrapped = textwrap.fill(full[4], 70)
+    dual = "/* " + textwrap.fill(full[6], 60) + "\n */\n" + prose + "\n" + textwrap.fill(full[11], 40) + " and so on"
+    rows = [(1, f"# Title\n{prose * 3}\n\n{wrapped}\n\n{prose * 3}"), (2, prose + full[2] + " " + prose), (3, dual), (4, f"{full[2]}\n{full[7]}"),
+            (5, "x\n" + textwrap.fill(full[12], 50) + "\n" + prose * 5), (6, "// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n" + prose * 4),
+            (7, prose * 40), (8, "a\n" + full[8] + "\nb " + prose * 4), (9, full[2] + "\n" + prose * 3), (9, prose * 3), (10, prose + full[4].replace("free of charge", "gratis").replace("sublicense", "lend") + prose)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.templates(spark)).collect()
+    by = sorted((r.doc_id, r.licence, r.line) for r in got if r.licence)
+    assert by == [(1, "MIT", 4), (2, "MIT", 1), (3, "GPL-3.0", 1), (3, "MPL-2.0", 8), (4, "CC-BY-NC-4.0", 2), (4, "MIT", 1), (5, "ISC", 2), (6, "BSD-3-Clause", 1),
+                  (8, "CC-BY-4.0", 2), (9, "MIT", 1), (10, "MIT", 1)]
+    assert len(got) == len(rows) + 2 and all(0.8 <= r.dice <= 1 for r in got if r.licence)
+    best = {r.doc_id: r.dice for r in got}
+    assert best[2] == best[5] == best[6] == 1
+
+    def pairs(t):
+        w = re.findall("[a-z0-9]+", t.lower())
+        return [*zip(w, w[1:])]
+    from collections import Counter
+    whole = pairs(rows[-1][1])
+    slow = max(2 * sum((Counter(whole[a:b]) & Counter(pairs(full[4]))).values()) / (b - a + len(pairs(full[4]))) for a in range(len(whole)) for b in range(a + 2, len(whole) + 1))
+    assert abs(best[10] - slow) < 1e-12 and slow < 1
+
+
 def test_decontamination_against_all_windows(spark):
     """Planted, edited and clean documents against a comparison of every anchored window."""
     import random
