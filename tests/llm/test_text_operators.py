@@ -165,6 +165,22 @@ def test_quotes(spark):
     assert quotes.conversations(m.where("false")).count() == 0
 
 
+def test_quotes_of_parts(spark, monkeypatch):
+    """Answers between the lines and trimmed quotes, whole passages first; places over several ranges."""
+    monkeypatch.setattr(quotes, "TURNS", 2)
+    rows = [(1, 0, "first\nsecond\nthird"), (1, 1, "> first\nyes\n> Second\nno"), (1, 2, "first\nother"), (1, 3, "> third\n> first\nok"), (1, 4, "> first\n>  other\nboth"),
+            (1, 5, "> first\n> unknown\nhm"), (1, 6, "> later line\nx"), (1, 7, "later line\ny"), (1, 8, "> other\n> third"), (1, 9, ">> second\n> no\nz"), (2, 0, "> first"),
+            (1, 10, "second"), (1, 11, "> second"), (1, 12, "plain")]
+    m = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn int, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in quotes.conversations(m).collect()}
+    assert len(got) == len(rows)
+    assert {k[1]: r.parent_turn for k, r in got.items() if r.parent_turn is not None} == {1: 0, 3: 0, 4: 2, 9: 1, 11: 10}
+    assert [(got[1, t].n_quotes, got[1, t].n_linked) for t in (1, 5, 6, 8, 9)] == [(2, 2), (1, 0), (1, 0), (1, 0), (2, 2)]
+    assert (got[1, 9].thread, got[2, 0].parent_turn) == (0, None)
+    order = sorted((k[1] for k in got if k[0] == 1), key=lambda t: (got[1, t].thread, t))
+    assert [got[1, t].place for t in order] == list(range(1, len(order) + 1)) and order[:4] == [0, 1, 3, 9]
+
+
 def test_token_counts_against_plain_search(spark):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     score, longest = unigram.scores(path)
