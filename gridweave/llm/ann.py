@@ -6,14 +6,15 @@ eigenvector of its graph, found by power iteration, and halves them.  A small
 softmax classifier learns, for each sampled vector, how its neighbours spread
 over the parts.  It then places every vector in its most probable part and
 routes every query to several of them: as many as the sample needs for
-``RECALL`` of its own neighbours.  Within a part all vectors are reranked by
+``RECALL`` of its own neighbours, and to further ones until those hold enough
+vectors for ``k`` rows.  Within a part all vectors are reranked by
 exact inner products in double precision, block by block.
 
 Parts grow with the table; their blocks do not, and a part's copies of one
 vector are spread over its blocks.
 
 Defined results: null, zero or non-finite vectors, and those of another length
-than the sample's, take no part; ties go to the smaller id; a query has fewer
+than the commonest (the smaller of equally common ones), take no part; ties go to the smaller id; a query has fewer
 rows where there are fewer candidates; rows that share an id are never each
 other's neighbours and a repeated query row is one query; rows without an id
 take no part; an empty table gives an empty result; other columns are not read.
@@ -122,11 +123,11 @@ def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 
 def placed(vectors: DataFrame, model: Model) -> DataFrame:
-    """``(vec_id, v, parts)``: the most probable parts of each vector, best first."""
+    """``(vec_id, v, parts)``: the parts of each vector, most probable first."""
     def run(batches):
         for p in batches:
             z = model.logits(np.stack(p["v"].to_list()))
-            p["parts"] = list(np.argsort(-z, axis=1, kind="stable")[:, :model.probes].astype(np.int32))
+            p["parts"] = list(np.argsort(-z, axis=1, kind="stable").astype(np.int32))
             yield p
 
     return vectors.mapInPandas(run, "vec_id bigint, v array<double>, parts array<int>")
@@ -160,14 +161,22 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", ve
            sample: int = SAMPLE, parts: int = PARTITIONS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found for every row for which ``is_query(vec_id)`` holds."""
     good = usable(vectors, vec_id, vector)
-    rows = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    if not rows:
+    common = good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "dim").first()
+    if common is None:
         return good.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
-    dim = len(rows[0]["v"])
-    model = fit(np.array([r["v"] for r in rows if len(r["v"]) == dim]), parts, k=k)
-    spread = cut(placed(good.where(F.size("v") == dim), model))
+    good = good.where(F.size("v") == common["dim"])
+    rows = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    model = fit(np.array([r["v"] for r in rows]), parts, k=k)
+    spread = cut(placed(good, model))
     base = spread.select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v"), F.col("parts")[0].alias("part"))
-    asked = spread.where(is_query(F.col("vec_id"))).select("vec_id", "v", F.explode("parts").alias("part"))
+    # Ids of each part, an id of several parts in one of them, so that their sums are ids at hand; one number per partition.
+    held = dict(base.groupBy("vec_id").agg(F.min("part").alias("part")).groupBy("part").agg(F.count("*").alias("n")).collect())
+    ids = F.array(*[F.lit(held.get(i, 0)).cast("bigint") for i in range(len(model.bias))])
+    # Further parts until those before hold k others; the query itself may be one of their ids.
+    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("probes"))
+    enough = F.aggregate("parts", none, lambda acc, p: F.when(
+        (acc["probes"] >= model.probes) & (acc["n"] > k), acc).otherwise(F.struct((acc["n"] + F.get(ids, p)).alias("n"), (acc["probes"] + 1).alias("probes"))))["probes"]
+    asked = spread.where(is_query(F.col("vec_id"))).select("vec_id", "v", F.explode(F.slice("parts", F.lit(1), enough)).alias("part"))
 
     counts = base.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     wanted = asked.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("asks"))

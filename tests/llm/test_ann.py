@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridweave.llm import ann, queries
 
@@ -53,6 +54,22 @@ def test_odd_vectors_ties_and_blocks(spark, monkeypatch):
     assert same[:20] == [i for i, _ in want[500]]  # all ties, smallest ids first
 
 
+def test_odd_length_first_and_small_parts(spark, monkeypatch):
+    """The commonest length counts, and parts of few vectors are not all that a query sees."""
+    rng = np.random.default_rng(4)
+    ids = [r.vec_id for r in spark.range(120).withColumnRenamed("id", "vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").collect()]
+    odd = next(i for i in ids if i % 20)  # a query would have no rows
+    ids = [i for i in ids if i == odd or ids.index(i) > ids.index(odd)]  # the odd one has the least hash
+    rows = [(i, [1.0, 2.0, 3.0] if i == odd else [float(5 + i % 3) if i % 40 == 0 else 0.1, float(rng.standard_normal()) + 4]) for i in ids]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "fit", lambda x, *a, **b: ann.Model(np.array([[1.0, 0.0, -1.0], [0.0, 0.5, 0.0]]), np.zeros(3), 1))
+    got = ann.search(v, lambda i: i % 20 == 0).collect()
+    queried = [i for i in ids if i % 20 == 0]
+    assert len(queried) > 1 and {i for i in queried if i % 40 == 0}
+    assert {q: sum(r.query_id == q for r in got) for q in queried} == dict.fromkeys(queried, 20)
+    assert odd not in {r.vec_id for r in got}
+
+
 def test_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [0.5, 0.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in ann.search(few, lambda i: i % 20 == 0).orderBy("rank").collect()] == [(0, 1, 1, 4.0), (0, 2, 2, 0.5)]
