@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.fixtures import table
-from gridweave.llm import ann, bpe, decontaminate, jaccard_join, licenses, quotes, secret_scan, toxicity, unigram, zip_warc
+from gridweave.llm import ann, bpe, decontaminate, fill_middle, jaccard_join, licenses, quotes, secret_scan, toxicity, unigram, zip_warc
 from gridweave.plans.registry import Query, shipped
 from gridweave.session import scratch_path
 
@@ -184,3 +184,27 @@ FROM conversations c JOIN own USING (conv_id, turn) JOIN top USING (conv_id, tur
 def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations without quotes, in reply order."""
     return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
+def _fill_middle_sql() -> str:
+    """Units as a list, parts as joined slices of it."""
+    draw = ", ".join(f"('0x' || substr(sha256('1:' || doc_id), {8 * i + 1}, 8))::bigint AS h{i + 1}" for i in range(4))
+    marked = " OR ".join(f"contains(t, '{m}')" for m in fill_middle.MARKERS)
+    p, s, m = fill_middle.MARKERS
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {draw} FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w FROM d),
+c AS (SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+  CASE WHEN t = '' OR {marked} OR h3 % 100 >= {fill_middle.CUT} THEN 'plain' WHEN h4 % 100 < {fill_middle.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM u),
+part AS (SELECT doc_id, t, n, form, array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid, array_to_string(w[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{p}' || pre || '{s}' || suf || '{m}' || mid ELSE '{s}' || suf || '{p}' || pre || '{m}' || mid END) AS output_sha256,
+  sha256(pre || mid || suf) AS restored_sha256 FROM part"""
+
+
+@query("op12_fill_middle", _fill_middle_sql())
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut and put in its drawn form, and the text rebuilt from that, as digests."""
+    made = fill_middle.transform(table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                       F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
