@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.fixtures import table
-from gridweave.llm import ann, bpe, decontaminate, fill_middle, jaccard_join, licenses, quotes, secret_scan, toxicity, unigram, zip_warc
+from gridweave.llm import ann, bpe, decontaminate, fill_middle, jaccard_join, licenses, quotes, secret_scan, source_divergence, toxicity, unigram, zip_warc
 from gridweave.plans.registry import Query, shipped
 from gridweave.session import scratch_path
 
@@ -208,3 +208,32 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = fill_middle.restored(F.col("output"), F.col("form"))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
                        F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
+#: The same, each text by itself and every term of every group spelt out.
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+tok AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM tok GROUP BY ALL HAVING count(DISTINCT i) >= 30),
+vocab AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+cnt AS (SELECT lang, source, term, count(*) AS n FROM tok JOIN kept USING (lang, term) GROUP BY ALL),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cell AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM grp JOIN kept USING (lang) LEFT JOIN cnt USING (lang, source, term)),
+tot AS (SELECT lang, source, sum(n) AS t FROM cell GROUP BY ALL),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::hugeint * (n + 5)) // (t + 5 * v) AS p FROM cell JOIN tot USING (lang, source) JOIN vocab USING (lang)),
+lt AS (SELECT lang, term, sum(n) AS n FROM cnt GROUP BY ALL),
+q AS (SELECT lang, term, 1 + (1000000000::hugeint * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM lt JOIN vocab USING (lang)),
+pr AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0)::bigint AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+tm AS (SELECT lang, source, 'term' AS part, term AS item, (p.p - q.q)::bigint AS value FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q),
+al AS (SELECT * FROM pr UNION ALL SELECT * FROM tm)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::int AS rank FROM al
+QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
+@query("op11_source_divergence", DIVERGENCE_SQL)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences between a language's sources, and the terms that each source has more of."""
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
