@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.fixtures import table
-from gridweave.llm import ann, bpe, decontaminate, fill_middle, jaccard_join, licenses, quotes, secret_scan, source_divergence, toxicity, unigram, zip_warc
+from gridweave.llm import ann, bpe, decontaminate, fill_middle, jaccard_join, licenses, quality, quotes, secret_scan, source_divergence, toxicity, unigram, zip_warc
 from gridweave.plans.registry import Query, shipped
 from gridweave.session import scratch_path
 
@@ -15,6 +15,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 #: Score from which a text counts as toxic.
 TOXIC = 0.3
+#: Score from which a text counts as good.
+GOOD = 0.3
 
 
 def query(name: str, sql: str | None = None):
@@ -237,3 +239,16 @@ QUALIFY part = 'pair' OR rank <= 50
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences between a language's sources, and the terms that each source has more of."""
     return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    """A model that never saw the labels of the held-out fold."""
+    return quality.train(docs, labels.where(~quality.held_out(F.col("doc_id"))))
+
+
+@query("op13_quality")
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every text, from the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
