@@ -21,16 +21,24 @@ def parse_palette(df: DataFrame) -> DataFrame:
     return df.withColumns({**hex_channels(F.col("hex")), "error": error})
 
 
-def merge_palette_ext(palette: DataFrame, ext: DataFrame) -> DataFrame:
-    """``ext(palette, base, sym, r, g, b, a)``: base entries plus the extension's own.
+def merge_palette_ext(palette: DataFrame, ext: DataFrame, scope: tuple[str, ...] = ("tileset_id",)) -> DataFrame:
+    """``ext(*scope, palette, base, sym, hex)``: entries of the base palette of the same scope plus the extension's own.
 
-    A key named ``base`` is the link, not a colour; an extension entry wins over a base one.
+    A key named ``base`` is the link, not a colour; an extension entry wins over
+    a base one.  What can't be resolved is a row with an ``error``: an entry with
+    a bad colour, and an extension whose base its scope lacks, which then has no
+    other rows.
     """
-    cols = ["palette", "sym", "r", "g", "b", "a"]
-    links = ext.select(F.col("palette").alias("_ext"), F.col("base").alias("palette")).distinct()
-    inherited = palette.join(links, "palette").select(F.col("_ext").alias("palette"), *cols[1:])
-    own = ext.where("sym <> 'base'").select(*cols)
-    return own.unionByName(inherited.join(own.select("palette", "sym"), ["palette", "sym"], "left_anti"))
+    cols = [*scope, "palette", "sym", "r", "g", "b", "a"]
+    links = ext.select(*scope, F.col("palette").alias("_ext"), F.col("base").alias("palette")).distinct()
+    based = links.join(palette.select(*scope, "palette").distinct(), [*scope, "palette"], "left_semi")
+    lost = links.join(based, [*scope, "_ext", "palette"], "left_anti").select(
+        *scope, F.col("_ext").alias("palette"), F.lit(None).cast("string").alias("sym"), F.lit("base palette not found").alias("error"))
+    own = ext.where("sym <> 'base'").join(based.select(*scope, F.col("_ext").alias("palette")), [*scope, "palette"], "left_semi")
+    own = own.select(*scope, "palette", "sym", F.when(~hex_valid(F.col("hex")), "bad colour").alias("error"), "hex").withColumns(hex_channels(F.col("hex"))).drop("hex")
+    inherited = palette.join(based, [*scope, "palette"]).select(*scope, F.col("_ext").alias("palette"), *cols[len(scope) + 1:])
+    inherited = inherited.join(own, [*scope, "palette", "sym"], "left_anti")
+    return own.unionByName(inherited, allowMissingColumns=True).unionByName(lost, allowMissingColumns=True).select(*cols, "error")
 
 
 def colorize(pixels: DataFrame, palette: DataFrame, on: list[str], swap: DataFrame | None = None,

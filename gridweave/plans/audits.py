@@ -207,15 +207,30 @@ def palette_resolve(spark, d):
     return fx.table(spark, d, "customer").withColumn("hex", h).withColumns(hex_channels(F.col("hex"))).select("c_custkey", *"rgba")
 
 
-@query("palette_ext_merge", "WITH " + B + """, ex AS (SELECT 'e' || c_nationkey AS palette, (2 + c_custkey % 3) || chr((97 + c_custkey % 26)::int) AS sym, max(c_custkey) AS r FROM customer GROUP BY ALL UNION ALL SELECT DISTINCT 'e' || c_nationkey, '#', 7 FROM customer)
-SELECT palette, sym, r FROM ex UNION ALL SELECT e.palette, pal.sym, pal.r FROM (SELECT DISTINCT palette FROM ex) e, pal WHERE pal.palette = 'base' AND (e.palette, pal.sym) NOT IN (SELECT palette, sym FROM ex)""")
+PALETTE_EXT_SQL = "WITH " + B + """,
+raw AS (SELECT c_nationkey::varchar AS tileset_id, c_custkey % 3 AS e, CASE WHEN c_custkey % 11 = 2 THEN '#' ELSE (2 + c_custkey % 4) || chr((97 + c_custkey % 26)::int) END AS sym,
+  CASE WHEN c_custkey % 10 = 3 THEN 'zz' ELSE left(md5(c_name), 6) END AS x FROM customer),
+ex AS (SELECT tileset_id, 'e' || e AS palette, CASE e WHEN 0 THEN 'base' WHEN 1 THEN 'small' ELSE 'ghost' END AS base, sym, max(x) AS x FROM raw GROUP BY ALL),
+link AS (SELECT DISTINCT tileset_id, palette, base, (tileset_id, base) IN (SELECT tileset_id, palette FROM kp) AS found FROM ex),
+mine AS (SELECT ex.tileset_id, ex.palette, sym, ('0x' || substr(nullif(x, 'zz'), 1, 2))::int AS r, ('0x' || substr(nullif(x, 'zz'), 3, 2))::int AS g,
+  ('0x' || substr(nullif(x, 'zz'), 5, 2))::int AS b, CASE WHEN x = 'zz' THEN 'bad colour' END AS error FROM ex JOIN link USING (tileset_id, palette) WHERE found)
+SELECT * FROM mine
+UNION ALL SELECT l.tileset_id, l.palette, p.sym, p.r, p.g, p.b, NULL FROM link l JOIN pal p ON p.tileset_id = l.tileset_id AND p.palette = l.base
+  WHERE NOT EXISTS (SELECT 1 FROM mine m WHERE m.tileset_id = l.tileset_id AND m.palette = l.palette AND m.sym = p.sym)
+UNION ALL SELECT tileset_id, palette, NULL, NULL, NULL, NULL, 'base palette not found' FROM link WHERE NOT found"""
+
+
+@query("palette_ext_merge", PALETTE_EXT_SQL)
 def palette_ext_merge(spark, d):
-    c = fx.table(spark, d, "customer")
-    name = F.concat(F.lit("e"), F.col("c_nationkey").cast("string")).alias("palette")
-    own = c.groupBy(name, F.concat((F.col("c_custkey") % 3 + 2).cast("string"), F.char(F.lit(97) + F.col("c_custkey") % 26)).alias("sym")).agg(F.max("c_custkey").alias("r"))
-    extra = c.select(name).distinct().select("palette", F.explode(F.array(F.struct(F.lit("#").alias("sym"), F.lit(7).alias("r")), F.struct(F.lit("base").alias("sym"), F.lit(0).alias("r")))).alias("_e")).select("palette", "_e.*")
-    ext = own.unionByName(extra.withColumn("r", F.col("r").cast("bigint"))).withColumns({"base": F.lit("base"), "g": F.lit(0), "b": F.lit(0), "a": F.lit(255)})
-    return df_.merge_palette_ext(fx.palette(spark), ext).select("palette", "sym", BIG("r"))
+    c, e = F.col("c_custkey"), F.col("c_custkey") % 3
+    hexes = F.concat(F.lit("#"), F.when(c % 10 == 3, "zz").otherwise(F.substring(F.md5("c_name"), 1, 6)))
+    sym = F.when(c % 11 == 2, "#").otherwise(F.concat((c % 4 + 2).cast("string"), F.char(F.lit(97) + c % 26)))
+    ext = fx.table(spark, d, "customer").select(
+        F.col("c_nationkey").cast("string").alias("tileset_id"), F.concat(F.lit("e"), e.cast("string")).alias("palette"),
+        F.when(e == 0, "base").when(e == 1, "small").otherwise("ghost").alias("base"), sym.alias("sym"), hexes.alias("hex"))
+    ext = ext.groupBy("tileset_id", "palette", "base", "sym").agg(F.max("hex").alias("hex"))
+    keys = ext.select("tileset_id", "palette", "base").distinct().select("*", F.lit("base").alias("sym"), F.lit("#000000").alias("hex"))  # the link itself
+    return df_.merge_palette_ext(tables(spark, d)["palette"], ext.unionByName(keys)).select("tileset_id", "palette", "sym", "r", "g", "b", "error")
 
 
 COLOR = f"WITH {fx.TILE_SQL}, {fx.PALETTE_SQL}"

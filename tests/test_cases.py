@@ -340,3 +340,14 @@ def test_knowledge_reader_places(spark, tmp_path):
     (tmp_path / "kb.json").write_text(json.dumps({"documents": [doc, {"title": "empty"}]}))
     rows = readers.read_kb(spark, str(tmp_path / "kb.json"))[0].collect()
     assert [r["content"] for r in rows] == ["same words"] * 3 and len({r["doc_id"] for r in rows}) == 3
+
+
+def test_palette_extension_by_tileset(spark):
+    """Equal names of two tilesets stay apart; an unknown base and a bad colour are rows with an error."""
+    pal = spark.createDataFrame([("a", "p", "#", 1, 1, 1, 255), ("a", "p", ".", 2, 2, 2, 255), ("b", "p", "#", 9, 9, 9, 255), ("b", "q", ".", 8, 8, 8, 255)],
+                                "tileset_id string, palette string, sym string, r int, g int, b int, a int")
+    ext = spark.createDataFrame([("a", "x", "p", "#", "#0a0b0c"), ("a", "x", "p", "base", "p"), ("b", "x", "p", "2c", "#zz0000"), ("a", "y", "q", "2a", "#000000"), ("b", "only", "q", "base", "q")],
+                                "tileset_id string, palette string, base string, sym string, hex string")
+    got = sorted((r.tileset_id, r.palette, r.sym or "", r.r, r.error) for r in definitions.merge_palette_ext(pal, ext).collect())
+    assert got == [("a", "x", "#", 10, None), ("a", "x", ".", 2, None), ("a", "y", "", None, "base palette not found"),
+                   ("b", "only", ".", 8, None), ("b", "x", "#", 9, None), ("b", "x", "2c", None, "bad colour")]
