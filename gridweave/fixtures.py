@@ -203,37 +203,45 @@ fb AS (SELECT event_id, ts, tileset_id, tile_id, action, style_score,
 """
 
 
+#: Letters from which a word names a concept; words of one letter less are keywords.
+NAME_LETTERS = 10
+
+
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as passages; concepts are a document's longest words."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1)))
-    ranked = F.transform(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"])
-    d = spread(table(spark, sf_dir, "documents"), "doc_id").withColumn("_top", F.slice(ranked, 1, 6))
-    return d.select(
+    """Documents as passages: all long words of the whole text are concepts, all pairs of neighbouring long words phrases."""
+    def of(pattern: str) -> Column:
+        return F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))))
+
+    n = NAME_LETTERS
+    d = spread(table(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id", F.col("source").alias("title"), F.col("text").alias("content"), F.col("lang").alias("summary"),
-        F.slice("_top", 1, 4).alias("concepts"), F.slice("_top", 5, 2).alias("keywords"),
-        F.array().cast("array<string>").alias("questions"),
-        F.regexp_extract(F.lower("text"), "([a-z]+ [a-z]+)", 1).alias("phrase"))
+        of(rf"\p{{L}}{{{n - 1},}}").alias("_w"), of(rf"\p{{L}}{{{n},}} \p{{L}}{{{n},}}").alias("phrases"))
+    return d.select(
+        "doc_id", "title", "content", "summary", F.filter("_w", lambda w: F.length(w) >= n).alias("concepts"),
+        F.filter("_w", lambda w: F.length(w) < n).alias("keywords"), F.array().cast("array<string>").alias("questions"), "phrases")
 
 
 def entities(passages_df: DataFrame) -> DataFrame:
-    """``(entity, target)``: the longest word to the next ones and the language; a phrase to the longest two."""
+    """``(entity, target)``: every concept of a passage to the next one in order, every phrase to both its words."""
     c = F.col("concepts")
-    one = passages_df.where(F.size(c) > 0).select(c[0].alias("entity"), F.explode(F.concat(F.slice(c, 2, 3), F.array("summary"))).alias("target"))
-    two = passages_df.where("phrase <> ''").select(F.col("phrase").alias("entity"), F.explode(F.slice(c, 1, 2)).alias("target"))
-    return one.unionByName(two)
+    near = F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), lambda a, b: F.struct(a.alias("entity"), b.alias("target")))
+    both = F.flatten(F.transform("phrases", lambda p: F.transform(F.split(p, " "), lambda w: F.struct(p.alias("entity"), w.alias("target")))))
+    return passages_df.select(F.explode(F.concat(F.filter(near, lambda e: e["target"].isNotNull()), both)).alias("e")).select("e.*")
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-KB_SQL = """
-topw AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY length(w) DESC, w) AS k FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents) QUALIFY k <= 6),
-pas AS (SELECT d.doc_id, d.source AS title, d.text AS content, d.lang AS summary, coalesce(list(w ORDER BY k) FILTER (k <= 4), []) AS concepts, coalesce(list(w ORDER BY k) FILTER (k > 4), []) AS keywords,
-  regexp_extract(lower(any_value(d.text)), '([a-z]+ [a-z]+)', 1) AS phrase FROM documents d LEFT JOIN topw USING (doc_id) GROUP BY ALL),
-ent AS (SELECT concepts[1] AS entity, unnest(concepts[2:4] || [summary]) AS target FROM pas WHERE len(concepts) > 0 UNION ALL SELECT phrase, unnest(concepts[1:2]) FROM pas WHERE phrase <> ''),
+KB_SQL = f"""
+wrd AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{{NAME_LETTERS - 1},}}')) AS w FROM documents),
+phr AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{{NAME_LETTERS},}} \\p{{L}}{{{NAME_LETTERS},}}')) AS p FROM documents),
+pas AS (SELECT d.doc_id, d.source AS title, d.text AS content, d.lang AS summary, coalesce(list(w ORDER BY w) FILTER (length(w) >= {NAME_LETTERS}), []) AS concepts,
+  coalesce(list(w ORDER BY w) FILTER (length(w) < {NAME_LETTERS}), []) AS keywords FROM documents d LEFT JOIN wrd USING (doc_id) GROUP BY ALL),
+con AS (SELECT w AS concept, doc_id, source AS title FROM wrd JOIN documents USING (doc_id) WHERE length(w) >= {NAME_LETTERS}),
+ent AS (SELECT entity, target FROM (SELECT concept AS entity, lead(concept) OVER (PARTITION BY doc_id ORDER BY concept) AS target FROM con) WHERE target IS NOT NULL
+  UNION ALL SELECT p, unnest(string_split(p, ' ')) FROM phr),
 rel AS (SELECT entity, target, count(*) AS n FROM ent GROUP BY ALL),
-con AS (SELECT unnest(concepts) AS concept, doc_id, title FROM pas),
 crel AS (SELECT entity AS key, target AS other FROM rel UNION SELECT target, entity FROM rel),
 qry AS (SELECT item_id AS query_id, text FROM benchmark)
 """
