@@ -67,6 +67,8 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Rows and bytes of a batch that goes to a Python step: rows hold whole texts, and each buffer of a batch doubles as it grows.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 _shipped: set[str] = set()
 
 
@@ -74,8 +76,13 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application.
 
     Spark's own file server hands the archive out, so the executors need
-    neither the repository nor a shared folder to run Python steps.
+    neither the repository nor a shared folder to run Python steps.  Batches of
+    this session's Python steps are kept small, unless it was told otherwise.
     """
+    for key, most, usual in (("maxRecordsPerBatch", BATCH_ROWS, "10000"), ("maxBytesPerBatch", BATCH_BYTES, None)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if usual is None or spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, str(most))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
