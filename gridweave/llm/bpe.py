@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from gridweave.llm.pretokens import segments, splitter
 
 #: Distinct pre-tokens a worker remembers before it starts anew; only a cache.
-CACHE = 500_000
+CACHE = 100_000
 #: Characters of text in one output batch of a task (a longer text is a batch of its own).
 BATCH_CHARS = 4_000_000
 #: Cells of one matrix: small enough to stay in the processor's cache.
@@ -217,5 +217,6 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 back = pa.array([coder.decode(flat[i:j].tolist()) for i, j in zip(ends, ends[1:])], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, lists, back], names=[*keep, ids, decoded])
+        coder.seen.clear()  # the worker lives on for other steps
 
     return source.mapInArrow(run, schema)

@@ -37,7 +37,7 @@ ROUNDS = 200
 #: Standard errors by which a feature's share differs between the labels before it is fitted.
 SIGNAL = 5.0
 #: Distinct words whose features a worker remembers; only a cache.
-CACHE = 100_000
+CACHE = 50_000
 
 #: Identity terms by group; a swap replaces a term by another of its group.
 GROUPS = [

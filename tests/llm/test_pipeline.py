@@ -6,6 +6,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline as cp
 from tests.llm.test_jaccard_join import brute
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_stages_against_brute_force(spark):
     """Every stage on what the one before kept, over the whole of a small table."""
@@ -49,3 +51,19 @@ def test_odd_rows(spark):
         assert len(got) == (5 if some else 0)
     toxic = cp.drop_toxic(spark, spark.createDataFrame(rows, schema).drop("_score"), sf)
     assert toxic.count() == len(rows)
+
+
+def test_near_copies_by_row(spark):
+    """Repeated and missing ids decide by row: one row of every component stays, rows with an id first."""
+    def text(k, n=40):
+        return " ".join(f"w{k}x{i}" for i in range(n))
+
+    near = text(1) + " tail"
+    rows = [(1, text(1)), (2, near), (2, text(2)), (None, near), (None, text(3)), (None, text(3)), (4, text(4)), (4, text(4)), (5, ""), (5, ""), (None, None), (7, near)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _row long")
+    got = cp.drop_near_copies(spark, docs, SF)
+    assert got.columns == docs.columns
+    kept = sorted(r._row for r in got.collect())
+    assert kept[:2] == [0, 2] and len(kept) == 7  # the near copies under ids 2, 7 and null go
+    assert len({4, 5} & set(kept)) == 1 and len({6, 7} & set(kept)) == 1 and {8, 9, 10} <= set(kept)
+    assert cp.drop_near_copies(spark, docs.where("false"), SF).count() == 0
