@@ -5,12 +5,12 @@
    and the distinct single, paired and threefold *shapes* of tokens (lower case,
    capitalised, upper case, digits, or the marks themselves), and which of two
    to four neighbours repeat the token before them, hashed to ``BITS`` bits.  They are read from the bytes of many texts at once.
-2. *Ratios.*  How many texts of either label hold a feature is counted over all
-   labelled rows.  A feature's ratio is the log of its two smoothed shares; the
-   indicator is scaled by it.
-3. *Hinge loss.*  A linear model is fitted by dual coordinate descent on a
-   bounded sample of the labelled rows (``SAMPLE`` rows, the least digests of
-   their ids).  Rows are scaled to unit length, so long texts are not surer.
+2. *Ratios.*  The model is fitted on a bounded sample of the labelled rows
+   (``SAMPLE`` rows, the least digests of their ids).  A feature's ratio is the
+   log of the shares of texts of either label that hold it, smoothed; its
+   indicator is scaled by that.
+3. *Hinge loss.*  A linear model is fitted by dual coordinate descent.  Rows are
+   scaled to unit length, so long texts are not surer.
 4. *Score.*  A logistic curve over the margin, fitted on the share of the sample
    that the model was not fitted on; then the model is fitted on all of it.
 
@@ -34,9 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm.shingles import mix
-from gridweave.session import cut
 
-#: Labelled rows that the hinge loss is fitted on at most.
+#: Labelled rows that a model is fitted on at most.
 SAMPLE = 8_000
 BITS = 20
 #: Labelled texts that a feature is in at least, and what is added to its counts.
@@ -216,11 +215,13 @@ class Model(NamedTuple):
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(found) + self.offset, -500, 500))))
 
 
-def fit(index: np.ndarray, n1: np.ndarray, n0: np.ndarray, sets: list[np.ndarray], label: np.ndarray) -> Model:
-    """A model from the features' counts and the sampled rows."""
+def fit(sets: list[np.ndarray], label: np.ndarray) -> Model:
+    """A model from the features of the sampled rows."""
+    n1, n0 = (np.bincount(np.concatenate([np.zeros(0, np.int32), *(s for s, x in zip(sets, label, strict=True) if x == v)]), minlength=1 << BITS) for v in (1, 0))
+    index = np.flatnonzero(n1 + n0 >= LEAST).astype(np.int32)
     if not len(index) or label.min() == label.max():
         return Model(index[:0], np.zeros(0), np.zeros(0), 0.0, 0.0, float(label.max()) if len(label) else 0.0)
-    model = Model(index, ratios(n1, n0), np.zeros(len(index)), 0.0, 1.0, 0.0)
+    model = Model(index, ratios(n1[index], n0[index]), np.zeros(len(index)), 0.0, 1.0, 0.0)
     rows, y = [model.row(s) for s in sets], np.where(label > 0, 1.0, -1.0)
     aside = np.arange(len(rows)) % CURVE == 0
     w, b = descend([r for r, a in zip(rows, aside, strict=True) if not a], y[~aside], len(index))
@@ -236,37 +237,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """A model from the labelled texts.
-
-    Features are counted over all labelled rows; the driver gets one row per
-    feature (``2 ** BITS`` at most) and the features of at most ``sample`` rows.
-    """
+    """A model from the labelled texts; the hashed features of at most ``sample`` rows reach the driver."""
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(
         F.max(F.col(label).cast("int")).alias("label"))
-    texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).where("_text is not null").join(known, F.col("_doc") == F.col("_id")).groupBy(
-        "_id", "label").agg(F.min("_text").alias("text")).select(F.xxhash64("_id").alias("h"), "_id", "label", "text")
+    picked = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).where("_text is not null").join(
+        F.broadcast(picked), F.col("_doc") == F.col("_id")).groupBy("_id", "label").agg(F.min("_text").alias("text"))
 
     def run(parts):
         import pyarrow as pa
 
-        kind = pa.list_(pa.int32())
         for batch in parts:
-            got = features(batch.column(3).to_pylist())
-            ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
-            flat = np.concatenate(got) if got else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())).cast(kind)], names=["h", "_id", "label", "set"])
-
-    sets = cut(texts.mapInArrow(run, f"h bigint, _id {texts.schema['_id'].dataType.simpleString()}, label int, set array<int>"))
-    positive = F.sum(F.when(F.col("label") > 0, 1).otherwise(0))
-    counts = sets.select("label", F.explode("set").alias("f")).groupBy("f").agg(positive.alias("n1"), (F.count("*") - positive).alias("n0"))
-    counts = counts.where(F.col("n1") + F.col("n0") >= LEAST).toArrow().sort_by("f")
-    n = sets.count()
-    # Digests are even, so twice the sample lies below this bound; only that much is put in order.
-    some = sets if n <= 2 * sample else sets.where(F.col("h") < int(-2**63 + 2**64 * 2 * sample / n))
-    picked = some.select("h", "_id").orderBy("h", "_id").limit(sample)
-    rows = some.join(F.broadcast(picked), ["h", "_id"]).select("h", "label", "set").toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
-    found = [np.asarray(s.values, np.int32) for s in rows["set"]]
-    return fit(np.asarray(counts["f"], np.int32), *(np.asarray(counts[c], float) for c in ("n1", "n0")), found, np.asarray(rows["label"]).clip(0, 1))
+            got = features(batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([s.tobytes() for s in got], pa.binary())], names=["h", "label", "set"])
+
+    rows = texts.select(F.xxhash64("_id").alias("h"), "label", "text").mapInArrow(run, "h bigint, label int, set binary").toArrow().sort_by(
+        [("h", "ascending"), ("label", "ascending"), ("set", "ascending")])
+    found = [np.frombuffer(s.as_buffer(), np.int32) for s in rows["set"]]
+    return fit(found, np.asarray(rows["label"]).clip(0, 1))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

@@ -96,7 +96,7 @@ def test_descent_reaches_the_least_hinge_loss():
 
 
 def test_counts_and_scores_against_plain(spark):
-    """Ratios from all labelled rows outside the fold, scores as the model's formula gives them."""
+    """Ratios from the labelled rows outside the fold, scores as the model's formula gives them."""
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     model = queries.quality_model(docs, labels)
     known = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
