@@ -1,8 +1,8 @@
 """Source divergence audit: how far the sources of a language differ in their terms.
 
 1. *Duplicate-text collapse.*  Equal texts of a language are one row with a
-   multiplicity per source.  Copies are counted by digest; the text itself is
-   kept once, combined before the shuffle.
+   multiplicity per source.  Copies are counted by digest; texts that have some
+   are combined before they are shuffled, the others stay where they are.
 2. *Tokenised once.*  A text's terms are counted once and added, times the
    multiplicity of each of its sources, to counts and document frequencies.
    A task adds up many texts before it emits a row per (lang, source, term).
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from gridweave.operators.lookup import lookup
 from gridweave.operators.ranking import top_k
 from gridweave.session import cut
 
@@ -40,22 +41,29 @@ SCALE, ADDED = 1_000_000_000, 5
 TOP = 50
 #: Distinct (group, term) entries that a task adds up before it emits them.
 HELD = 200_000
+#: Texts with copies up to which their digests are sent to every executor (some 60 bytes each).
+COPIED = 100_000
 #: Letters A-Z become a-z, other bytes that no term holds become spaces.
 FOLD = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
 def collapsed(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """``(lang, dig, text, held)``: distinct texts of a language with ``held`` = (source, copies) pairs."""
+    """``(lang, text, held)``: distinct texts of a language with ``held`` = (source, copies) pairs.
+
+    Digests say which texts have copies; only those are moved together.
+    """
     d = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))])
     d = d.withColumn("dig", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    copies = d.groupBy("lang", "dig", "source").agg(F.count("*").alias("n"))
-    held = copies.groupBy("lang", "dig").agg(F.collect_list(F.struct("source", "n")).alias("held"))  # one entry per source
-    texts = d.groupBy("lang", "dig").agg(F.first("text").alias("text"))
-    return texts.join(held, ["lang", "dig"])
+    copies = cut(d.groupBy("lang", "dig", "source").agg(F.count("*").alias("n")).groupBy("lang", "dig").agg(
+        F.sum("n").alias("all"), F.collect_list(F.struct("source", "n")).alias("held")).where("all > 1"))  # an entry per source
+    known = lookup(d, copies.select("lang", "dig", F.lit(True).alias("more")), ["lang", "dig"], most=COPIED)
+    alone = known.where("more is null").select("lang", "text", F.array(F.struct("source", F.lit(1).cast("bigint").alias("n"))).alias("held"))
+    texts = known.where("more").groupBy("lang", "dig").agg(F.first("text").alias("text"))
+    return alone.unionByName(texts.join(copies, ["lang", "dig"]).select("lang", "text", "held"))
 
 
 def term_counts(distinct: DataFrame) -> DataFrame:
-    """``(lang, source, term, n, docs)``: occurrences and documents; rows of a key come from several tasks until they are added."""
+    """``(lang, source, term, n, docs)``: occurrences and documents, to be added up; a task has few rows of a key."""
     def run(parts):
         import pyarrow as pa
 
@@ -92,8 +100,7 @@ def term_counts(distinct: DataFrame) -> DataFrame:
         yield from rows()
 
     return distinct.select("lang", F.col("text").cast("binary").alias("text"), "held").mapInArrow(
-        run, "lang string, source string, term string, n bigint, docs bigint").groupBy("lang", "source", "term").agg(
-        F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        run, "lang string, source string, term string, n bigint, docs bigint")
 
 
 def with_share(df: DataFrame, name: str, count: str, total: str = "total", terms: str = "terms") -> DataFrame:
@@ -104,9 +111,11 @@ def with_share(df: DataFrame, name: str, count: str, total: str = "total", terms
 
 def kept_counts(docs: DataFrame, least: int, text: str, lang: str, source: str) -> tuple[DataFrame, DataFrame]:
     """``(lang, source, term, n)`` of the kept terms, and ``(lang, source, total, terms)`` of all groups; both written."""
-    every = cut(term_counts(collapsed(docs, text, lang, source)))
-    kept = every.groupBy("lang", "term").agg(F.sum("docs").alias("_d")).where(F.col("_d") >= least).select("lang", "term")
-    counts = cut(every.select("lang", "source", "term", "n").join(kept, ["lang", "term"]))
+    # Dealt out once, by term: sums of a source and of its language need no other shuffle.
+    rows = term_counts(collapsed(docs, text, lang, source)).repartition("lang", "term")
+    rows = rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    of_lang = F.sum("docs").over(W.partitionBy("lang", "term"))  # a row per source
+    counts = cut(rows.withColumn("_d", of_lang).where(F.col("_d") >= least).select("lang", "source", "term", "n"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     terms = counts.groupBy("lang", "term").agg(F.count("*").alias("_s")).groupBy("lang").agg(F.count("*").alias("terms"))
     groups = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source")).distinct()
