@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.operators import postings
+from gridweave.operators.containment import contains_pairs
 from gridweave.operators.ranking import top_k
 from gridweave.session import cut
 
-# Words left out of the index, and the scoring constants.
+# Words left out of the index, and the score from which a query isn't taken apart.
 STOP_WORDS = ("a an and are as at be but by for if in into is it no not of on or such that the "
               "their then there these they this to was will with").split()
-K1, B, AVG_LEN = 1.2, 0.75, 200.0
 CONFIDENT = 8.0
 WORD = r"([\p{L}\p{N}_-]+)"
 TERM = r"([\p{L}\p{N}]+)"
@@ -52,43 +53,18 @@ def concept_relations(rel: DataFrame) -> DataFrame:
 
 
 # --- BM25 -----------------------------------------------------------------------
-def bm25_index(passages: DataFrame, text: str = "searchable") -> DataFrame:
-    """Postings ``(term, doc_id, tf, dl, df, n_docs)``; persist bucketed by term."""
-    toks = passages.select("doc_id", terms_of(F.col(text)).alias("_t")).withColumn("dl", F.size("_t"))
-    tf = toks.select("doc_id", "dl", F.explode("_t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = passages.agg(F.count("*").alias("n_docs"))
-    return tf.join(df, "term").join(F.broadcast(n))  # one-row side
+def bm25_index(passages: DataFrame, text: str = "searchable") -> postings.Index:
+    """The index of a column's terms, written once; see ``operators.postings``."""
+    return postings.write(passages, terms_of(F.col(text)))
 
 
-def bm25(queries: DataFrame, index: DataFrame, k: int, by: list[str] = ["query_id"]) -> DataFrame:
+def bm25(queries: DataFrame, index: postings.Index, k: int, by: list[str] = ["query_id"]) -> DataFrame:
     """Top ``k`` passages per query; ``queries(*by, terms ARRAY)``.  Repeated terms count."""
     q = queries.select(*by, F.explode("terms").alias("term")).groupBy(*by, "term").agg(F.count("*").alias("qtf"))
-    return bm25_terms(q, index, k, by)
-
-
-def bm25_terms(q: DataFrame, index: DataFrame, k: int, by: list[str]) -> DataFrame:
-    """The same over ``(*by, term, qtf)`` rows."""
-    idf = F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / AVG_LEN)
-    hit = q.join(index, "term").withColumn("_s", F.col("qtf") * idf * F.col("tf") * (K1 + 1) / norm)
-    s = hit.groupBy(*by, "doc_id").agg(F.round(F.sum("_s"), 6).alias("score"))
-    return top_k(s, by, [F.desc("score"), F.col("doc_id")], k)
+    return postings.search(q, index, k, by)
 
 
 # --- knowledge graph ------------------------------------------------------------
-def contains_pairs(hay: DataFrame, needle: DataFrame, h: str, n: str) -> DataFrame:
-    """All ``(h, n)`` with ``n`` inside ``h``, for needles of three characters or more.
-
-    Equi-join on three-character windows: each needle is anchored by its first
-    three, each haystack offers all of its own.  Exact, and never a nested loop.
-    """
-    win = hay.select(h).distinct().where(F.length(h) >= 3).select(h, F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length(h) - 2), lambda i: F.substring(F.col(h), i, F.lit(3))))).alias("_g"))
-    anchor = needle.select(n).distinct().where(F.length(n) >= 3).withColumn("_g", F.substring(n, 1, 3))
-    return win.join(anchor, "_g").where(F.contains(F.col(h), F.col(n))).select(h, n)
-
-
 def _touch(words: DataFrame, names: DataFrame, name: str) -> DataFrame:
     """Pairs (word, name) where either contains the other."""
     return contains_pairs(names, words, name, "word").select("word", name).unionByName(
@@ -161,12 +137,11 @@ def kb_boost(queries: DataFrame, scores: DataFrame, rel: DataFrame, concept: Dat
     return scores.select("query_id", "doc_id", "score").unionByName(boost).groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
 
 
-def kb_fused(queries: DataFrame, index: DataFrame, rel: DataFrame, concept: DataFrame, k: int,
+def kb_fused(queries: DataFrame, index: postings.Index, rel: DataFrame, concept: DataFrame, k: int,
              confident: float = CONFIDENT) -> DataFrame:
     """Phases one to three: confidence probe, (sub-)queries with expansion, fused BM25.
 
-    Pass ``index``, ``rel`` and ``concept`` as written or checkpointed tables:
-    they are read several times.
+    Pass ``rel`` and ``concept`` as written tables: they are read several times.
     """
     plain = queries.withColumn("terms", terms_of(F.col("text")))
     sure = bm25(plain, index, 1).where(F.col("score") > confident).select("query_id")
@@ -176,7 +151,7 @@ def kb_fused(queries: DataFrame, index: DataFrame, rel: DataFrame, concept: Data
     extra = expand(subs, rel, concept, by).select(*by, F.explode(terms_of(F.col("term"))).alias("term"))
     own = subs.select(*by, F.explode(terms_of(F.col("text"))).alias("term"))
     terms = own.unionByName(extra).groupBy(*by, "term").agg(F.count("*").alias("qtf"))
-    hits = cut(bm25_terms(terms, index, max(3 * k, 15), by))
+    hits = cut(postings.search(terms, index, max(3 * k, 15), by))
     n = subs.groupBy("query_id").agg(F.count("*").alias("_subs"))
     return hits.join(n, "query_id").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("score") / F.col("_subs")), 6).alias("score"))
 
@@ -189,7 +164,7 @@ def sandwich(ranked: DataFrame, rank: str = "rank") -> DataFrame:
         r == 2, F.col("_n")).otherwise(r - 1)).drop("_n")
 
 
-def kb_search(queries: DataFrame, passages: DataFrame, index: DataFrame, rel: DataFrame, concept: DataFrame,
+def kb_search(queries: DataFrame, passages: DataFrame, index: postings.Index, rel: DataFrame, concept: DataFrame,
               k: int = 5, confident: float = CONFIDENT) -> DataFrame:
     """``(query_id, position, rank, doc_id, title, score)`` for each non-blank query."""
     q = queries.where(F.trim("text") != "")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridweave import fixtures as fx
+from gridweave.operators import postings
 from gridweave.operators import retrieval as rt
 from gridweave.plans.corpus import BIG
 from gridweave.plans.registry import query
@@ -36,7 +37,7 @@ def kb(spark, d):
 
 def index(spark, d):
     """The persisted index that every search of a corpus shares."""
-    return cut(rt.bm25_index(rt.searchable(fx.passages(spark, d))))
+    return rt.bm25_index(rt.searchable(fx.passages(spark, d)))
 
 
 @query("kb_searchable", KB + SEARCH + " SELECT doc_id, md5(s) AS digest FROM sea")
@@ -56,13 +57,14 @@ def kb_relations(spark, d):
 
 @query("bm25_index", KB + INDEX + " SELECT term, count(*) AS postings, sum(tf)::bigint AS occurrences, sum(dl)::bigint AS dl_sum, any_value(df) AS df FROM idx GROUP BY 1")
 def bm25_index(spark, d):
-    i = rt.bm25_index(rt.searchable(fx.passages(spark, d)))
-    return i.groupBy("term").agg(F.count("*").alias("postings"), F.sum("tf").alias("occurrences"), F.sum("dl").alias("dl_sum"), F.first("df").alias("df"))
+    i = index(spark, d)
+    per = i.blocks(spark).groupBy("term").agg(F.sum("n").alias("postings"))
+    return postings.counts(i, spark).join(per, "term").select("term", "postings", "occurrences", "dl_sum", "df")
 
 
 @query("bm25_search", KB + INDEX + f", qt AS (SELECT query_id, unnest({TERMS('text')}) AS term FROM qry)" + bm_sql("hits", "qt", "query_id", 5) + " SELECT query_id, doc_id, score FROM hits")
 def bm25_search(spark, d):
-    i = rt.bm25_index(rt.searchable(fx.passages(spark, d)))
+    i = index(spark, d)
     q = fx.queries(spark, d).withColumn("terms", rt.terms_of(F.col("text")))
     return rt.bm25(q, i, 5).select("query_id", "doc_id", "score")
 
@@ -117,7 +119,7 @@ bo AS (SELECT query_id, doc_id, round(sum(score), 6) AS score FROM (SELECT query
 
 @query("kb_probe", KB + INDEX + f", qt AS (SELECT query_id, unnest({TERMS('text')}) AS term FROM qry)" + bm_sql("probe", "qt", "query_id", 1) + f" SELECT query_id, score, score > {rt.CONFIDENT} AS confident FROM probe")
 def kb_probe(spark, d):
-    i = rt.bm25_index(rt.searchable(fx.passages(spark, d)))
+    i = index(spark, d)
     q = fx.queries(spark, d).withColumn("terms", rt.terms_of(F.col("text")))
     return rt.bm25(q, i, 1).select("query_id", "score", (F.col("score") > rt.CONFIDENT).alias("confident"))
 
@@ -148,6 +150,6 @@ def kb_search(spark, d):
 
 @query("sandwich_order", KB + INDEX + f", qt AS (SELECT query_id, unnest({TERMS('text')}) AS term FROM qry)" + bm_sql("hits", "qt", "query_id", 7) + ", rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM hits) SELECT query_id, doc_id, rank, CASE WHEN n < 3 OR rank = 1 THEN rank WHEN rank = 2 THEN n ELSE rank - 1 END AS position FROM rk")
 def sandwich_order(spark, d):
-    i = rt.bm25_index(rt.searchable(fx.passages(spark, d)))
+    i = index(spark, d)
     q = fx.queries(spark, d).withColumn("terms", rt.terms_of(F.col("text")))
     return rt.sandwich(rt.bm25(q, i, 7)).select("query_id", "doc_id", BIG("rank"), BIG("position"))
