@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 
 from gridweave.functions.color import delta_e, with_oklab
 from gridweave.functions.grids import VOID
+from gridweave.operators.lookup import lookup
+from gridweave.session import cut
 
 # Fixed values.
 SYMBOL_POOL = ".#+=~gorhwsABCDE"
@@ -55,9 +57,8 @@ def _distance(metric: str, p) -> Column:
     """Squared distance, integral for the RGB metrics."""
     if metric == "oklab":
         return delta_e(F.col("ok_l"), F.col("ok_a"), F.col("ok_b"), p["ok_l"], p["ok_a"], p["ok_b"])
-    weights = {"w309": (30, 59, 11), "bucket": (1, 1, 1), "i243": (2, 4, 3)}[metric]
     ch = {c: (bucket(c) if metric == "bucket" else F.col(c)) for c in "rgb"}
-    terms = [(ch[c] - p[c]) * (ch[c] - p[c]) * w for c, w in zip("rgb", weights)]
+    terms = [(ch[c] - p[c]) * (ch[c] - p[c]) * w for c, w in zip("rgb", WEIGHTS[metric])]
     return (terms[0] + terms[1] + terms[2]).cast("double")
 
 
@@ -65,31 +66,76 @@ def scale_distance(metric: str, d: Column) -> Column:
     return {"w309": F.sqrt(d / 100.0), "bucket": F.sqrt(d), "i243": F.sqrt(d), "oklab": d}[metric]
 
 
-def quantize(px: DataFrame, palette: DataFrame, by: list[str], metric: str = "w309", include_void: bool | None = None) -> DataFrame:
+#: Distinct colours up to which they are sent to every executor (some 60 bytes each).
+COLOURS = 500_000
+#: Channel values of a cube cell: 256 / CELL cells a channel.
+CELL = 16
+WEIGHTS = {"w309": (30, 59, 11), "bucket": (1, 1, 1), "i243": (2, 4, 3)}
+
+
+def _palettes(palette: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
+    """A palette is at most a symbol pool long, so it travels as one array per group."""
+    entries = F.array_sort(F.collect_list(F.struct("pos", "sym", *cols))).alias("_pal")
+    return palette.groupBy(*by).agg(entries) if by else palette.agg(entries)
+
+
+def colour_cube(colours: DataFrame, palette: DataFrame, by: list[str], metric: str) -> DataFrame:
+    """``(*by, r, g, b, d, sym)``: nearest entry of every distinct colour ``colours(*by, r, g, b)``.
+
+    Colours fall into cells of a cube.  A cell keeps the entries that can be
+    nearest to some colour in it: those whose least distance to the cell is no
+    more than the smallest of all entries' largest distances.  A group has 4096
+    cells at most, and a colour is only compared with what its cell keeps.
+    """
+    seen = {c: (bucket(c) if metric == "bucket" else F.col(c)) for c in "rgb"}
+    cell = {f"_{c}": F.floor(e / CELL).cast("int") for c, e in seen.items()}
+    placed = colours.withColumns(cell)
+    cells = placed.select(*by, *cell).distinct()
+    arr = _palettes(palette, by, ["r", "g", "b"])
+    j = cells.join(arr, by) if by else cells.join(F.broadcast(arr))  # one-row side
+
+    def bound(p: Column, far: bool) -> Column:
+        total = F.lit(0)
+        for c, w in zip("rgb", WEIGHTS[metric], strict=True):
+            low, high = F.col(f"_{c}") * CELL - p[c], p[c] - (F.col(f"_{c}") * CELL + CELL - 1)
+            gap = F.greatest(F.abs(low), F.abs(high)) if far else F.greatest(low, high, F.lit(0))
+            total = total + gap * gap * w
+        return total
+
+    least = F.array_min(F.transform("_pal", lambda p: bound(p, True)))
+    kept = j.withColumn("_least", least).select(*by, *cell, F.filter("_pal", lambda p: bound(p, False) <= F.col("_least")).alias("_pal"))
+    best = F.array_min(F.transform("_pal", lambda p: F.struct(_distance(metric, p).alias("d"), p["pos"].alias("pos"), p["sym"].alias("sym"))))
+    return placed.join(kept, [*by, *cell]).withColumn("_best", best).select(*by, "r", "g", "b", F.col("_best.d").alias("d"), F.col("_best.sym").alias("sym"))
+
+
+def quantize(px: DataFrame, palette: DataFrame, by: list[str], metric: str = "w309", include_void: bool | None = None,
+             cube: bool = True) -> DataFrame:
     """Nearest palette symbol per pixel; the first entry wins a tie.
 
-    A palette is at most a symbol pool long, so it travels as one array per
-    group: the join fans nothing out and pixels are never shuffled twice.
-    ``oklab`` follows the import rule: void is a candidate and alpha is ignored.
+    The RGB metrics take each distinct colour of a group through ``colour_cube``
+    once and look pixels up by colour; without ``cube`` (for small groups, as one
+    image each) every pixel meets its group's palette.  ``oklab`` follows the
+    import rule: void is a candidate and alpha is ignored.
     """
     if include_void is None:
         include_void = metric == "oklab"
     pal = palette if include_void else palette.where(F.col("sym") != VOID)
-    cols = ["r", "g", "b"]
-    if metric == "oklab":
-        pal, px = with_oklab(pal), with_oklab(px)
-        cols = ["ok_l", "ok_a", "ok_b"]
-    arr = pal.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "sym", *cols))).alias("_pal")) if by else \
-        pal.agg(F.array_sort(F.collect_list(F.struct("pos", "sym", *cols))).alias("_pal"))
-    j = px.join(arr, by, "left") if by else px.join(F.broadcast(arr))  # one-row side
-    best = F.array_min(F.transform("_pal", lambda p: F.struct(
-        _distance(metric, p).alias("d"), p["pos"].alias("pos"), p["sym"].alias("sym"))))
-    j = j.withColumn("_best", best)
-    hit = F.col("_best").isNotNull() if include_void else (F.col("a") >= OPAQUE) & F.col("_best").isNotNull()
-    drop = ["_pal", "_best"] + ([c for c in j.columns if c.startswith("ok_")] if metric == "oklab" else [])
+    hit = F.lit(True) if include_void else F.col("a") >= OPAQUE
+    if metric == "oklab" or not cube:
+        cols = ["ok_l", "ok_a", "ok_b"] if metric == "oklab" else ["r", "g", "b"]
+        arr, px = (_palettes(with_oklab(pal), by, cols), with_oklab(px)) if metric == "oklab" else (_palettes(pal, by, cols), px)
+        j = px.join(arr, by, "left") if by else px.join(F.broadcast(arr))  # one-row side
+        best = F.array_min(F.transform("_pal", lambda p: F.struct(_distance(metric, p).alias("d"), p["pos"].alias("pos"), p["sym"].alias("sym"))))
+        j = j.withColumn("_best", best).withColumns({"_sym": F.col("_best.sym"), "_d": F.col("_best.d")}).drop("_pal", "_best")
+        j = j.drop(*[c for c in j.columns if c.startswith("ok_")])
+    else:
+        key = [*by, "r", "g", "b"]
+        near = cut(colour_cube(cut(px.where(hit).select(*key).distinct()), pal, by, metric))
+        j = lookup(px, near.select(*key, F.col("sym").alias("_sym"), F.col("d").alias("_d")), key, most=COLOURS)
+    found = hit & F.col("_sym").isNotNull()
     return j.withColumns({
-        "sym": F.when(hit, F.col("_best.sym")).otherwise(VOID),
-        "dist": F.when(hit, scale_distance(metric, F.col("_best.d"))).otherwise(0.0)}).drop(*drop)
+        "sym": F.when(found, F.col("_sym")).otherwise(VOID),
+        "dist": F.when(found, scale_distance(metric, F.col("_d"))).otherwise(0.0)}).drop("_sym", "_d")
 
 
 def quant_quality(q: DataFrame, by: list[str], scale: float = 255.0, clip: float = 50.0) -> DataFrame:
@@ -208,7 +254,7 @@ def convert(px: DataFrame, presets: list[tuple[str, int, int]] = PRESETS, kernel
     th = F.greatest(F.lit(1), F.round(tw * F.col("src_h") / F.col("src_w")))
     small = resample(p, ["out_id", "image_id", "preset", "max_w", "colors"], tw, th, kernel)
     pal = median_cut(small, "out_id", F.col("colors")).withColumn("sym", F.col("pos").cast("string"))
-    q = quantize(small.withColumn("a", F.when(F.col("a") > 0, 255).otherwise(0)), pal, ["out_id"], "i243")
+    q = quantize(small.withColumn("a", F.when(F.col("a") > 0, 255).otherwise(0)), pal, ["out_id"], "i243", cube=False)
     snapped = q.join(pal.select("out_id", "sym", F.col("r").alias("qr"), F.col("g").alias("qg"), F.col("b").alias("qb")), ["out_id", "sym"], "left")
     return snapped.select("image_id", "preset", "x", "y", F.coalesce("qr", F.lit(0)).alias("r"),
                           F.coalesce("qg", F.lit(0)).alias("g"), F.coalesce("qb", F.lit(0)).alias("b"), "a")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridweave.session import BROADCAST_ROWS
 
 #: Parts that a hot key of the large side is split into where the small side can't be sent whole.
-SALTS = 16
+SALTS = 8
 
 
 def lookup(df: DataFrame, small: DataFrame, on: list[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
