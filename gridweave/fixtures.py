@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridweave.operators.lookup import lookup
+
 # Fixed values of the bindings.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 SYMBOLS = ".#+=~gorhw"
 MAPPED = "".join(SYMBOLS[(i + 1) % 10] for i in range(26))
 SIZE = 16
-CHUNKS = 1_000_000  # tile_id = doc_id * CHUNKS + chunk number
+CHUNKS = 1 << 23  # tile_id = doc_id * CHUNKS + chunk number; a text of 2 GiB, the longest there can be, has as many
 #: Our own ten colours, one per symbol.
 PALETTE = [
     (".", 0, 0, 0, 0), ("#", 34, 32, 52, 255), ("+", 69, 40, 60, 255), ("=", 102, 57, 49, 255),
@@ -176,16 +178,17 @@ REASONS = ["too_sparse", "too_dense", "wrong_style", "bad_edges", "palette_viola
 
 
 def raw_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as raw reviewer events; each names one document's tile."""
-    n_docs = table(spark, sf_dir, "documents").count()  # answered from the Parquet footers
-    e = table(spark, sf_dir, "events")
+    """Events as raw reviewer events; each names some tile of some document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.greatest(F.lit(1), F.expr("(n_chars + 255) div 256")).alias("_tiles"))
+    n_docs = docs.count()  # answered from the Parquet footers
+    e = lookup(table(spark, sf_dir, "events").withColumn("doc_id", F.col("event_id") % n_docs), docs, ["doc_id"])
     action = F.when(F.col("event_type") == "purchase", "accept").when(
         F.col("event_type") == "signup", "edit").when(F.col("event_type") == "error", "reject").otherwise(F.col("event_type"))
     k = F.get_json_object("props", "$.k").cast("int")
     reason = F.element_at(F.array(*[F.lit(r) for r in REASONS]), (k % 7) + 1)
     return e.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 10).alias("tileset_id"),
-        ((F.col("event_id") % n_docs) * CHUNKS).alias("tile_id"), action.alias("action"),
+        (F.col("doc_id") * CHUNKS + F.col("event_id") * 7919 % F.coalesce("_tiles", F.lit(1))).alias("tile_id"), action.alias("action"),
         F.when(F.col("event_type") == "error", reason).alias("reason"),
         (F.least("value", F.lit(100.0)) / 100.0).alias("style_score"),
     )
@@ -193,10 +196,10 @@ def raw_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RAW_FEEDBACK_SQL = f"""
 fbraw AS (SELECT event_id, ts, user_id % 10 AS tileset_id,
-  (event_id % (SELECT count(*) FROM documents)) * {CHUNKS} AS tile_id,
+  (event_id % (SELECT count(*) FROM documents)) * {CHUNKS} + event_id * 7919 % coalesce(greatest(1, (n_chars + 255) // 256), 1) AS tile_id,
   CASE event_type WHEN 'purchase' THEN 'accept' WHEN 'signup' THEN 'edit' WHEN 'error' THEN 'reject' ELSE event_type END AS action,
   CASE WHEN event_type = 'error' THEN [{', '.join(repr(r) for r in REASONS)}][(json_extract_string(props, '$.k')::int % 7) + 1] END AS reason,
-  least(value, 100.0) / 100.0 AS style_score FROM events),
+  least(value, 100.0) / 100.0 AS style_score FROM events LEFT JOIN (SELECT doc_id, n_chars FROM documents) ON doc_id = event_id % (SELECT count(*) FROM documents)),
 fb AS (SELECT event_id, ts, tileset_id, tile_id, action, style_score,
   CASE WHEN reason IS NULL OR reason IN ({', '.join(repr(r) for r in REASONS[:6])}) THEN reason ELSE 'other(' || reason || ')' END AS reject_reason
   FROM fbraw WHERE action IN ('accept', 'reject', 'edit'))

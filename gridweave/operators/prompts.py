@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.operators.lookup import lookup
+from gridweave.session import cut
+
 LAYERS = ("background", "terrain", "walls", "platform", "foreground", "effects")  # fixed values
 #: Our own wording of the standing rules.
 RULES = ("Use palette symbols only. Give one grid row per line. Light falls from the top left. "
@@ -21,6 +24,13 @@ def section(title: str, col: str) -> Column:
     return F.when(F.coalesce(F.col(col), F.lit("")) != "", F.concat(F.lit(f"{title}\n"), F.col(col)))
 
 
+def theme_text(name: str = "name", most: str = "max_palette_size", light: str = "light_source", roles: str = "roles") -> Column:
+    """A theme as lines: name, limits, then the roles in order."""
+    each = F.transform(F.array_sort(F.map_entries(roles)), lambda e: F.concat(F.lit("Role "), e["key"], F.lit(" = "), e["value"]))
+    return F.concat_ws("\n", F.concat(F.lit("Active theme: "), name), F.concat(F.lit("Max palette size: "), F.col(most).cast("string")),
+                       F.concat(F.lit("Light source: "), light), F.when(F.size(roles) > 0, F.array_join(each, "\n")))
+
+
 def prompt_context(requests: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
     """``requests(request_id, tileset_id, prompt, size)`` -> ``system_prompt, user_prompt``.
 
@@ -45,12 +55,18 @@ def prompt_context(requests: DataFrame, parts: dict[str, DataFrame]) -> DataFram
     return j.select("request_id", "tileset_id", system.alias("system_prompt"), user.alias("user_prompt"))
 
 
-def transition_context(pairs: DataFrame, tiles: DataFrame, palette_text: DataFrame, knowledge: DataFrame | None = None) -> DataFrame:
-    """``pairs(pair_id, tileset_id, a, b)`` -> edges, previews of four rows and prompts."""
+def transition_context(pairs: DataFrame, tiles: DataFrame, tilesets: DataFrame) -> DataFrame:
+    """``pairs(pair_id, tileset_id, a, b)`` -> edges, previews of four rows and prompts.
+
+    ``tilesets`` has ``palette_text`` and ``knowledge_text`` per ``tileset_id``;
+    either may be missing or null.
+    """
     t = tiles.select("tileset_id", "name", *"nesw", "size", F.array_join(F.slice(F.split("grid", "\n"), 1, 4), "\n").alias("preview"))
     side = lambda p: t.select("tileset_id", F.col("name").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("n", "e", "s", "w", "size", "preview")])
-    j = pairs.join(side("a"), ["tileset_id", "a"]).join(side("b"), ["tileset_id", "b"]).join(palette_text, "tileset_id", "left")
-    j = j.join(knowledge, "pair_id", "left") if knowledge is not None else j.withColumn("knowledge_text", F.lit(None).cast("string"))
+    j = lookup(pairs.join(side("a"), ["tileset_id", "a"]).join(side("b"), ["tileset_id", "b"]), cut(tilesets), ["tileset_id"])
+    for c in ("palette_text", "knowledge_text"):
+        if c not in j.columns:
+            j = j.withColumn(c, F.lit(None).cast("string"))
     q = lambda c: F.coalesce(F.col(c), F.lit("?"))
     system = F.concat_ws(
         "\n", F.concat(F.lit("You draw a "), "a_size", F.lit(" transition tile.")), section("Palette:", "palette_text"),

@@ -53,3 +53,17 @@ def exact_rank(df: DataFrame, key: Column, tie: list[str], rank: str = "rank", d
         d.withColumn("_r", inner).join(F.broadcast(offsets), "_b")
         .withColumn(rank, F.col("_off") + F.col("_r")).drop("_k", "_b", "_r", "_off")
     )
+
+
+def next_in_order(df: DataFrame, by: list[str], key: str, width: int, out: str = "next") -> DataFrame:
+    """Each row's next larger ``key`` of its group as ``out`` (null for the last); keys are distinct integers.
+
+    Keys are sorted inside ranges of ``width`` only.  The last of a range takes
+    the first key of the group's next range, from a table with a row per range,
+    so a group of any size is many tasks' work.
+    """
+    ranged = df.withColumn("_range", F.floor(F.col(key) / width))
+    inside = F.lead(key).over(W.partitionBy(*by, "_range").orderBy(key))
+    firsts = ranged.groupBy(*by, "_range").agg(F.min(key).alias("_first"))
+    after = firsts.select(*by, "_range", F.lead("_first").over(W.partitionBy(*by).orderBy("_range")).alias("_after"))
+    return ranged.withColumn("_in", inside).join(after, [*by, "_range"]).withColumn(out, F.coalesce("_in", "_after")).drop("_in", "_after", "_range")

@@ -12,6 +12,7 @@ from gridweave.operators import manifest as mf
 from gridweave.operators import prompts as pr
 from gridweave.operators import retrieval as rt
 from gridweave.operators import style as st
+from gridweave.operators.ranking import next_in_order
 from gridweave.plans import audits, knowledge, reviews
 from gridweave.plans.corpus import BIG, R6
 from gridweave.plans.registry import query
@@ -153,12 +154,27 @@ def layer_lists(spark, d):
 PALTXT = " ".join(f"'{s}'=({r},{g},{b})" for s, r, g, b, _ in fx.PALETTE if s != ".").replace("'", "''")
 
 
-@query("prompt_context", knowledge.KB + knowledge.INDEX + f", qt AS (SELECT query_id, unnest({knowledge.TERMS('text')}) AS term FROM qry)" + knowledge.bm_sql("hits", "qt", "query_id", 3) + f""", {fx.RAW_FEEDBACK_SQL}, {reviews.REASON}, {fx.TILE_SQL},
-ex AS (SELECT tileset_id, string_agg('t' || tile_id || chr(10) || ({reviews.ROWTEXT}), chr(10) ORDER BY rank) AS examples FROM (SELECT fb.tileset_id, tile_id, flat, row_number() OVER (PARTITION BY fb.tileset_id ORDER BY ts DESC, event_id DESC) AS rank FROM fb JOIN tile USING (tile_id) WHERE action <> 'reject' QUALIFY rank <= 3) GROUP BY 1),
+#: The tileset's first theme, and its tiles' edge classes.
+THEME_SQL = f"""
+tk0 AS (SELECT c_custkey AS k, c_custkey // 40 AS tileset_id, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS most, CASE WHEN c_custkey % 6 = 0 THEN c_mktsegment END AS light FROM customer WHERE c_custkey % 40 = 0),
+tr0 AS (SELECT k, 'bg' AS role, substr('{audits.POOL}', (k % 12 + 1)::bigint, 1) AS sym FROM tk0 UNION ALL SELECT k, 'fg', substr('{audits.POOL}', (k * 7 % 12 + 1)::bigint, 1) FROM tk0 WHERE k % 2 = 0
+  UNION ALL SELECT k, 'shadow', CASE WHEN k % 30 = 3 THEN 'ab' ELSE '#' END FROM tk0 WHERE k % 3 = 0),
+thm AS (SELECT tileset_id, 'Active theme: th0' || coalesce(chr(10) || 'Max palette size: ' || most, '') || coalesce(chr(10) || 'Light source: ' || light, '')
+  || chr(10) || (SELECT string_agg('Role ' || role || ' = ' || sym, chr(10) ORDER BY role) FROM tr0 WHERE tr0.k = tk0.k) AS theme FROM tk0),
+{fx.tile_edges_sql()},
+edg AS (SELECT tileset_id, string_agg(name || ': n=' || n || ', e=' || e || ', s=' || s || ', w=' || w, chr(10) ORDER BY name) AS edges FROM te GROUP BY 1)"""
+
+
+@query("prompt_context", knowledge.search_sql(5, knowledge.CONFIDENT) + f""", {fx.RAW_FEEDBACK_SQL}, {reviews.REASON}, {fx.TILE_SQL}, {THEME_SQL},
+ex AS (SELECT tileset_id, string_agg('t' || tile_id || chr(10) || ({reviews.ROWTEXT}), chr(10) ORDER BY rank) AS examples FROM (
+  SELECT fb.tileset_id, tile_id, flat, row_number() OVER (PARTITION BY fb.tileset_id ORDER BY ts DESC, event_id DESC) AS rank FROM fb JOIN tile USING (tile_id) WHERE action <> 'reject' QUALIFY rank <= 3) GROUP BY 1),
 av AS (SELECT tileset_id, string_agg('- ' || {reviews.ADVICE_SQL}, chr(10) ORDER BY n DESC, reason) AS avoid FROM rz WHERE n >= 2 GROUP BY 1),
-kn AS (SELECT query_id, string_agg('[' || title || '] ' || content, chr(10) ORDER BY score DESC, doc_id) AS k FROM hits JOIN pas USING (doc_id) GROUP BY 1)
-SELECT q.query_id AS request_id, q.query_id % 10 AS tileset_id, md5('You draw symbol-grid tiles.' || chr(10) || 'Palette:' || chr(10) || '{PALTXT}' || chr(10) || 'Canvas size: 16x16' || chr(10) || 'Target layers: {", ".join(pr.LAYERS)}' || coalesce(chr(10) || 'Accepted tiles:' || chr(10) || examples, '') || coalesce(chr(10) || 'Reviewer constraints:' || chr(10) || avoid, '') || chr(10) || '{pr.RULES}') AS system_digest,
- md5(coalesce('Retrieved technique notes:' || chr(10) || k || chr(10), '') || 'Generate a 16x16 tile: ' || q.text) AS user_digest FROM qry q LEFT JOIN ex ON ex.tileset_id = q.query_id % 10 LEFT JOIN av ON av.tileset_id = q.query_id % 10 LEFT JOIN kn USING (query_id)""")
+kn AS (SELECT query_id, string_agg('[' || title || '] ' || content, chr(10) ORDER BY position) AS k FROM swd JOIN pas USING (doc_id) GROUP BY 1)
+SELECT q.query_id AS request_id, q.query_id % 10 AS tileset_id,
+  md5('You draw symbol-grid tiles.' || chr(10) || 'Palette:' || chr(10) || '{PALTXT}' || coalesce(chr(10) || 'Theme:' || chr(10) || theme, '') || chr(10) || 'Canvas size: 16x16' || chr(10) || 'Target layers: {", ".join(pr.LAYERS)}'
+    || coalesce(chr(10) || 'Edge classes:' || chr(10) || edges, '') || coalesce(chr(10) || 'Accepted tiles:' || chr(10) || examples, '') || coalesce(chr(10) || 'Reviewer constraints:' || chr(10) || avoid, '') || chr(10) || '{pr.RULES}') AS system_digest,
+  md5(coalesce('Retrieved technique notes:' || chr(10) || k || chr(10), '') || 'Generate a 16x16 tile: ' || q.text) AS user_digest
+FROM qry q LEFT JOIN ex ON ex.tileset_id = q.query_id % 10 LEFT JOIN av ON av.tileset_id = q.query_id % 10 LEFT JOIN thm ON thm.tileset_id = q.query_id % 10 LEFT JOIN edg ON edg.tileset_id = q.query_id % 10 LEFT JOIN kn USING (query_id)""")
 def prompt_context(spark, d):
     q = fx.queries(spark, d)
     req = q.select(F.col("query_id").alias("request_id"), (F.col("query_id") % 10).alias("tileset_id"), F.col("text").alias("prompt"), F.lit("16x16").alias("size"))
@@ -166,27 +182,46 @@ def prompt_context(spark, d):
     pal = ds.palette_prompt(fx.palette(spark), [])
     sets = req.select("tileset_id").distinct()
     ex = fb.fb_examples(ev, 3, ["tileset_id"]).join(fx.tiles(spark, d).select("tile_id", "grid"), "tile_id")
-    p = fx.passages(spark, d)
-    hits = rt.bm25(q.withColumn("terms", rt.terms_of(F.col("text"))), rt.bm25_index(rt.searchable(p)), 3)
-    know = hits.join(p.select("doc_id", "title", "content"), "doc_id").withColumn("request_id", F.col("query_id"))
+    p, rel, con = knowledge.kb(spark, d)
+    hits = rt.kb_search(q, p, knowledge.index(spark, d), rel, con, 5, knowledge.CONFIDENT)
+    know = hits.join(p.select("doc_id", "content"), "doc_id").withColumn("request_id", F.col("query_id"))
+    theme = audits.tables(spark, d)["theme"].where("name = 'th0'").withColumn("tileset_id", F.expr("cast(substring(tileset_id, 7) as bigint)"))
+    edges = fx.tile_edges(spark, d)
+    edge = F.concat("name", *[x for c in "nesw" for x in (F.lit((": " if c == "n" else ", ") + f"{c}="), F.col(c))])
     parts = {
         "palette": sets.join(F.broadcast(pal)),  # one-row side
+        "theme": theme.select("tileset_id", pr.theme_text().alias("theme_text")),
+        "edges": pr.lines(edges, ["tileset_id"], ["name"], edge, "edges_text"),
         "examples": pr.lines(ex, ["tileset_id"], ["rank"], F.concat(F.lit("t"), F.col("tile_id").cast("string"), F.lit("\n"), "grid"), "examples_text"),
         "avoid": pr.lines(fb.fb_avoid(ev, 2, ["tileset_id"]).withColumn("_n", -F.col("n")), ["tileset_id"], ["_n", "reason"], F.concat(F.lit("- "), "instruction"), "avoid_text"),
-        "knowledge": pr.lines(know, ["request_id"], ["rank"], F.concat(F.lit("["), "title", F.lit("] "), "content"), "knowledge_text")}
+        "knowledge": pr.lines(know, ["request_id"], ["position"], F.concat(F.lit("["), "title", F.lit("] "), "content"), "knowledge_text")}
     c = pr.prompt_context(req, parts)
     return c.select("request_id", "tileset_id", F.md5("system_prompt").alias("system_digest"), F.md5("user_prompt").alias("user_digest"))
 
 
-@query("transition_context", f"""WITH {fx.TILE_SQL}, n AS (SELECT doc_id, tileset_id, 'd' || doc_id AS name, 'c' || doc_id % 5 AS cls, array_to_string([substr(flat, (r * 16 + 1)::bigint, 16) FOR r IN range(0, 4)], chr(10)) AS pv, lead(doc_id) OVER (PARTITION BY tileset_id ORDER BY doc_id) AS nx FROM tile WHERE tile_id % 1000000 = 0)
-SELECT a.tileset_id, a.name AS a, b.name AS b, a.cls AS n, 'w' AS e, b.cls AS s, 'w' AS w, md5('Tile A ' || a.name || ':' || chr(10) || a.pv || chr(10) || 'Tile B ' || b.name || ':' || chr(10) || b.pv || chr(10) || 'Blend ' || a.name || ' into ' || b.name || ' from top to bottom.') AS user_digest FROM n a JOIN n b ON b.doc_id = a.nx""")
+#: A tileset's notes: what the benchmark item of its number finds.
+NOTES_QUERY = "SELECT source AS query_id, text FROM (SELECT DISTINCT source FROM documents) JOIN benchmark ON item_id = substr(source, 4)::bigint"
+NOTES_SQL = knowledge.search_sql(3, knowledge.CONFIDENT).replace("SELECT item_id AS query_id, text FROM benchmark", NOTES_QUERY)
+
+
+@query("transition_context", NOTES_SQL + f""", kn AS (SELECT query_id AS tileset_id, string_agg('[' || title || '] ' || content, chr(10) ORDER BY position) AS k FROM swd JOIN pas USING (doc_id) GROUP BY 1),
+{fx.TILE_SQL}, n AS (SELECT tile_id, tileset_id, 't' || tile_id AS name, 'c' || tile_id % 5 AS cls, array_to_string([substr(flat, (r * 16 + 1)::bigint, 16) FOR r IN range(0, 4)], chr(10)) AS pv,
+  lead(tile_id) OVER (PARTITION BY tileset_id ORDER BY tile_id) AS nx FROM tile)
+SELECT a.tileset_id, a.name AS a, b.name AS b, a.cls AS n, 'w' AS e, b.cls AS s, 'w' AS w,
+  md5(coalesce('Retrieved technique notes:' || chr(10) || k || chr(10), '') || 'Tile A ' || a.name || ':' || chr(10) || a.pv || chr(10) || 'Tile B ' || b.name || ':' || chr(10) || b.pv || chr(10)
+    || 'Blend ' || a.name || ' into ' || b.name || ' from top to bottom.') AS user_digest FROM n a JOIN n b ON b.tile_id = a.nx LEFT JOIN kn ON kn.tileset_id = a.tileset_id""")
 def transition_context(spark, d):
-    from pyspark.sql import Window as W
-    # One named tile per document: its first.
-    t = fx.tiles(spark, d).where(F.col("tile_id") % fx.CHUNKS == 0).select("doc_id", "tileset_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"),
-        F.concat(F.lit("c"), (F.col("doc_id") % 5).cast("string")).alias("n"), F.lit("w").alias("e"), F.lit("s").alias("s"), F.lit("w").alias("w"), F.lit("16x16").alias("size"), "grid")
-    nxt = F.lead("name").over(W.partitionBy("tileset_id").orderBy("doc_id"))
-    pairs = t.select(F.col("doc_id").alias("pair_id"), "tileset_id", F.col("name").alias("a"), nxt.alias("b")).where("b IS NOT NULL")
-    sets = t.select("tileset_id").distinct().join(F.broadcast(ds.palette_prompt(fx.palette(spark), [])))  # one-row side
-    c = pr.transition_context(pairs, t, sets)
+    """Every tile of every document beside the next tile of its tileset."""
+    t = fx.tiles(spark, d).select(
+        "tile_id", "tileset_id", F.concat(F.lit("t"), F.col("tile_id").cast("string")).alias("name"), F.concat(F.lit("c"), (F.col("tile_id") % 5).cast("string")).alias("n"),
+        F.lit("w").alias("e"), F.lit("s").alias("s"), F.lit("w").alias("w"), F.lit("16x16").alias("size"), "grid")
+    nxt = next_in_order(t.select("tile_id", "tileset_id", "name"), ["tileset_id"], "tile_id", 512 * fx.CHUNKS)
+    pairs = nxt.where("next is not null").select(F.col("tile_id").alias("pair_id"), "tileset_id", F.col("name").alias("a"), F.concat(F.lit("t"), F.col("next").cast("string")).alias("b"))
+    names = cut(t.select("tileset_id").distinct())
+    q = names.join(fx.table(spark, d, "benchmark"), F.col("item_id") == F.expr("cast(substring(tileset_id, 4) as bigint)")).select(F.col("tileset_id").alias("query_id"), "text")
+    p, rel, con = knowledge.kb(spark, d)
+    hits = rt.kb_search(q, p, knowledge.index(spark, d), rel, con, 3, knowledge.CONFIDENT).join(p.select("doc_id", "content"), "doc_id")
+    notes = pr.lines(hits.withColumnRenamed("query_id", "tileset_id"), ["tileset_id"], ["position"], F.concat(F.lit("["), "title", F.lit("] "), "content"), "knowledge_text")
+    sets = names.join(F.broadcast(ds.palette_prompt(fx.palette(spark), [])))  # one-row side
+    c = pr.transition_context(pairs, t, sets.join(notes, "tileset_id", "left"))
     return c.select("tileset_id", "a", "b", "n", "e", "s", "w", F.md5("user_prompt").alias("user_digest"))

@@ -1,5 +1,6 @@
 """Small literal cases and properties."""
 
+import math
 import struct
 import zlib
 from collections import Counter, deque
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from gridweave.functions import labels
 from gridweave.functions.grids import grid_text, rotate_rows, rows_of
 from gridweave.operators import adjacency as adj
-from gridweave.operators import audit, components, dataset, definitions, feedback, image, maps, ranking, retrieval, style, variants
+from gridweave.operators import audit, components, containment, dataset, definitions, feedback, image, maps, postings, ranking, retrieval, style, variants
 from gridweave.operators import features as ft
 from gridweave.operators import grid as g
+from gridweave.operators.lookup import lookup
 
 
 def tiles(spark, *grids):
@@ -221,7 +223,7 @@ def test_contains_join_matches_brute_force(spark):
     hay, needle = ["torchlight", "nes", "stone wall", "ab"], ["torch", "light", "nes", "wall", "e w", "ne"]
     h = spark.createDataFrame([(v,) for v in hay], "h string")
     n = spark.createDataFrame([(v,) for v in needle], "n string")
-    got = {(r["h"], r["n"]) for r in retrieval.contains_pairs(h, n, "h", "n").collect()}
+    got = {(r["h"], r["n"]) for r in containment.contains_pairs(h, n, "h", "n").collect()}
     assert got == {(a, b) for a in hay for b in needle if len(b) >= 3 and b in a}
 
 
@@ -351,3 +353,102 @@ def test_palette_extension_by_tileset(spark):
     got = sorted((r.tileset_id, r.palette, r.sym or "", r.r, r.error) for r in definitions.merge_palette_ext(pal, ext).collect())
     assert got == [("a", "x", "#", 10, None), ("a", "x", ".", 2, None), ("a", "y", "", None, "base palette not found"),
                    ("b", "only", ".", 8, None), ("b", "x", "#", 9, None), ("b", "x", "2c", None, "bad colour")]
+
+
+def test_names_inside_texts(spark):
+    """One automaton, shards, cut shards and salted texts all give what a nested loop gives."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abé x"), rng.integers(1, 7)))
+    texts = [None, "", "ab", *{"".join(word() for _ in range(rng.integers(1, 9))) for _ in range(120)}]
+    names = [None, "", "ab", *{word() for _ in range(150)}]
+    h, n = (spark.createDataFrame([(t,) for t in x + x[:40]], f"{c} string") for c, x in (("h", texts), ("n", names)))
+    want = {(t, m) for t in texts for m in names if t and m and len(m) >= 3 and m in t}
+    for most, group in ((200_000, 20_000), (20, 7), (1, 1)):
+        got = [tuple(r) for r in containment.contains_pairs(h, n, "h", "n", most, group).collect()]
+        assert len(got) == len(set(got)) and set(got) == want, most
+    assert containment.contains_pairs(h, n.where("false"), "h", "n").count() == 0
+    assert containment.contains_pairs(h.where("false"), n, "h", "n", 20, 7).count() == 0
+    with pytest.raises(ValueError):
+        containment.contains_pairs(h, h, "h", "h")
+
+
+def full_scores(docs, query, k):
+    """Every document's whole sum, without an index."""
+    n = len(docs)
+    df = Counter(t for terms in docs.values() for t in set(terms))
+    out = []
+    for d, terms in docs.items():
+        tf = Counter(terms)
+        s = sum(q * math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(terms) / 200)) for t, q in Counter(query).items() if tf[t])
+        if s:
+            out.append((-round(s, 6), d))
+    return [(d, -s) for s, d in sorted(out)[:k]]
+
+
+@pytest.mark.parametrize(("block", "plain"), [(1024, 0), (4, 0), (4, 10**9)])
+def test_pruned_search_is_exact(spark, block, plain):
+    """Block skipping and optional terms against the full sum, with frequent and rare terms, ties and short queries."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"t{i}" for i in range(60)]
+    docs = {i: list(rng.choice(vocabulary, rng.integers(0, 60), p=(w := 1 / np.arange(1, 61)) / w.sum())) for i in range(300)}
+    docs[300], docs[301] = docs[7], []
+    rows = spark.createDataFrame([(i, [str(t) for t in terms]) for i, terms in docs.items()], "doc_id long, t array<string>")
+    index = postings.write(rows, F.col("t"), block)
+    queries = {1: ["t0"], 2: ["t0", "t1", "t59"], 3: [str(t) for t in docs[7]] or ["t3"], 4: ["t5"] * 3 + ["t2"], 5: ["unknown"], 6: vocabulary, 7: ["t58", "unknown"]}
+    q = spark.createDataFrame([(i, t, c) for i, terms in queries.items() for t, c in Counter(terms).items()], "query_id long, term string, qtf long")
+    got = {}
+    for r in postings.search(q, index, 5, ["query_id"], plain).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    for i, terms in queries.items():
+        want = full_scores(docs, terms, 5)
+        assert [d for d, _ in got.get(i, [])] == [d for d, _ in want], i
+        assert np.allclose([s for _, s in got.get(i, [])], [s for _, s in want])
+    longest = index.blocks(spark).agg(F.max(F.size("postings"))).first()[0]
+    assert longest <= (300 if block == 1024 else 40)
+    plan = index.blocks(spark, [1, 2]).select("term")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+@pytest.mark.parametrize("metric", ["w309", "bucket", "i243"])
+def test_colour_cube_is_exact(spark, metric):
+    """Every colour's nearest entry by a plain search, ties to the first entry, cells on their edges included."""
+    rng = np.random.default_rng(11)
+    weights = {"w309": (30, 59, 11), "bucket": (1, 1, 1), "i243": (2, 4, 3)}[metric]
+    pals = {g: [(i, chr(97 + i), *map(int, rng.integers(0, 256, 3))) for i in range(n)] for g, n in (("a", 16), ("b", 2), ("c", 1))}
+    pals["b"].append((2, "z", *pals["b"][0][2:]))  # the same colour again, later
+    colours = [tuple(map(int, c)) for c in rng.integers(0, 256, (150, 3))] + [(15, 16, 31), (0, 0, 0), (255, 255, 255), *[p[2:] for p in pals["a"]]]
+    px = [(g, i, *c, 255 if i % 5 else 100) for g in ("a", "b", "c", "none") for i, c in enumerate(colours * 2)]
+    df = spark.createDataFrame(px, "tileset_id string, i int, r int, g int, b int, a int")
+    pal = spark.createDataFrame([(g, *p) for g, ps in pals.items() for p in ps], "tileset_id string, pos int, sym string, r int, g int, b int")
+    got = image.quantize(df, pal, ["tileset_id"], metric).collect()
+    assert len(got) == len(px)
+    for r in got:
+        c = [(v // 16 * 16 if metric == "bucket" else v) for v in (r.r, r.g, r.b)]
+        near = min(((sum(w * (x - y) ** 2 for w, x, y in zip(weights, c, p[2:], strict=True)), p[0], p[1]) for p in pals.get(r.tileset_id, [])), default=None)
+        if r.a < 128 or near is None:
+            assert (r.sym, r.dist) == (".", 0.0)
+        else:
+            assert r.sym == near[2] and r.dist == pytest.approx(math.sqrt(near[0] / (100 if metric == "w309" else 1)))
+    plan = image.quantize(df, pal, ["tileset_id"], metric)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "_pal" not in plan  # no pixel meets a whole palette
+
+
+def test_next_in_order_across_ranges(spark):
+    rows = [("a", k) for k in (1, 2, 9, 10, 11, 55, 1000)] + [("b", 7), ("c", 3), ("c", 10_000)]
+    df = spark.createDataFrame(rows, "g string, k long")
+    want = {("a", 1): 2, ("a", 2): 9, ("a", 9): 10, ("a", 10): 11, ("a", 11): 55, ("a", 55): 1000, ("a", 1000): None, ("b", 7): None, ("c", 3): 10_000, ("c", 10_000): None}
+    for width in (1, 10, 10**6):
+        assert {(r.g, r.k): r.next for r in ranking.next_in_order(df, ["g"], "k", width).collect()} == want
+
+
+def test_lookup_sends_or_salts(spark):
+    """A small side is sent whole and moves no row of the other; a large one is met by key and salt, with the same rows."""
+    df = spark.range(200).select((F.col("id") % 7).alias("k"), "id")
+    small = spark.createDataFrame([(i, f"v{i}") for i in range(5)], "k long, v string")
+    for how in ("left", "inner", "left_semi"):
+        sent, salted = lookup(df, small, ["k"], how), lookup(df, small, ["k"], how, most=2)
+        assert sorted(map(tuple, sent.collect()), key=str) == sorted(map(tuple, salted.collect()), key=str)
+        assert sent.count() == (200 if how == "left" else sum(i % 7 < 5 for i in range(200)))
+        plan = sent._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        assert "_salt" in salted._jdf.queryExecution().toString()
