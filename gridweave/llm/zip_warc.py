@@ -231,6 +231,10 @@ def records(path: str, start: int, length: int) -> Iterator[bytes]:
                 data, out, unpack = unpack.unused_data, [], zlib.decompressobj(31)
 
 
+#: Bytes of archives that a reading task takes.
+TASK_BYTES = 32 << 20
+
+
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Records of the archives of a manifest's ``path`` column."""
     def places(parts):
@@ -257,5 +261,9 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 if some:
                     yield pa.RecordBatch.from_pylist(some, schema)
 
-    found = cut(manifest.select("path").repartition(F.col("path")).mapInPandas(places, "path string, start bigint, length bigint"))
-    return found.repartition(F.col("path"), F.col("start")).mapInArrow(run, RECORDS)
+    # Explicit numbers of tasks: the rows are few and small, but each stands for an archive or a range of one.
+    paths = manifest.select("path").distinct()
+    found = cut(paths.repartition(max(1, paths.count()), "path").mapInPandas(places, "path string, start bigint, length bigint"))
+    size = found.agg(F.sum("length").alias("bytes"), F.count("*").alias("ranges"), F.countDistinct("path").alias("paths")).first()
+    tasks = max(1, min(size.ranges, max(2 * size.paths, (size.bytes or 0) // TASK_BYTES)))
+    return found.repartition(tasks, "path", "start").mapInArrow(run, RECORDS)

@@ -32,7 +32,9 @@ def want(rows, least=0):
 def test_round_trip(spark, tmp_path, least, monkeypatch):
     monkeypatch.setattr(zw, "RANGE_BYTES", 400)
     pages = spark.createDataFrame(ROWS, "page_id long, url string, html string, payload string").repartition(2)
-    got = zw.read(spark, zw.write(zw.typed(pages, least), f"file://{tmp_path}/a")).collect()
+    back = zw.read(spark, zw.write(zw.typed(pages, least), f"file://{tmp_path}/a"))
+    assert back.rdd.getNumPartitions() >= len(list(tmp_path.glob("a/*.zip")))  # an archive is a task's work, or several tasks'
+    got = back.collect()
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == want(ROWS, least)
     text = {(i, t or "") for i, _, t, _ in ROWS}
     assert {(r.page_id, r.payload.decode()) for r in got if r.record_type == "response"} <= text
