@@ -14,6 +14,7 @@ from gridweave.plans.registry import query
 from gridweave.session import scratch_path
 from gridweave.streaming import elites as el
 from gridweave.streaming import feedback as fs
+from gridweave.streaming.versions import Versions
 
 FB = "WITH " + fx.RAW_FEEDBACK_SQL
 
@@ -145,18 +146,18 @@ def event_stream(spark, d, path: str):
 @query("fb_stream_stats", f"{FB}, {STATS} {STATS_OUT}")
 def fb_stream_stats(spark, d):
     p = scratch_path(spark, "fb-stats")
-    q = fs.write_latest(fs.fb_stream_stats(event_stream(spark, d, p + "/in"), ["tileset_id"]), p + "/out", p + "/cp")
+    q = fs.write_latest(fs.fb_stream_stats(event_stream(spark, d, p + "/in"), ["tileset_id"]), p + "/out", p + "/cp", ["tileset_id"])
     q.awaitTermination()
-    return stats_out(spark.read.parquet(p + "/out"))
+    return stats_out(Versions(spark, p + "/out").read())
 
 
 @query("fb_stream_windows", f"{FB} SELECT strftime(ts, '%Y-%m-%d') AS day, tileset_id, count(*) FILTER (action = 'accept') AS accepts, count(*) FILTER (action = 'reject') AS rejects, count(*) FILTER (action = 'edit') AS edits FROM fb GROUP BY ALL")
 def fb_stream_windows(spark, d):
     p = scratch_path(spark, "fb-windows")
     s = fs.fb_stream_stats(event_stream(spark, d, p + "/in"), ["tileset_id"], "1 day").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "tileset_id", "accepts", "rejects", "edits")
-    q = fs.write_latest(s, p + "/out", p + "/cp")
+    q = fs.write_latest(s, p + "/out", p + "/cp", ["day", "tileset_id"])
     q.awaitTermination()
-    return spark.read.parquet(p + "/out")
+    return Versions(spark, p + "/out").read()
 
 
 @query("fb_stream_style", f"{ACC} {latent_sql('tileset_id', src='apx')} SELECT tileset_id, {MEAS}, sample_count FROM latent")

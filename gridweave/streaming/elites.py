@@ -5,35 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridweave.operators.dataset import elites, merge_elites
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    done = [n for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return sorted(int(n[2:]) for n in done)
+from gridweave.streaming.versions import Versions
 
 
 def elite_stream(stream: DataFrame, archive_path: str, checkpoint: str, id_col: str = "map_id"):
-    """Each batch writes version ``batch + 1`` from the version before it.
+    """Each batch writes version ``batch + 1`` from the version before it; old versions go.
 
     Versions are never changed in place: replaying a batch rewrites the same
     version from the same predecessor.
     """
-    spark = stream.sparkSession
-
     def merge(batch: DataFrame, batch_id: int) -> None:
-        older = [v for v in _versions(spark, archive_path) if v <= batch_id]
-        new = elites(batch, id_col) if not older else merge_elites(
-            spark.read.parquet(f"{archive_path}/v={older[-1]}"), batch, id_col)
-        new.write.mode("overwrite").parquet(f"{archive_path}/v={batch_id + 1}")
+        log = Versions(batch.sparkSession, archive_path)
+        older = log.newest(batch_id + 1)
+        log.write(elites(batch, id_col) if older is None else merge_elites(log.read(older), batch, id_col), batch_id + 1)
 
     return (stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start())
 
 
 def read_elites(spark: SparkSession, archive_path: str) -> DataFrame:
-    return spark.read.parquet(f"{archive_path}/v={_versions(spark, archive_path)[-1]}")
+    return Versions(spark, archive_path).read()

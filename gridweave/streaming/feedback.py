@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.operators.feedback import stats_columns
 from gridweave.operators.style import latent_from_sums, symbol_sums, tile_sums
+from gridweave.streaming.versions import Versions
 
 
 def fb_stream_stats(stream: DataFrame, by: list[str], watermark: str | None = None, window: str = "1 day") -> DataFrame:
@@ -20,12 +24,29 @@ def fb_stream_stats(stream: DataFrame, by: list[str], watermark: str | None = No
     return stream.withWatermark("ts", watermark).groupBy(F.window("ts", window), *by).agg(*stats_columns())
 
 
-def write_latest(result: DataFrame, path: str, checkpoint: str):
-    """Run to the end of the input, keeping the complete result as a table."""
-    def save(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+def write_latest(result: DataFrame, path: str, checkpoint: str, keys: list[str]):
+    """Run to the end of the input, keeping the latest row of every key as a versioned table.
+
+    Batches bring the groups that changed (``update``), so under a watermark the
+    state of closed windows is dropped while their rows stay in the table.  A
+    batch writes a version from the one before it and commits it in one step.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        log = Versions(batch.sparkSession, path)
+        number = batch_id + 1
+        if number in log.numbers():
+            return
+        batch = batch.persist()
+        older = log.newest(number)
+        if older is None:
+            log.write(batch, number)
+        else:
+            old, new = log.read(older).alias("old"), batch.select(*keys).distinct().alias("new")
+            same = reduce(and_, [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys])
+            log.write(batch.unionByName(old.join(new, same, "left_anti")), number)
+        batch.unpersist()
 
-    return (result.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+    return (result.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).foreachBatch(save).start())
 
 
