@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = """training_slice tile_features tile_label augment_rotations edge_class style_latent style_score rle_decode
 extract_palette quantize_weighted tile_slice_dedup adjacency_degree compat_totals map_features map_violations elite_archive
-fb_stats fb_examples fb_preferred_style bm25_search split_exact v_symbols""".split()
+fb_stats fb_examples fb_preferred_style bm25_search kb_probe fb_stream_windows split_exact v_symbols""".split()
 
 
 def main() -> None:

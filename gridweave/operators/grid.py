@@ -72,13 +72,24 @@ def rle_runs(tiles: DataFrame, keep: tuple[str, ...] = ("tile_id",)) -> DataFram
 
 
 def rle_decode(tiles: DataFrame, keep: tuple[str, ...] = ("tile_id",)) -> DataFrame:
-    """Run-length text -> pixels; the x offset is a running sum inside one row."""
-    w = W.partitionBy(*keep, "y").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    runs = rle_runs(tiles, keep).where("ok AND n > 0")
-    runs = runs.withColumn("x0", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    return runs.select(
-        *keep, "y", F.explode(F.expr("sequence(x0, x0 + n - 1)")).alias("x"), "sym"
-    )
+    """Run-length text -> pixels, line by line without a shuffle.
+
+    Every good token becomes its symbols; a symbol's place in the line is its x.
+    :func:`rle_rejected` has the other tokens.
+    """
+    def symbols(tok: Column) -> Column:
+        n, sym = F.regexp_extract(tok, r"^([0-9]*)", 1), F.regexp_extract(tok, r"^(?:[0-9]+:(.+)|[0-9]*([^0-9]))$", 1)
+        sym = F.when(sym != "", sym).otherwise(F.regexp_extract(tok, r"^[0-9]*([^0-9])$", 1))
+        times = F.when(n == "", 1).otherwise(n.try_cast("int"))
+        return F.when((sym != "") & (times > 0), F.array_repeat(sym, times)).otherwise(F.array().cast("array<string>"))
+
+    rows = tiles.select(*keep, F.posexplode(F.split("rle", "\n")).alias("y", "_row")).where(F.trim("_row") != "")
+    return rows.select(*keep, "y", F.posexplode(F.flatten(F.transform(F.split(F.trim("_row"), "\\s+"), symbols))).alias("x", "sym"))
+
+
+def rle_rejected(tiles: DataFrame, keep: tuple[str, ...] = ("tile_id",)) -> DataFrame:
+    """Tokens ``(*keep, y, i, tok)`` that decode to nothing: malformed, or of a count that is zero or too large."""
+    return rle_runs(tiles, keep).where("NOT ok OR n IS NULL OR n <= 0").select(*keep, "y", "i", "tok")
 
 
 def pixels_to_rle(pixels: DataFrame, by: tuple[str, ...] = ("tile_id",)) -> DataFrame:

@@ -49,6 +49,12 @@ def test_extended_rle(spark):
     assert sorted(one(g.rle_decode(t), "x", "sym")) == [(0, "2a"), (1, "2a"), (2, "b"), (3, "#")]
 
 
+def test_rejected_run_length_tokens(spark):
+    t = spark.createDataFrame([(1, "2a 0b xx 3\n x9  1:q\n\n99999999999z é")], "tile_id bigint, rle string")
+    assert sorted(one(g.rle_decode(t), "y", "x", "sym")) == [(0, 0, "a"), (0, 1, "a"), (1, 0, "q"), (3, 0, "é")]
+    assert sorted(one(g.rle_rejected(t), "y", "i", "tok")) == [(0, 1, "0b"), (0, 2, "xx"), (0, 3, "3"), (1, 0, "x9"), (3, 0, "99999999999z")]
+
+
 def test_features_of_odd_and_void_tiles(spark):
     f = {r["tile_id"]: r for r in ft.tile_features(tiles(spark, "aba\n...\naba", "..\n..", "ab")).collect()}
     assert f[0]["symmetry_h"] == 1.0 and f[0]["symmetry_v"] == 1.0 and f[0]["density"] == pytest.approx(6 / 9)
