@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from gridweave.functions.color import hex_channels, hex_valid
 from gridweave.functions.grids import rows_of
 from gridweave.operators.grid import to_pixels
+from gridweave.operators.lookup import lookup
 from gridweave.session import cut
 
 ERROR_COLOUR = (255, 0, 255, 255)  # fixed value
@@ -46,12 +47,12 @@ def colorize(pixels: DataFrame, palette: DataFrame, on: list[str], swap: DataFra
     """Symbol -> channels: swap map first, then palette, then the error colour."""
     chan = ["r", "g", "b", "a"]
     p = palette.select(*on, "sym", *[F.col(c).alias(f"_p_{c}") for c in chan])
-    j = pixels.join(p, [*on, "sym"], "left")
+    j = lookup(pixels, p, [*on, "sym"])
     srcs = {c: [F.col(f"_p_{c}")] for c in chan}
     drop = [f"_p_{c}" for c in chan]
     if swap is not None:
         s = swap.select(*(swap_on or []), "sym", *[F.col(c).alias(f"_s_{c}") for c in chan])
-        j = j.join(s, [*(swap_on or []), "sym"], "left")
+        j = lookup(j, s, [*(swap_on or []), "sym"])
         srcs = {c: [F.col(f"_s_{c}"), *srcs[c]] for c in chan}
         drop += [f"_s_{c}" for c in chan]
     return j.withColumns({c: F.coalesce(*srcs[c], F.lit(e)) for c, e in zip(chan, ERROR_COLOUR)}).drop(*drop)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from gridweave.operators.adjacency import A_CORNER, B_CORNER, DELTA, OPPOSITE, adjacency_degree, corners_fit
 from gridweave.operators.components import connected_components
 from gridweave.operators.grid import suffix_parts
+from gridweave.operators.lookup import lookup
 from gridweave.session import cut
 
 BLOCK = 64  # rooms are first labelled inside blocks of this side
@@ -22,11 +23,15 @@ def base_name(tile: Column, legacy: bool = False) -> Column:
 
 
 def with_affordance(cells: DataFrame, affordance: DataFrame, legacy: bool = False) -> DataFrame:
-    """Adds ``base`` and ``affordance``; an exact tile name wins over the base name."""
+    """Adds ``base`` and ``affordance``; an exact tile name wins over the base name.
+
+    Few names cover most cells, so the affordances go to the cells where their
+    number allows it.
+    """
     c = cells.withColumn("base", base_name(F.col("tile"), legacy))
     exact = affordance.select("tile", F.col("affordance").alias("_exact"))
     stripped = affordance.select(F.col("tile").alias("base"), F.col("affordance").alias("_base"))
-    return c.join(exact, "tile", "left").join(stripped, "base", "left").select(
+    return lookup(lookup(c, exact, ["tile"]), stripped, ["base"]).select(
         *cells.columns, "base", F.coalesce("_exact", "_base").alias("affordance"))
 
 

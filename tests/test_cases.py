@@ -458,3 +458,17 @@ def test_lookup_sends_or_salts(spark):
         plan = sent._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
         assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
         assert "_salt" in salted._jdf.queryExecution().toString()
+
+
+def test_cells_and_pixels_stay_where_they_are(spark):
+    """No exploded row is shuffled on a tile name or a symbol."""
+    cells = spark.createDataFrame([(1, x, 0, t) for x, t in enumerate(["wall_90", "floor", "ice", None])], "map_id long, x int, y int, tile string")
+    kinds = spark.createDataFrame([("wall", "obstacle"), ("floor", "walkable"), ("wall_90", "portal")], "tile string, affordance string")
+    got = maps.with_affordance(cells, kinds)
+    assert [r.affordance for r in got.orderBy("x").collect()] == ["portal", "walkable", None, None]
+    px = spark.createDataFrame([(1, s) for s in "#.x"], "tile_id long, sym string")
+    pal = spark.createDataFrame([("#", 1, 2, 3, 255), (".", 4, 5, 6, 0)], "sym string, r int, g int, b int, a int")
+    shown = definitions.colorize(px, pal, [], pal.where("sym = '.'").withColumn("r", F.lit(9)), [])
+    assert sorted((r.sym, r.r, r.a) for r in shown.collect()) == [("#", 1, 255), (".", 9, 0), ("x", 255, 255)]
+    for df in (got, shown):
+        assert "hashpartitioning" not in df._jdf.queryExecution().toString()
