@@ -103,7 +103,9 @@ def colour_cube(colours: DataFrame, palette: DataFrame, by: list[str], metric: s
         return total
 
     least = F.array_min(F.transform("_pal", lambda p: bound(p, True)))
-    kept = j.withColumn("_least", least).select(*by, *cell, F.filter("_pal", lambda p: bound(p, False) <= F.col("_least")).alias("_pal"))
+    # The bound is a lambda's argument, so it is computed once a cell and not once an entry.
+    some = F.transform(F.array(least), lambda m: F.filter("_pal", lambda p: bound(p, False) <= m))[0]
+    kept = j.select(*by, *cell, some.alias("_pal"))
     best = F.array_min(F.transform("_pal", lambda p: F.struct(_distance(metric, p).alias("d"), p["pos"].alias("pos"), p["sym"].alias("sym"))))
     return placed.join(kept, [*by, *cell]).withColumn("_best", best).select(*by, "r", "g", "b", F.col("_best.d").alias("d"), F.col("_best.sym").alias("sym"))
 

@@ -228,7 +228,7 @@ def style_latent(spark, d):
     return s.select("tileset_id", *meas(), "sample_count")
 
 
-@query("learn_style", f"""WITH {T}, {latent_sql('theme', extra="WHERE px.tile_id // 1000000 IN (SELECT doc_id FROM labels WHERE quality = 1)")} SELECT theme, {MEAS}, sample_count FROM latent""")
+@query("learn_style", f"""WITH {T}, {latent_sql('theme', extra=f"WHERE px.tile_id // {fx.CHUNKS} IN (SELECT doc_id FROM labels WHERE quality = 1)")} SELECT theme, {MEAS}, sample_count FROM latent""")
 def learn_style(spark, d):
     good = fx.table(spark, d, "labels").where("quality = 1").select("doc_id").distinct()
     s = st.learn_style(fx.tiles(spark, d), fx.palette(spark), ["theme"], good)
