@@ -121,15 +121,21 @@ def read_tilesets(spark, d):
     return ts["tile"].select("name", F.col("edge_class.n").alias("n"), F.col("semantic.affordance").alias("affordance"), "size", "grid")
 
 
+#: Documents of a file of the knowledge corpus.
+KB_FILE = 500
+
+
 @query("read_kb", "SELECT source AS title, count(*) AS passages, sum(length(text))::bigint AS chars, count(*) FILTER (doc_id % 3 = 0) AS with_summary FROM documents GROUP BY 1")
 def read_kb(spark, d):
     p = scratch_path(spark, "kb")
     pas = F.struct(F.col("text").alias("content"), F.when(F.col("doc_id") % 3 == 0, "s").alias("summary"), F.array("lang").alias("concepts"))
-    docs = fx.table(spark, d, "documents").groupBy(F.col("source").alias("title"), (F.col("doc_id") / 25).cast("bigint").alias("_f")).agg(
+    # One file per five hundred documents with a record per title, so there are far fewer files than documents; dealt by file, both groupings stay in place.
+    dealt = fx.table(spark, d, "documents").withColumn("_f", F.expr(f"doc_id div {KB_FILE}")).repartition("_f")
+    docs = dealt.groupBy(F.col("source").alias("title"), "_f").agg(
         F.collect_list(F.when(F.col("doc_id") % 2 == 0, pas)).alias("_in"), F.collect_list(F.when(F.col("doc_id") % 2 == 1, pas)).alias("orphan_passages"))
     doc = F.struct("title", F.array(F.struct(F.array(F.struct(F.col("_in").alias("passages"))).alias("sections"))).alias("chapters"), "orphan_passages")
-    docs.select(F.to_json(F.struct(F.array(doc).alias("documents"))).alias("value"), "_f", "title").repartition(64, "title", "_f").select("value", "title", "_f").write.partitionBy("title", "_f").text(p)
-    passages, _ = rd.read_kb(spark, p + "/*/*/*.txt")
+    docs.groupBy("_f").agg(F.to_json(F.struct(F.collect_list(doc).alias("documents"))).alias("value")).select("value", "_f").write.partitionBy("_f").text(p)
+    passages, _ = rd.read_kb(spark, p + "/*/*.txt")
     return passages.groupBy("title").agg(F.count("*").alias("passages"), F.sum(F.length("content")).alias("chars"), F.count(F.when(F.col("summary") != "", 1)).alias("with_summary"))
 
 
