@@ -22,3 +22,21 @@ def test_read_kb_writes_few_files(spark, con, tmp_path, monkeypatch):
     assert ok, msg
     written = [f for _, _, names in os.walk(tmp_path / "kb") for f in names if f.startswith("part-")]
     assert 1 <= len(written) <= -(-spark.read.parquet(f"{SF}/documents.parquet").count() // files.KB_FILE) + 1
+
+
+def test_small_graphs_close_in_one_step(spark, monkeypatch):
+    """Rounds of jobs for some edges overran the driver's memory; the components are those of the rounds."""
+    import random
+
+    from gridweave.operators import components
+
+    rng = random.Random(5)
+    rows = [(f"k{i % 3}", a, b) for i in range(400) for a, b in [(rng.randrange(300), rng.randrange(300))]] + [("k0", 1000 + i, 1001 + i) for i in range(200)]
+    e = spark.createDataFrame(rows, "k string, src long, dst long")
+    nodes = e.selectExpr("k", "src as node").unionByName(e.selectExpr("k", "dst as node"))
+    cuts, real = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: cuts.append(1) or real(df))
+    one = {tuple(r) for r in components.connected_components(nodes, e, ["k"]).collect()}
+    assert len(cuts) <= 3
+    monkeypatch.setattr(components, "CLOSED", 0)
+    assert one == {tuple(r) for r in components.connected_components(nodes, e, ["k"]).collect()}
