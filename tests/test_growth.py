@@ -40,3 +40,19 @@ def test_small_graphs_close_in_one_step(spark, monkeypatch):
     assert len(cuts) <= 3
     monkeypatch.setattr(components, "CLOSED", 0)
     assert one == {tuple(r) for r in components.connected_components(nodes, e, ["k"]).collect()}
+
+
+def test_expansion_follows_an_edge_once_for_many_queries(spark):
+    """Queries travel as bits: 200 that ask the same share rows; the terms are those of each query alone."""
+    from pyspark.sql import functions as F
+
+    from gridweave.operators import retrieval as rt
+
+    rel = spark.createDataFrame([("castle", "moat", 1), ("moat", "water", 2), ("castle wall", "stone", 1), ("stone", "quarry", 1)], "entity string, target string, n long")
+    con = spark.createDataFrame([(w, 1, "t") for w in ("castle", "moat", "water", "stone", "quarry", "castles")], "concept string, doc_id long, title string")
+    q = spark.createDataFrame([(i, "Castle wall and gate" if i % 2 else "water") for i in range(200)], "query_id long, text string")
+    numbered = rt._numbered(q, ["query_id"])
+    assert rt._packed(rt.query_words(q, ["query_id"]), numbered, ["query_id"], "word").where("term = 'castle'").count() <= 200 // rt.BITS + 1
+    got = {r.query_id: tuple(sorted(r.t)) for r in rt.expand(q, rel, con).groupBy("query_id").agg(F.collect_list("term").alias("t")).collect()}
+    # 'castle' reaches itself again by the second hop but is the query's own word.
+    assert got == {i: ("castles", "moat", "quarry", "stone", "water") if i % 2 else ("castle", "moat") for i in range(200)}
