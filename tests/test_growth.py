@@ -56,3 +56,19 @@ def test_expansion_follows_an_edge_once_for_many_queries(spark):
     got = {r.query_id: tuple(sorted(r.t)) for r in rt.expand(q, rel, con).groupBy("query_id").agg(F.collect_list("term").alias("t")).collect()}
     # 'castle' reaches itself again by the second hop but is the query's own word.
     assert got == {i: ("castles", "moat", "quarry", "stone", "water") if i % 2 else ("castle", "moat") for i in range(200)}
+
+
+def test_terms_are_counted_where_they_lie(spark):
+    """No shuffle to count a passage's terms, unless ids repeat; counts are those of the terms."""
+    from collections import Counter
+
+    from gridweave.operators import postings
+
+    rows = [(i, [f"w{(i * j) % 7}" for j in range(i % 40)]) for i in range(1200)]
+    toks = spark.createDataFrame(rows, "doc_id long, terms array<string>")
+    got = postings._counted(toks)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {(i, len(t), w, n) for i, t in rows for w, n in Counter(t).items()}
+    assert got.count() == len(want) and {tuple(r) for r in got.collect()} == want
+    twice = postings._counted(toks.unionByName(toks)).collect()
+    assert {tuple(r) for r in twice} == {(i, d, w, 2 * n) for i, d, w, n in want} and len(twice) == len(want)
