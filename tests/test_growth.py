@@ -72,3 +72,16 @@ def test_terms_are_counted_where_they_lie(spark):
     assert got.count() == len(want) and {tuple(r) for r in got.collect()} == want
     twice = postings._counted(toks.unionByName(toks)).collect()
     assert {tuple(r) for r in twice} == {(i, d, w, 2 * n) for i, d, w, n in want} and len(twice) == len(want)
+
+
+def test_boosted_scores_round_halves_up(spark):
+    """Scores on an exact half followed the last bit of a sum; here every sum is compared with whole numbers."""
+    from gridweave.operators import retrieval as rt
+
+    best = [1_000_010 + 10 * i for i in range(300)]
+    q = spark.createDataFrame([(i, "castle") for i in range(300)], "query_id long, text string")
+    scores = spark.createDataFrame([(i, 1, b / 1e6) for i, b in enumerate(best)], "query_id long, doc_id long, score double")
+    rel = spark.createDataFrame([("castle", "moat", 3)], "entity string, target string, n long")
+    con = spark.createDataFrame([("moat", 1, "t"), ("moat", 2, "t")], "concept string, doc_id long, title string")
+    got = {(r.query_id, r.doc_id): round(r.score * 1e6) for r in rt.kb_boost(q, scores, rel, con).collect()}
+    assert got == {(i, d): (100 * b * (d == 1) + 45 * b + 50) // 100 for i, b in enumerate(best) for d in (1, 2)}
