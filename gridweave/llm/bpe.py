@@ -28,8 +28,9 @@ from gridweave.llm.pretokens import segments, splitter
 
 #: Distinct pre-tokens a worker remembers before it starts anew; only a cache.
 CACHE = 100_000
-#: Characters of text in one output batch of a task (a longer text is a batch of its own).
-BATCH_CHARS = 4_000_000
+#: Characters of text in one output batch of a task (a longer text is a batch of its own).  Its pre-tokens are held
+#: at once, some 20 times as many bytes, and a worker keeps that memory while it serves other steps.
+BATCH_CHARS = 300_000
 #: Cells of one matrix: small enough to stay in the processor's cache.
 CELLS = 1 << 15
 EMPTY = np.int64(1) << 62

@@ -64,3 +64,17 @@ def test_query(spark, tokenizer):
         r = got[d.doc_id]
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(d.text.encode()).hexdigest()
+
+
+def test_a_batch_holds_few_pre_tokens_at_once():
+    """The pre-tokens of 500 long texts took 100 MB of a worker, which it kept for the steps after."""
+    import tracemalloc
+
+    texts = [" ".join(f"w{(i * 7 + k) % 500}" for k in range(800)) for i in range(500)]
+    coder = bpe.Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    tracemalloc.start()
+    for a, b in bpe.batches(texts):
+        coder.encode(texts[a:b])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
