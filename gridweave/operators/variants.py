@@ -20,62 +20,66 @@ def _inside(v: Column, n: Column) -> Column:
     return F.lit(1) + v % F.greatest(n - 2, F.lit(1))
 
 
-def _mutate(kind: str) -> Column:
-    """Array of cells after one mutation; reads the prepared columns of :func:`vary`."""
-    w, h, cells, used = F.col("w"), F.col("h"), F.col("_cells"), F.col("_used")
-    d = [F.col(f"_d{k}") for k in range(4)]
-    xy = lambda p: (p % w, F.floor(p / w))
-    at = lambda x, y: F.get(cells, (y * w + x).cast("int"))
+def _touched(kind: str) -> Column:
+    """``(p, s)`` of the cells that a mutation rewrites, oldest first; reads the prepared columns of :func:`vary`."""
+    w, h, flat = F.col("w"), F.col("h"), F.col("_flat")
+    d = [F.col(f"_d{k}") for k in range(2)]
+    put = lambda p, s: F.struct(p.cast("int").alias("p"), s.alias("s"))
+    none = F.array().cast("array<struct<p:int,s:string>>")
 
     if kind in ("row", "col"):
         across, along = (h, w) if kind == "row" else (w, h)
         line = F.lit(2) + d[0] % F.greatest(across - 4, F.lit(1))
-        forward = d[1] % 2 == 0
+        place = (lambda t: line * w + t) if kind == "row" else (lambda t: t * w + line)
 
-        def shift(c, p):
-            x, y = xy(p)
-            here, t = (y, x) if kind == "row" else (x, y)
-            src = F.when(forward, F.when(t == 1, along - 2).otherwise(t - 1)).otherwise(F.when(t == along - 2, F.lit(1)).otherwise(t + 1))
-            other = at(src, y) if kind == "row" else at(x, src)
-            return F.when((here == line) & (t >= 1) & (t <= along - 2), other).otherwise(c)
+        def shift(t):
+            src = F.when(d[1] % 2 == 0, F.when(t == 1, along - 2).otherwise(t - 1)).otherwise(F.when(t == along - 2, F.lit(1)).otherwise(t + 1))
+            return put(place(t), F.substring(flat, (place(src) + 1).cast("int"), F.lit(1)))
 
-        return F.when((across > 4) & (along > 3), F.transform(cells, shift)).otherwise(cells)
+        return F.when((across > 4) & (along > 3), F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest(along - 2, F.lit(1))), shift)).otherwise(none)
 
-    if kind == "swap":
-        n = F.size(used)
-        ia = d[0] % n
-        a = F.get(used, ia.cast("int"))
-        b = F.get(used, ((ia + 1 + d[1] % F.greatest(n - 1, F.lit(1))) % n).cast("int"))
+    if kind == "crack":
+        vertical = d[0] % 2 == 0
+        across, along = F.when(vertical, w).otherwise(h), F.when(vertical, h).otherwise(w)
+        line = F.lit(2) + d[1] % F.greatest(across - 4, F.lit(1))
 
-        def swap(c, p):
-            x, y = xy(p)
-            inner = (x >= 1) & (x <= w - 2) & (y >= 1) & (y <= h - 2)
-            return F.when(inner & (c == a), b).when(inner & (c == b), a).otherwise(c)
+        def crack(k):
+            t, s = F.floor(k / 2), line + k % 2
+            hit = F.when(k % 2 == 0, (F.get("_coin", k) < 7) & (s < across)).otherwise((F.get("_coin", k) < 3) & (s < across - 1))
+            return put(F.when(hit, F.when(vertical, t * w + s).otherwise(s * w + t)), F.col("_dark"))
 
-        return F.when(n > 1, F.transform(cells, swap)).otherwise(cells)
+        return F.when(along > 2, F.transform(F.sequence(F.lit(2), F.greatest(2 * along - 3, F.lit(2)).cast("int")), crack)).otherwise(none)
 
-    if kind == "crack":
-        vertical = d[0] % 2 == 0
-        line = F.lit(2) + d[1] % F.greatest(F.when(vertical, w).otherwise(h) - 4, F.lit(1))
+    if kind == "noise":  # void cells stay
+        return F.transform("_spots", lambda e: put(F.when(F.substring(flat, (e["p"] + 1).cast("int"), F.lit(1)) != VOID, e["p"]), e["s"]))
+    return F.transform("_spots", lambda e: put(e["p"], e["s"]))
+
+
+def _swapped() -> Column:
+    """The flat grid with two symbols exchanged in its interior, row by row."""
+    w, h, used, n = F.col("w"), F.col("h"), F.col("_used"), F.size("_used")
+    ia = F.col("_d0") % n
+    a = F.get(used, ia.cast("int"))
+    b = F.get(used, ((ia + 1 + F.col("_d1") % F.greatest(n - 1, F.lit(1))) % n).cast("int"))
+    part = lambda text, x, y, size: F.substring(text, (y * w + x + 1).cast("int"), size.cast("int"))
+
+    def rows(other):
+        return F.transform(F.sequence(F.lit(0).cast("bigint"), h - 1), lambda y: F.when(
+            (y >= 1) & (y <= h - 2), F.concat(part(F.col("_flat"), F.lit(0), y, F.lit(1)), part(other, F.lit(1), y, w - 2), part(F.col("_flat"), w - 1, y, F.lit(1)))).otherwise(
+            part(F.col("_flat"), F.lit(0), y, w)))
 
-        def crack(c, p):
-            x, y = xy(p)
-            t, s = F.when(vertical, y).otherwise(x), F.when(vertical, x).otherwise(y)
-            inner = (t >= 1) & (t <= F.when(vertical, h).otherwise(w) - 2)
-            main = (s == line) & (F.get("_coin", (2 * t).cast("int")) < 7)
-            wobble = (s == line + 1) & (s < F.when(vertical, w).otherwise(h) - 1) & (F.get("_coin", (2 * t + 1).cast("int")) < 3)
-            return F.when(inner & (main | wobble), F.col("_dark")).otherwise(c)
+    # The exchanged text is a lambda's argument, so it is made once a tile and not once a row.
+    made = F.transform(F.array(F.call_function("translate", F.col("_flat"), F.concat(a, b), F.concat(b, a))), rows)
+    return F.when((n > 1) & (w > 2), F.array_join(made[0], "")).otherwise(F.col("_flat"))
 
-        return F.transform(cells, crack)
 
-    # noise and erode: a short list of positions, the last draw of a position wins
-    def touch(c, p):
-        k = F.array_position("_pos", p.cast("bigint"))
-        sym = F.get("_sym", (k - 1).cast("int"))
-        hit = (k > 0) & ((c != VOID) if kind == "noise" else F.lit(True))
-        return F.when(hit, sym).otherwise(c)
+def _written(flat: Column, cells: Column) -> Column:
+    """The text after all of ``cells`` were written, in order; places outside it and null ones are left out."""
+    def write(text, c):
+        return F.when((c["p"] >= 0) & (c["p"] < F.length(text)), F.concat(
+            F.substring(text, F.lit(1), c["p"]), c["s"], F.substring(text, c["p"] + 2, F.length(text)))).otherwise(text)
 
-    return F.transform(cells, touch)
+    return F.aggregate(cells, flat, write)
 
 
 def vary(tiles: DataFrame, n: int, seed: int, palette: DataFrame, kinds: tuple[str, ...] = MUTATIONS,
@@ -101,8 +105,7 @@ def vary(tiles: DataFrame, n: int, seed: int, palette: DataFrame, kinds: tuple[s
         kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), ((i - 1) % len(kinds) + 1).cast("int"))
         noise = kind == "noise"
         count = F.when(noise, F.floor(w * h / 12) + 1).when(kind == "erode", 3).otherwise(0).cast("int")
-        # Newest draw first, so the first position found is the last one drawn.
-        order = F.filter(F.sequence(count, F.lit(0), F.lit(-1)), lambda j: j < count)
+        order = F.filter(F.sequence(F.lit(0), count), lambda j: j < count)  # oldest draw first: the last one of a cell wins
         draw = lambda what, j: draw_int(seed, *key, F.lit(what), j)
 
         def spot(j):
@@ -112,15 +115,15 @@ def vary(tiles: DataFrame, n: int, seed: int, palette: DataFrame, kinds: tuple[s
 
         symbol = lambda j: F.when(noise, F.get("_used", (draw("s", j) % F.size("_used")).cast("int"))).otherwise(F.col("_common"))
         coins = F.when(kind == "crack", F.transform(F.sequence(F.lit(0), (2 * F.greatest(w, h)).cast("int")), lambda j: draw("c", j) % 10))
-        return F.struct(i.alias("i"), kind.alias("mutation"), *[draw_int(seed, *key, F.lit(k)).alias(f"_d{k}") for k in range(4)],
-                        F.transform(order, spot).alias("_pos"), F.transform(order, symbol).alias("_sym"), coins.alias("_coin"))
+        return F.struct(i.alias("i"), kind.alias("mutation"), *[draw_int(seed, *key, F.lit(k)).alias(f"_d{k}") for k in range(2)],
+                        F.transform(order, lambda j: F.struct(spot(j).alias("p"), symbol(j).alias("s"))).alias("_spots"), coins.alias("_coin"))
 
     t = t.withColumn("_plan", F.explode(F.transform(F.sequence(F.lit(1), F.lit(n)), plan)))
-    t = t.select(id_col, *(["name"] if "name" in tiles.columns else []), "w", "h", "_cells", "_used", "_dark", "_plan.*")
-    out = None
+    t = t.select(id_col, *(["name"] if "name" in tiles.columns else []), "w", "h", "_flat", "_used", "_dark", "_plan.*")
+    flat = None
     for k in kinds:
-        out = F.when(F.col("mutation") == k, _mutate(k)) if out is None else out.when(F.col("mutation") == k, _mutate(k))
-    flat = F.array_join(out, "")
+        one = _swapped() if k == "swap" else _written(F.col("_flat"), _touched(k))
+        flat = F.when(F.col("mutation") == k, one) if flat is None else flat.when(F.col("mutation") == k, one)
     grid = F.regexp_replace(flat, F.concat(F.lit("(.{"), w.cast("string"), F.lit("})(?!$)")), F.lit("$1\n"))
     base = F.col("name") if "name" in tiles.columns else F.concat(F.lit("t"), F.col(id_col).cast("string"))
     return t.select(id_col, F.concat(base, F.lit("_"), F.col("i").cast("string")).alias("name"), "i", "mutation", grid.alias("grid"))

@@ -472,3 +472,17 @@ def test_cells_and_pixels_stay_where_they_are(spark):
     assert sorted((r.sym, r.r, r.a) for r in shown.collect()) == [("#", 1, 255), (".", 9, 0), ("x", 255, 255)]
     for df in (got, shown):
         assert "hashpartitioning" not in df._jdf.queryExecution().toString()
+
+
+def test_variants_write_only_the_cells_they_change(spark):
+    """A mutation walked all cells of a tile: its plan now writes a list of cells into the text, also on small and ragged-sized grids."""
+    pal = spark.createDataFrame([("#", 1, 1, 1), ("g", 9, 9, 9)], "sym string, r int, g int, b int")
+    t = spark.createDataFrame([(1, "\n".join("#g+=#g+=" for _ in range(6))), (2, "#g\ng#"), (3, "#"), (4, "é+é\n+é+\né+é")], "tile_id bigint, grid string")
+    v = variants.vary(t, 6, 1, pal)
+    assert "transform(_cells" not in v._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["tile_id"], r["mutation"]): r["grid"] for r in v.collect()}
+    assert len(got) == 24 and all(len(x) == len(dict(t.collect())[k]) for (k, _), x in got.items())
+    assert all(set(got[4, m]) <= set("é+\n") for m in variants.MUTATIONS)
+    swap = got[1, "swap"].split("\n")
+    assert swap[0] == swap[5] == "#g+=#g+=" and swap[1] != "#g+=#g+=" and all(r[0] == "#" and r[7] == "=" for r in swap)
+    assert got[3, "row"] == got[3, "col"] == got[3, "crack"] == got[3, "swap"] == "#"
