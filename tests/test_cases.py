@@ -486,3 +486,14 @@ def test_variants_write_only_the_cells_they_change(spark):
     swap = got[1, "swap"].split("\n")
     assert swap[0] == swap[5] == "#g+=#g+=" and swap[1] != "#g+=#g+=" and all(r[0] == "#" and r[7] == "=" for r in swap)
     assert got[3, "row"] == got[3, "col"] == got[3, "crack"] == got[3, "swap"] == "#"
+
+
+def test_style_scores_walk_the_cells_once(spark):
+    """Scores exploded and counted all cells twice, for the tiles and for their tilesets; runs went cell by cell."""
+    from gridweave.functions.grids import run_count
+    from gridweave.plans import corpus
+
+    plan = corpus.scored(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan  # the sums were written
+    rows = spark.createDataFrame([(1, ["aab", "b..", "é🙂🙂"]), (2, ["a"]), (3, []), (4, ["  x\r"])], "i int, rows array<string>")
+    assert dict(rows.select("i", run_count(F.col("rows"))).collect()) == {1: 6, 2: 1, 3: 0, 4: 3}
