@@ -497,3 +497,18 @@ def test_style_scores_walk_the_cells_once(spark):
     assert "posexplode" not in plan  # the sums were written
     rows = spark.createDataFrame([(1, ["aab", "b..", "é🙂🙂"]), (2, ["a"]), (3, []), (4, ["  x\r"])], "i int, rows array<string>")
     assert dict(rows.select("i", run_count(F.col("rows"))).collect()) == {1: 6, 2: 1, 3: 0, 4: 3}
+
+
+def test_plain_tokens_are_decoded_without_patterns(spark):
+    """Every token went through up to nine searches of a pattern; the tokens of all forms decode as before."""
+    toks = ["3a", "a", "0a", "12", "3:", ":", "::", "3::", "3:ab", ":ab", "ab", "2é", "1🙂", "2:🙂x", "x2", "007b", "99999999999a", "2:a\u2028", "2:\u2028a", "2\u2028", "2:1", "1:a:b"]
+    t = spark.createDataFrame([(i, k) for i, k in enumerate(toks)], "tile_id bigint, rle string")
+    got: dict = {}
+    for r in g.rle_decode(t).orderBy("tile_id", "y", "x").collect():
+        got.setdefault(toks[r["tile_id"]], []).append(r["sym"])
+    want = {"3a": ["a"] * 3, "a": ["a"], "3:": [":"] * 3, ":": [":"], "3::": [":"] * 3, "3:ab": ["ab"] * 3, "2é": ["é"] * 2, "1🙂": ["🙂"], "2:🙂x": ["🙂x"] * 2,
+            "007b": ["b"] * 7, "2:a\u2028": ["a"] * 2, "2\u2028": ["\u2028"] * 2, "2:1": ["1"] * 2, "1:a:b": ["a:b"]}
+    assert got == want
+    # A token without a line separator reaches no pattern: it ends before the branch that holds them.
+    plan = g.rle_decode(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.find("0123456789") < plan.find("regexp_extract(")
