@@ -85,3 +85,40 @@ def test_boosted_scores_round_halves_up(spark):
     con = spark.createDataFrame([("moat", 1, "t"), ("moat", 2, "t")], "concept string, doc_id long, title string")
     got = {(r.query_id, r.doc_id): round(r.score * 1e6) for r in rt.kb_boost(q, scores, rel, con).collect()}
     assert got == {(i, d): (100 * b * (d == 1) + 45 * b + 50) // 100 for i, b in enumerate(best) for d in (1, 2)}
+
+
+def test_pixels_travel_as_pieces_of_lines(spark):
+    """Every pixel was shuffled, twice and more; now pieces are, once.  Results are those of sorted cells, whatever their order."""
+    import random
+    from itertools import groupby
+
+    from gridweave.operators import grid as g
+
+    rng = random.Random(4)
+    some = ["a", "a", "a", "#", "é", "𝄞", "ab", "", None, "\n", "1"]
+    rows = [(t or None, y, x - 2, rng.choice(some[:rng.choice([2, 5, 11])])) for t in range(12) for y in range(3) for x in range(rng.randrange(1, 20)) if rng.random() < 0.95]
+    twice = [(1, 0, 4, "z"), (1, 0, 4, "b")]
+    grids, coded = {}, {}
+    for t, mine in groupby(sorted(rows, key=lambda r: (r[0] or 0, *r[1:3])), lambda r: r[0]):
+        lines = [[r[3] for r in line] for _, line in groupby(mine, lambda r: r[1])]
+        grids[t] = "\n".join("".join(s or "" for s in line) for line in lines)
+        text = []
+        for line in lines:
+            runs = []
+            for s in line:
+                if runs and s is not None and runs[-1][0] == s:
+                    runs[-1][1] += 1
+                else:
+                    runs.append([s, 1])
+            text.append(" ".join(s if len(s) == 1 and n == 1 else f"{n}{s}" if len(s) == 1 else f"{n}:{s}" for s, n in runs if s is not None))
+        coded[t] = "\n".join(text)
+    px = spark.createDataFrame(rows, "tile_id long, y int, x int, sym string")
+    for p in (px.coalesce(1), px.repartition(3, "x")):
+        assert {r.tile_id: r.grid for r in g.to_grid(p).collect()} == grids
+        assert {r.tile_id: r.rle for r in g.pixels_to_rle(p).collect()} == coded
+    over = spark.createDataFrame([(1, 0, x, "a") for x in range(6)] + twice, "tile_id long, y int, x int, sym string")
+    assert g.to_grid(over).first().grid == "aaaaabza"
+    t = spark.createDataFrame([(i, "\n".join(["aab" * 6] * 9)) for i in range(40)], "tile_id long, grid string")
+    for out in (g.to_grid(g.to_pixels(t)), g.pixels_to_rle(g.to_pixels(t))):
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert g._lines(g.to_pixels(t), ("tile_id",)).selectExpr("sum(size(_s)) AS n").first().n == 40 * 9
