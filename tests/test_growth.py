@@ -122,3 +122,16 @@ def test_pixels_travel_as_pieces_of_lines(spark):
     for out in (g.to_grid(g.to_pixels(t)), g.pixels_to_rle(g.to_pixels(t))):
         assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert g._lines(g.to_pixels(t), ("tile_id",)).selectExpr("sum(size(_s)) AS n").first().n == 40 * 9
+
+
+def test_order_digest_gathers_packed_pieces(spark, monkeypatch):
+    """A split's rows and sort keys met in one task; packed pieces do now, and the digest is that of the sorted texts."""
+    import hashlib
+
+    monkeypatch.setattr(files, "PIECE_ROWS", 7)
+    rows = [("ab"[i % 2], f"{i * 7919 % 1000:04d}é") for i in range(400)] + [("a", None), ("b", ""), ("none", None)]
+    df = spark.createDataFrame(rows, "split string, value string").repartition(5).orderBy("split", "value")
+    got = {r.split: (r.n, r.order_digest) for r in files.order_digest(df, ["split"], "value").collect()}
+    text = lambda k: ",".join(sorted(v for s, v in rows if s == k and v is not None))
+    assert got == {k: (sum(s == k for s, _ in rows), hashlib.md5(text(k).encode()).hexdigest()) for k in "ab"} | {"none": (1, None)}
+    assert "collect_list" not in registry.QUERIES["merge_splits"](spark, SF)._jdf.queryExecution().executedPlan().toString()
