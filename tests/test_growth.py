@@ -135,3 +135,17 @@ def test_order_digest_gathers_packed_pieces(spark, monkeypatch):
     text = lambda k: ",".join(sorted(v for s, v in rows if s == k and v is not None))
     assert got == {k: (sum(s == k for s, _ in rows), hashlib.md5(text(k).encode()).hexdigest()) for k in "ab"} | {"none": (1, None)}
     assert "collect_list" not in registry.QUERIES["merge_splits"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_themes_are_dealt_by_rows(spark, monkeypatch):
+    """A table of themes is one small file, and one task sorted all its chains; a task has a bounded number now."""
+    from gridweave.operators import definitions as df_
+
+    monkeypatch.setattr(df_, "THEME_ROWS", 10)
+    rows = [(f"set{i // 4}", f"th{i % 4}", "base", f"th{i % 4 - 1}" if i % 4 else None, i if i % 4 == 1 else None, {"bg": str(i % 10)}) for i in range(300)]
+    themes = spark.createDataFrame(rows, "tileset_id string, name string, palette string, extends string, scale int, roles map<string,string>").selectExpr(
+        "*", "null AS canvas", "null AS max_palette_size", "null AS light_source").coalesce(1)
+    got = df_.resolve_themes(themes)
+    assert got.rdd.getNumPartitions() >= 300 // 10
+    want = {(f"set{i // 4}", f"th{i % 4}"): (i - i % 4 + 1 if i % 4 else 1, str(i % 10), "ok") for i in range(300)}
+    assert {(r.tileset_id, r.name): (r.scale, r.roles["bg"], r.status) for r in got.collect()} == want
