@@ -185,6 +185,8 @@ def resample(px: DataFrame, by: list[str], w: Column, h: Column, kernel: str = "
     """Separable resize to ``w x h`` (expressions over ``src_w, src_h``).
 
     Two weight joins and two sums: the first runs along x, the second along y.
+    The weights are one small table per distinct size pair, so pixels stay with
+    their image and are not dealt by the few values of size and place.
     """
     dims = px.groupBy(*by).agg((F.max("x") + 1).cast("int").alias("src_w"), (F.max("y") + 1).cast("int").alias("src_h"))
     dims = dims.withColumns({"dst_w": w.cast("int"), "dst_h": h.cast("int")})
@@ -193,9 +195,9 @@ def resample(px: DataFrame, by: list[str], w: Column, h: Column, kernel: str = "
         F.col("src_n").alias("src_w"), F.col("dst_n").alias("dst_w"), F.col("src").alias("x"), F.col("dst").alias("dx"), F.col("weight").alias("wx"))
     ky = kernel_table(dims.select(F.col("src_h").alias("src_n"), F.col("dst_h").alias("dst_n")), kernel).select(
         F.col("src_n").alias("src_h"), F.col("dst_n").alias("dst_h"), F.col("src").alias("y"), F.col("dst").alias("dy"), F.col("weight").alias("wy"))
-    across = p.join(kx, ["src_w", "dst_w", "x"]).groupBy(*by, "src_h", "dst_h", "y", "dx").agg(
+    across = lookup(p, cut(kx), ["src_w", "dst_w", "x"], "inner").groupBy(*by, "src_h", "dst_h", "y", "dx").agg(
         *[F.sum(F.col(c) * F.col("wx")).alias(c) for c in "rgba"])
-    down = across.join(ky, ["src_h", "dst_h", "y"]).groupBy(*by, F.col("dx").alias("x"), F.col("dy").alias("y")).agg(
+    down = lookup(across, cut(ky), ["src_h", "dst_h", "y"], "inner").groupBy(*by, F.col("dx").alias("x"), F.col("dy").alias("y")).agg(
         *[F.sum(F.col(c) * F.col("wy")).alias(c) for c in "rgba"])
     # Rounding to nine places first keeps exact halves stable under summation order.
     byte = lambda c: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.round(F.col(c), 9))) + 0.5).cast("int")
@@ -211,11 +213,12 @@ def _cut(colors: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
         c, k = box
         return 0 if k.sum() <= 1 else int((c.max(0) - c.min(0)).max()) * int(k.sum())
 
+    scores = [score(boxes[0])]
     while len(boxes) < n:
-        scores = [score(b) for b in boxes]
         top = max(scores)
         pick = len(scores) - 1 - scores[::-1].index(top)  # the last maximum
         c, k = boxes.pop(pick)
+        scores.pop(pick)
         if k.sum() <= 1:
             boxes.append((c, k))
             break
@@ -226,6 +229,7 @@ def _cut(colors: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
         left = np.clip(mid - (np.cumsum(k) - k), 0, k)
         for part in (left, k - left):
             boxes.append((c[part > 0], part[part > 0]))
+            scores.append(score(boxes[-1]))
     return np.array([(c * k[:, None]).sum(0) // k.sum() for c, k in boxes], dtype=np.int64)
 
 
@@ -233,18 +237,32 @@ def median_cut(px: DataFrame, by: str, n: int | Column) -> DataFrame:
     """Palette per image.
 
     Spark first reduces pixels to a colour histogram; one image's histogram
-    (never larger than the image, which was decoded as one row) is cut per group.
+    (never larger than the image, which was decoded as one row) is one row, and
+    a batch of such rows is cut in one call.
     """
     budget = n if isinstance(n, Column) else F.lit(n)
     hist = px.where(F.col("a") > 0).groupBy(by, "r", "g", "b").agg(
         F.count("*").alias("n"), F.max(budget).alias("max_colors"))
+    whole = hist.groupBy(by).agg(F.max("max_colors").cast("int").alias("_most"), F.collect_list(F.struct("r", "g", "b", "n")).alias("_h"))
+    kind = dict(px.dtypes)[by]
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _cut(pdf[["r", "g", "b"]].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), int(pdf["max_colors"].iloc[0]))
-        return pd.DataFrame({by: pdf[by].iloc[0], "pos": np.arange(len(out)), "r": out[:, 0], "g": out[:, 1], "b": out[:, 2]})
+    def boxes(parts):
+        import pyarrow as pa
 
-    kind = dict(px.dtypes)[by]
-    return hist.groupBy(by).applyInPandas(cut, f"{by} {kind}, pos int, r int, g int, b int")
+        for batch in parts:
+            rows, ends = batch.column(2).flatten(), batch.column(2).offsets.to_numpy()
+            ends = ends - ends[0]
+            channels = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in rows.flatten()]
+            colors, counts = np.stack(channels[:3], 1), channels[3]
+            got = [_cut(colors[a:b], counts[a:b], m) for a, b, m in zip(ends[:-1], ends[1:], batch.column(1).to_pylist(), strict=True)]
+            size = np.array([len(c) for c in got], np.int64)
+            flat = np.concatenate(got) if got else np.zeros((0, 3), np.int64)
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(np.repeat(np.arange(len(size)), size))), *[pa.array(v.astype(np.int32)) for v in (pos, *flat.T)]],
+                names=[by, "pos", "r", "g", "b"])
+
+    return whole.mapInArrow(boxes, f"{by} {kind}, pos int, r int, g int, b int")
 
 
 def convert(px: DataFrame, presets: list[tuple[str, int, int]] = PRESETS, kernel: str = "lanczos3") -> DataFrame:
@@ -254,8 +272,9 @@ def convert(px: DataFrame, presets: list[tuple[str, int, int]] = PRESETS, kernel
         F.concat_ws("|", F.col("image_id").cast("string"), "_p.preset").alias("out_id"), "image_id", "_p.*", "x", "y", *"rgba")
     tw = F.least(F.col("max_w"), F.col("src_w"))
     th = F.greatest(F.lit(1), F.round(tw * F.col("src_h") / F.col("src_w")))
-    small = resample(p, ["out_id", "image_id", "preset", "max_w", "colors"], tw, th, kernel)
-    pal = median_cut(small, "out_id", F.col("colors")).withColumn("sym", F.col("pos").cast("string"))
+    # Pixels and palettes have several readers below, so each is computed once.
+    small = cut(resample(p, ["out_id", "image_id", "preset", "max_w", "colors"], tw, th, kernel))
+    pal = cut(median_cut(small, "out_id", F.col("colors")).withColumn("sym", F.col("pos").cast("string")))
     q = quantize(small.withColumn("a", F.when(F.col("a") > 0, 255).otherwise(0)), pal, ["out_id"], "i243", cube=False)
     snapped = q.join(pal.select("out_id", "sym", F.col("r").alias("qr"), F.col("g").alias("qg"), F.col("b").alias("qb")), ["out_id", "sym"], "left")
     return snapped.select("image_id", "preset", "x", "y", F.coalesce("qr", F.lit(0)).alias("r"),

@@ -149,3 +149,21 @@ def test_themes_are_dealt_by_rows(spark, monkeypatch):
     assert got.rdd.getNumPartitions() >= 300 // 10
     want = {(f"set{i // 4}", f"th{i % 4}"): (i - i % 4 + 1 if i % 4 else 1, str(i % 10), "ok") for i in range(300)}
     assert {(r.tileset_id, r.name): (r.scale, r.roles["bg"], r.status) for r in got.collect()} == want
+
+
+def test_conversion_computes_pixels_once(spark):
+    """The resampled pixels were computed for each of three readers, and every image's colours were cut in a call of its own."""
+    from gridweave import fixtures as fx
+    from gridweave.operators import image as im
+
+    px = fx.images(spark, SF).where("image_id < 6")
+    plan = im.convert(px, [("tiny", 4, 4), ("full", 8, 8)])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "InPandas" not in plan
+    plan = im.median_cut(px, "image_id", 4)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "InPandas" not in plan
+    got = {}
+    for r in im.median_cut(px, "image_id", 4).collect():
+        got.setdefault(r.image_id, {})[r.pos] = (r.r, r.g, r.b)
+    for i, mine in px.where("a > 0").groupBy("image_id", "r", "g", "b").count().toPandas().groupby("image_id"):
+        want = im._cut(mine[["r", "g", "b"]].to_numpy("int64"), mine["count"].to_numpy("int64"), 4)
+        assert [got[i][k] for k in sorted(got[i])] == [tuple(c) for c in want.tolist()]
