@@ -167,3 +167,28 @@ def test_conversion_computes_pixels_once(spark):
     for i, mine in px.where("a > 0").groupBy("image_id", "r", "g", "b").count().toPandas().groupby("image_id"):
         want = im._cut(mine[["r", "g", "b"]].to_numpy("int64"), mine["count"].to_numpy("int64"), 4)
         assert [got[i][k] for k in sorted(got[i])] == [tuple(c) for c in want.tolist()]
+
+
+def test_rules_read_each_grid_once(spark):
+    """Every rule folded and cut all texts again, for sizes too; one pass outlines the grids, and the outline is that of their cells."""
+    from pyspark.sql import functions as F
+
+    from gridweave.functions.grids import cells_of
+    from gridweave.operators import audit
+    from gridweave.plans import audits
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    ts = audits.tables(spark, SF)
+    assert "translate" not in plan(audit.validate(ts))
+    for rule in (audit.v_size, audit.v_rotate_square, audit.v_rle):
+        assert "translate" not in plan(rule(ts))
+    grids = ["##\n##", "#. \n+", "", "\n\n", "  ", "é𝄞\n𝄞𝄞é", "a\tb\n\t", " #\n#  \n\n.", None]
+    t = spark.createDataFrame([(i, g, None, None) for i, g in enumerate(grids)], "name int, grid string, rle string, layout string")
+    rows = F.filter(F.transform(F.split("grid", "\n"), lambda r: F.rtrim(r)), lambda r: r != "")
+    want = t.select("name", F.size(rows).alias("rows"), F.array_sort(F.array_distinct(F.transform(rows, F.length))).alias("widths"),
+                    F.array_sort(F.array_distinct(cells_of(F.array_join(rows, "")))).alias("syms"))
+    got = {r.name: r for r in audit.outlined(t).collect()}
+    for r in want.collect():
+        mine = got[r.name]
+        assert (mine.rows, mine.widths, mine.syms and set(mine.syms)) == ((r.rows, r.widths, set(r.syms)) if grids[r.name] is not None else (None, None, None))
+    assert [r.name for r in audit.outlined(t).where(~audit.has_pixels(audit.outlined(t))).collect()] == [len(grids) - 1]
