@@ -192,3 +192,76 @@ def test_rules_read_each_grid_once(spark):
         mine = got[r.name]
         assert (mine.rows, mine.widths, mine.syms and set(mine.syms)) == ((r.rows, r.widths, set(r.syms)) if grids[r.name] is not None else (None, None, None))
     assert [r.name for r in audit.outlined(t).where(~audit.has_pixels(audit.outlined(t))).collect()] == [len(grids) - 1]
+
+
+def test_few_queries_scan_the_terms(spark, monkeypatch):
+    """Some dozen queries wrote a whole index; the scan finds what the index finds, whatever its limits."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from gridweave.operators import postings, retrieval as rt, scan
+
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(300)] + ["é𝄞", "ß"]
+    words = lambda n: [vocab[min(int(rng.paretovariate(0.6)) - 1, len(vocab) - 1)] for _ in range(n)]
+    docs = spark.createDataFrame([(i, words(rng.randrange(0, 60))) for i in range(400)] + [(1000, []), (1001, None)], "doc_id long, terms array<string>")
+    queries = spark.createDataFrame([(i, words(1 + i % 9) + ["absent"]) for i in range(2 * scan.BITS + 5)], "query_id long, terms array<string>")
+    rows = lambda r: {(x.query_id, x.doc_id): (round(x.score, 4), x["rank"]) for x in r.collect()}
+    q = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    index = postings.write(docs, F.col("terms"))
+    want = rows(postings.search(q, index, 4, ["query_id"]))
+    found = scan.texts(docs)
+    # The number of passages counts those without terms, as in the index.
+    assert found.n_docs == index.n_docs and len(want) > 400
+    assert rows(rt.bm25(queries, found, 4)) == want
+    for name in ("HOT", "FEW", "PATTERNS"):
+        monkeypatch.setattr(scan, name, 0)
+    assert rows(rt.bm25(queries, found, 4)) == want
+    monkeypatch.setattr(scan, "MOST_BITS", scan.ROW_BITS)
+    monkeypatch.setattr(scan, "HOT", 20)
+    assert rows(rt.bm25(queries, found, 4)) == want
+    assert scan.texts(docs.unionByName(docs)) is None
+
+
+def test_transition_context_writes_no_index(spark, con, monkeypatch):
+    """An index of all terms was written for twenty queries, and passages were digested for every tile."""
+    from gridweave.operators import postings, prompts
+
+    def never(*_):
+        raise AssertionError("an index is written or whole prompts are made")
+
+    monkeypatch.setattr(postings, "write", never)
+    monkeypatch.setattr(prompts, "transition_context", never)
+    ok, msg = check.compare(spark, con, SF, "transition_context", registry.QUERIES["transition_context"], registry.ORACLES["transition_context"])
+    assert ok, msg
+
+
+def test_prompts_are_digested_from_their_passages_on(spark, monkeypatch):
+    """The digests are those of the whole prompts, with passages, without and with blank ones."""
+    import hashlib
+
+    from gridweave.operators import prompts as pr
+
+    sets = {"A": "[t] é𝄞 notes", "B": None, "C": ""}
+    grid = "\n".join("#+.g" * 4 for _ in range(16))
+    tiles = spark.createDataFrame([(s, f"t{i}", None if i == 1 else f"n{i}", "e", "s", "w", "16x16", grid.replace("+", str(i))) for s in "ABCD" for i in range(3)],
+                                  "tileset_id string, name string, n string, e string, s string, w string, size string, grid string")
+    pairs = spark.createDataFrame([(i, s, f"t{i}", f"t{i + 1}") for s in "ABCD" for i in range(2)], "pair_id long, tileset_id string, a string, b string")
+    notes = spark.createDataFrame([*sets.items()], "tileset_id string, knowledge_text string")
+    whole = pr.transition_context(pairs, tiles, notes).collect()
+    want = {(r.tileset_id, r.pair_id, r.a, r.b, r.n, r.e, r.s, r.w, hashlib.md5(r.user_prompt.encode()).hexdigest()) for r in whole}
+    got = pr.transition_digests(pairs, tiles, notes)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString() and len(want) == 8
+    assert {(r.tileset_id, r.pair_id, r.a, r.b, r.n, r.e, r.s, r.w, r.user_digest) for r in got.collect()} == want
+    monkeypatch.setattr(pr, "HELD", 0)
+    assert {(r.tileset_id, r.pair_id, r.a, r.b, r.n, r.e, r.s, r.w, r.user_digest) for r in pr.transition_digests(pairs, tiles, notes).collect()} == want
+
+
+def test_first_rows_of_tiles(spark):
+    """Only the rows asked for are folded; they are those of the whole tiles."""
+    from gridweave import fixtures as fx
+    from gridweave.operators import prompts as pr
+
+    some = fx.tiles(spark, SF, 4).select("tile_id", "tileset_id", "theme", "doc_id", "grid").collect()
+    assert sorted(some) == sorted(fx.tiles(spark, SF).select("tile_id", "tileset_id", "theme", "doc_id", pr.preview().alias("grid")).collect())
