@@ -265,3 +265,24 @@ def test_first_rows_of_tiles(spark):
 
     some = fx.tiles(spark, SF, 4).select("tile_id", "tileset_id", "theme", "doc_id", "grid").collect()
     assert sorted(some) == sorted(fx.tiles(spark, SF).select("tile_id", "tileset_id", "theme", "doc_id", pr.preview().alias("grid")).collect())
+
+
+def _with(tmp_path, con, name, sql):
+    """The small tables with one of them replaced, and a connection to them."""
+    d = tmp_path / "tables"
+    d.mkdir()
+    for f in os.listdir(SF):
+        if f != f"{name}.parquet":
+            os.symlink(f"{SF}/{f}", d / f)
+    con.execute(f"COPY ({sql}) TO '{d}/{name}.parquet' (FORMAT parquet)")
+    return str(d), check.connect(str(d))
+
+
+@pytest.mark.parametrize("docs", [
+    "SELECT * REPLACE (doc_id + doc_id // 50 AS doc_id) FROM documents", "SELECT * REPLACE (doc_id // 2 AS doc_id) FROM documents",
+    "SELECT * REPLACE (n_chars + 4000 AS n_chars) FROM documents"], ids=["gaps", "repeated ids", "shorter texts"])
+def test_training_stats_count_events_of_missing_and_repeated_tiles(spark, con, tmp_path, docs):
+    """Events were joined with the tiles: one without a tile was no pair, one of a repeated tile counted again."""
+    d, own = _with(tmp_path, con, "documents", docs)
+    ok, msg = check.compare(spark, own, d, "fb_training_stats", registry.QUERIES["fb_training_stats"], registry.ORACLES["fb_training_stats"])
+    assert ok, msg
