@@ -286,3 +286,29 @@ def test_training_stats_count_events_of_missing_and_repeated_tiles(spark, con, t
     d, own = _with(tmp_path, con, "documents", docs)
     ok, msg = check.compare(spark, own, d, "fb_training_stats", registry.QUERIES["fb_training_stats"], registry.ORACLES["fb_training_stats"])
     assert ok, msg
+
+
+@pytest.mark.parametrize("name", ["kb_fuse"])
+def test_expanded_searches_write_no_index(spark, con, monkeypatch, name):
+    """Two hundred queries that grow to most of the vocabulary were looked up in an index written for them."""
+    from gridweave.operators import postings
+
+    def none(*_):
+        raise AssertionError("an index was written")
+
+    monkeypatch.setattr(postings, "write", none)
+    ok, msg = check.compare(spark, con, SF, name, registry.QUERIES[name], registry.ORACLES[name])
+    assert ok, msg
+
+
+def test_first_rows_of_a_group_are_limited_before_they_move(spark):
+    """Salted groups kept up to ``k`` rows of each salt and task; without salts a task sends ``k`` of each group."""
+    from gridweave.operators.ranking import top_k
+    from pyspark.sql import functions as F
+
+    df = spark.range(8000, numPartitions=4).select((F.col("id") % 3).alias("q"), F.pmod(F.hash("id"), F.lit(500)).alias("s"), "id")
+    order = [F.desc("s"), F.col("id")]
+    one, salted = top_k(df, ["q"], order, 5, salts=1), top_k(df, ["q"], order, 5)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, salted.collect()))
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 1 and "xxhash64" not in plan
