@@ -288,7 +288,7 @@ def test_training_stats_count_events_of_missing_and_repeated_tiles(spark, con, t
     assert ok, msg
 
 
-@pytest.mark.parametrize("name", ["kb_fuse", "kb_boost", "kb_search"])
+@pytest.mark.parametrize("name", ["kb_fuse", "kb_boost", "kb_search", "prompt_context"])
 def test_expanded_searches_write_no_index(spark, con, monkeypatch, name):
     """Two hundred queries that grow to most of the vocabulary were looked up in an index written for them."""
     from gridweave.operators import postings
