@@ -83,11 +83,12 @@ def _written(flat: Column, cells: Column) -> Column:
 
 
 def vary(tiles: DataFrame, n: int, seed: int, palette: DataFrame, kinds: tuple[str, ...] = MUTATIONS,
-         id_col: str = "tile_id") -> DataFrame:
-    """``n`` variants per tile, mutation ``i mod 6``; a void-only tile yields none.
+         id_col: str = "tile_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``n`` variants per tile, mutation ``i mod 6``, with the tile's columns ``keep``; a void-only tile yields none.
 
     Row-local after one broadcast of the palette's brightness map (a palette
-    is bounded by its symbols); nothing shuffles.
+    is bounded by its symbols); nothing shuffles.  What a variant draws are
+    columns of its own, so a caller that doesn't read the grids draws nothing.
     """
     bright = palette.agg(F.map_from_entries(F.collect_list(F.struct("sym", F.expr("r + g + b").alias("v")))).alias("_bright"))
     t = tiles.withColumn("_flat", F.array_join(rows_of(F.col("grid")), ""))
@@ -99,31 +100,30 @@ def vary(tiles: DataFrame, n: int, seed: int, palette: DataFrame, kinds: tuple[s
         "_common": F.array_max(F.transform("_used", lambda s: F.struct(count_symbol(F.col("_flat"), s).alias("v"), s.alias("s"))))["s"]})
     w, h = F.col("w"), F.col("h")
 
-    def plan(i: Column) -> Column:
-        """Everything one variant draws, computed once per variant before the cells are walked."""
-        key = (F.col(id_col), i)
-        kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), ((i - 1) % len(kinds) + 1).cast("int"))
-        noise = kind == "noise"
-        count = F.when(noise, F.floor(w * h / 12) + 1).when(kind == "erode", 3).otherwise(0).cast("int")
-        order = F.filter(F.sequence(F.lit(0), count), lambda j: j < count)  # oldest draw first: the last one of a cell wins
-        draw = lambda what, j: draw_int(seed, *key, F.lit(what), j)
-
-        def spot(j):
-            x, y, side = _inside(draw("x", j), w), _inside(draw("y", j), h), draw("s", j) % 4
-            return F.when(noise, y * w + x).when(side == 0, w + x).when(side == 1, (h - 2) * w + x).when(
-                side == 2, y * w + 1).otherwise(y * w + w - 2)
-
-        symbol = lambda j: F.when(noise, F.get("_used", (draw("s", j) % F.size("_used")).cast("int"))).otherwise(F.col("_common"))
-        coins = F.when(kind == "crack", F.transform(F.sequence(F.lit(0), (2 * F.greatest(w, h)).cast("int")), lambda j: draw("c", j) % 10))
-        return F.struct(i.alias("i"), kind.alias("mutation"), *[draw_int(seed, *key, F.lit(k)).alias(f"_d{k}") for k in range(2)],
-                        F.transform(order, lambda j: F.struct(spot(j).alias("p"), symbol(j).alias("s"))).alias("_spots"), coins.alias("_coin"))
-
-    t = t.withColumn("_plan", F.explode(F.transform(F.sequence(F.lit(1), F.lit(n)), plan)))
-    t = t.select(id_col, *(["name"] if "name" in tiles.columns else []), "w", "h", "_flat", "_used", "_dark", "_plan.*")
+    t = t.select(id_col, *keep, *(["name"] if "name" in tiles.columns else []), "w", "h", "_flat", "_used", "_dark", "_common",
+                 F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
+    i = F.col("i")
+    t = t.withColumn("mutation", F.element_at(F.array(*[F.lit(k) for k in kinds]), ((i - 1) % len(kinds) + 1).cast("int")))
+    # Everything a variant draws, computed once per variant before the cells are walked.
+    noise = F.col("mutation") == "noise"
+    count = F.when(noise, F.floor(w * h / 12) + 1).when(F.col("mutation") == "erode", 3).otherwise(0).cast("int")
+    order = F.filter(F.sequence(F.lit(0), count), lambda j: j < count)  # oldest draw first: the last one of a cell wins
+    draw = lambda what, j: draw_int(seed, F.col(id_col), i, F.lit(what), j)
+
+    def spot(j):
+        x, y, side = _inside(draw("x", j), w), _inside(draw("y", j), h), draw("s", j) % 4
+        return F.when(noise, y * w + x).when(side == 0, w + x).when(side == 1, (h - 2) * w + x).when(
+            side == 2, y * w + 1).otherwise(y * w + w - 2)
+
+    symbol = lambda j: F.when(noise, F.get("_used", (draw("s", j) % F.size("_used")).cast("int"))).otherwise(F.col("_common"))
+    t = t.withColumns({
+        **{f"_d{k}": draw_int(seed, F.col(id_col), i, F.lit(k)) for k in range(2)},
+        "_spots": F.transform(order, lambda j: F.struct(spot(j).alias("p"), symbol(j).alias("s"))),
+        "_coin": F.when(F.col("mutation") == "crack", F.transform(F.sequence(F.lit(0), (2 * F.greatest(w, h)).cast("int")), lambda j: draw("c", j) % 10))})
     flat = None
     for k in kinds:
         one = _swapped() if k == "swap" else _written(F.col("_flat"), _touched(k))
         flat = F.when(F.col("mutation") == k, one) if flat is None else flat.when(F.col("mutation") == k, one)
     grid = F.regexp_replace(flat, F.concat(F.lit("(.{"), w.cast("string"), F.lit("})(?!$)")), F.lit("$1\n"))
     base = F.col("name") if "name" in tiles.columns else F.concat(F.lit("t"), F.col(id_col).cast("string"))
-    return t.select(id_col, F.concat(base, F.lit("_"), F.col("i").cast("string")).alias("name"), "i", "mutation", grid.alias("grid"))
+    return t.select(id_col, *keep, F.concat(base, F.lit("_"), F.col("i").cast("string")).alias("name"), "i", "mutation", grid.alias("grid"))

@@ -51,6 +51,5 @@ for _k, _n in (("noise", "variants_noise"), ("crack", "variants_crack"), ("row",
 
 @query("variants", f"WITH {fx.TILE_SQL}, u AS (SELECT DISTINCT tile_id, tileset_id FROM px WHERE sym <> '.') SELECT tileset_id, ['noise', 'crack', 'row', 'col', 'swap', 'erode'][i % 6 + 1] AS mutation, count(*) AS n, count(DISTINCT 't' || tile_id || '_' || (i + 1)) AS names FROM u, range(0, 8) t(i) GROUP BY ALL")
 def variants(spark, d):
-    t = fx.tiles(spark, d)
-    v = va.vary(t, 8, SEED, fx.palette(spark))
-    return v.join(t.select("tile_id", "tileset_id"), "tile_id").groupBy("tileset_id", "mutation").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))
+    v = va.vary(fx.tiles(spark, d), 8, SEED, fx.palette(spark), keep=("tileset_id",))
+    return v.groupBy("tileset_id", "mutation").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))

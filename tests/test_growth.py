@@ -312,3 +312,12 @@ def test_first_rows_of_a_group_are_limited_before_they_move(spark):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, salted.collect()))
     plan = one._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("WindowGroupLimit") == 1 and "xxhash64" not in plan
+
+
+def test_variants_are_counted_without_a_join_or_their_draws(spark, con):
+    """The tiles were cut twice and shuffled to their variants, and each variant drew its digests though no grid was read."""
+    q = registry.QUERIES["variants"](spark, SF)
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 1 and "md5" not in plan
+    ok, msg = check.compare(spark, con, SF, "variants", lambda *_: q, registry.ORACLES["variants"])
+    assert ok, msg
